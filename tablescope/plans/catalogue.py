@@ -6,6 +6,7 @@ from tablescope.plans.registry import QUERIES
 
 AREAS = (
     "profiling",
+    "usage",
 )
 
 for _area in AREAS:
