@@ -7,6 +7,7 @@ from tablescope.plans.registry import QUERIES
 AREAS = (
     "profiling",
     "usage",
+    "presentation",
 )
 
 for _area in AREAS:
