@@ -8,6 +8,9 @@ AREAS = (
     "profiling",
     "usage",
     "presentation",
+    "chats",
+    "feedback",
+    "assets",
 )
 
 for _area in AREAS:
