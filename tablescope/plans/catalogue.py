@@ -11,6 +11,7 @@ AREAS = (
     "chats",
     "feedback",
     "assets",
+    "mining",
 )
 
 for _area in AREAS:
