@@ -391,8 +391,8 @@ def _(t):
     return evt.order_groups(evt.group_by_actor(events(t), "actor_user_id")).select("event_id", "actor_key", "last_at", "items")
 
 
-SESSIONS_SQL = f"""WITH s AS (SELECT *, coalesce(CAST(actor_user_id AS VARCHAR), 'anonymous') AS actor_key, epoch_ms(created_at) AS st,
-      epoch_ms(created_at) + duration_ms AS en FROM ({EVENTS_SQL}) WHERE {{0}}),
+SESSIONS_SQL = f"""WITH s AS (SELECT *, coalesce(CAST(actor_user_id AS VARCHAR), 'anonymous') AS actor_key, epoch_us(created_at) // 1000 AS st,
+      epoch_us(created_at) // 1000 + duration_ms AS en FROM ({EVENTS_SQL}) WHERE {{0}}),
     p AS (SELECT *, max(en) OVER (PARTITION BY actor_key ORDER BY st, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM s),
     f AS (SELECT *, sum(CASE WHEN pe IS NULL OR st - pe >= 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY actor_key ORDER BY st, event_id
       ROWS UNBOUNDED PRECEDING) AS sid FROM p)

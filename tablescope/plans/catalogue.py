@@ -12,6 +12,9 @@ AREAS = (
     "feedback",
     "assets",
     "mining",
+    "io",
+    "sqlsurface",
+    "streams",
 )
 
 for _area in AREAS:

@@ -6,6 +6,7 @@ from tablescope.operators import compare as ev
 from tablescope.operators import querylog as qh
 from tablescope.plans.registry import query
 from tablescope.sources import warehouses as wh
+from tablescope.sources.shared import cut_lineage
 
 TEXT = """CASE event_id % 7
     WHEN 0 THEN 'SELECT * FROM main.' || event_type
@@ -141,16 +142,13 @@ def by_part(t):
     return t.lineitem.groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("amount"), F.max("l_returnflag").alias("flag"))
 
 
-CASES = {"match": "true", "match (approximate)": "true", "values differ": "false"}
-
-
 @query("ev_compare", "EV-02", oracle="""WITH n AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)
     SELECT * FROM (VALUES ('same', true, 'match'), ('spelled', true, 'match'), ('close', true, 'match (approximate)'),
       ('off', false, 'values differ'), ('missing', false, 'missing columns: flag'), ('empty', true, 'both empty'),
       ('no actual', false, 'actual is empty')) v(case_name, passed, message)
     UNION ALL SELECT 'fewer', false, 'row count: ' || (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey >= 5) || ' vs ' || n FROM n""")
 def _(t):
-    base = by_part(t)
+    base = cut_lineage(by_part(t), "compare")
     columns = ["l_partkey", "amount", "flag"]
     # amounts are above ten thousand here, so 0.05 is within the relative tolerance and 5 is not
     cases = {

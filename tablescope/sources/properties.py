@@ -112,7 +112,11 @@ def collect_columns(records: DataFrame, json: str, order: str) -> DataFrame:
 
 
 def flatten(records: DataFrame, json: str, names: list[str], keep: list[str]) -> DataFrame:
-    """One text column per property name: map look-ups in place, so no shuffle or pivot."""
-    rows = with_properties(records, json)
-    cells = [property_text(F.try_element_at("properties", F.lit(n))).alias(n) for n in names]
+    """One text column per property name: every property is spelled once, then looked up by name.
+
+    All of it happens inside the row, so there is no shuffle or pivot.
+    """
+    texts = F.transform_values("properties", lambda _, v: property_text(v))
+    rows = with_properties(records, json).withColumn("_texts", texts)
+    cells = [F.coalesce(F.try_element_at("_texts", F.lit(n)), F.lit("")).alias(n) for n in names]
     return rows.select(*keep, *cells)
