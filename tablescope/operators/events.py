@@ -155,7 +155,7 @@ def order_groups(grouped: DataFrame, ts: str = "created_at", event_id: str = "ev
 
 def sessionise(
     segments: DataFrame, keys: list[str], start: str, duration_ms: str, segment_id: str,
-    version: str | None = None, gap_seconds: int = SESSION_GAP_SECONDS, chunk_seconds: int = 6 * 3600,
+    version: str | None = None, gap_seconds: int = SESSION_GAP_SECONDS, chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Sessions of view segments: a segment joins if it starts less than the gap after all before it ended.
 

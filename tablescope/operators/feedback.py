@@ -6,7 +6,7 @@ rec_id, chat_id, target_id; links: rec_id, message_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMPACT_FLOOR = 5
@@ -69,21 +69,19 @@ def read_costs(reads: DataFrame, path: Column, content: Column, max_chars: int,
 
 def flag_costs(costs: DataFrame) -> DataFrame:
     """Flag files against the means of the batch; the first rule that applies decides."""
-    # the batch is a bounded top list
-    batch = Window.partitionBy()
-    mean = {c: F.avg(c).over(batch) for c in ("read_count", "total_tokens", "avg_tokens")}
+    names = ("read_count", "total_tokens", "avg_tokens")
+    mean = costs.agg(F.struct(*[F.avg(c).alias(c) for c in names])).scalar()
     flag = (
         F.when(F.col("truncated"), "truncated_on_read")
         .when((F.col("total_tokens") < MIN_TOTAL_TOKENS) & (F.col("max_tokens") < MIN_TOKENS_PER_READ), None)
         .when(
-            (F.col("read_count") >= F.greatest(F.lit(2.0), F.col("_m_read_count")))
-            & (F.col("total_tokens") >= F.col("_m_total_tokens")),
+            (F.col("read_count") >= F.greatest(F.lit(2.0), mean["read_count"]))
+            & (F.col("total_tokens") >= mean["total_tokens"]),
             "frequent_and_expensive",
         )
-        .when((F.col("read_count") <= 2) & (F.col("max_tokens") >= 2 * F.col("_m_avg_tokens")), "rare_but_outlier")
+        .when((F.col("read_count") <= 2) & (F.col("max_tokens") >= 2 * mean["avg_tokens"]), "rare_but_outlier")
     )
-    means = {f"_m_{c}": m for c, m in mean.items()}
-    return costs.withColumns(means).withColumn("flag", flag).drop(*means)
+    return costs.withColumn("flag", flag)
 
 
 def unlinked_downvotes(feedback: DataFrame, links: DataFrame) -> DataFrame:

@@ -19,14 +19,15 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def list_columns(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, nullable, description."""
+def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table and column: position, name, type, nullable, description."""
     rows = [
-        (i, f.name, type_label(f), f.nullable, (f.metadata or {}).get("comment"))
+        (table, i, f.name, type_label(f), f.nullable, (f.metadata or {}).get("comment"))
+        for table, df in tables.items()
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, name string, type string, nullable boolean, description string"
+    return next(iter(tables.values())).sparkSession.createDataFrame(
+        rows, "table_name string, position int, name string, type string, nullable boolean, description string"
     )
 
 
@@ -144,15 +145,23 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.count("value").alias("distinct_count"))
 
 
-def top_values(counts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Ten most frequent values of columns with 1..50 distinct ones; null and '' go after the cut."""
+def top_values(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Ten most frequent values per column; null and '' go after the cut.
+
+    ``columns`` names those that passed the gate of 1..50 distinct values.
+    """
+    if columns is not None:
+        counts = counts.filter(F.col("column").isin(columns or [""]))
     ranked = top_per_key(
         counts, ["column"], [F.col("cnt").desc(), F.col("value").asc_nulls_last()], TOP_VALUES, "rank"
     )
-    gate = distinct.filter(F.col("distinct_count").between(1, TOP_VALUES_MAX_DISTINCT))
-    return ranked.join(gate, "column", "left_semi").filter(
-        F.col("value").isNotNull() & (F.col("value") != "")
-    )
+    return ranked.filter(F.col("value").isNotNull() & (F.col("value") != ""))
+
+
+def few_valued(distinct: DataFrame) -> list[str]:
+    """Columns whose top values are worth showing (the input has one row per column)."""
+    gate = F.col("distinct_count").between(1, TOP_VALUES_MAX_DISTINCT)
+    return [r["column"] for r in distinct.filter(gate).collect()]
 
 
 def top_values_text(ranked: DataFrame) -> DataFrame:
@@ -172,27 +181,29 @@ def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """One row per column with counts, bounds, moments, distinct count and top values.
 
     Exact distinct counts shuffle every distinct value once. ``approx_distinct`` replaces that with a
-    sketch in the scalar scan, then counts values exactly only where the sketch says there are few.
+    sketch in the scalar scan, exact only where the sketch says there are few values. Either way the gate
+    is read first (one row per column), so top values are counted for few-valued columns alone and
+    shuffle next to nothing.
     """
+    spark = df.sparkSession
     stats = scalar_statistics(df, approx_distinct)
     gated = [f.name for f in df.schema.fields if not (is_numeric(f.dataType) or is_date(f.dataType))]
     if approx_distinct:
-        # one driver-side row per column; the sketch error is 5%, so the gate is widened
-        few = {
-            r["column"]
-            for r in stats.filter(F.col("approx_distinct") <= 2 * TOP_VALUES_MAX_DISTINCT).collect()
-        }
-        few |= {f.name for f in df.schema.fields if is_complex(f.dataType)}
-        counts = value_counts(df, sorted(few)) if few else None
+        rows = stats.collect()
+        stats = spark.createDataFrame(rows, stats.schema)
+        # the sketch error is 5%, so its gate is wider than the exact one
+        low = {r["column"] for r in rows if (r["approx_distinct"] or 0) <= 2 * TOP_VALUES_MAX_DISTINCT}
+        counted = value_counts(df, sorted(low))
     else:
-        counts = value_counts(df)
-    if counts is None:
-        return stats.withColumn("distinct_count", F.col("approx_distinct")).drop("approx_distinct")
-    distinct = distinct_counts(counts)
-    tops = top_values_text(
-        top_values(counts.filter(F.col("column").isin(gated or [""])), distinct)
-    )
-    out = stats.join(distinct, "column", "left").join(tops, "column", "left")
+        counted = value_counts(df)
+    found = distinct_counts(counted).collect()
+    distinct = spark.createDataFrame(found, "column string, distinct_count long")
+    shown = [c for c in few_valued(distinct) if c in gated]
+    out = stats.join(distinct, "column", "left")
+    if shown:
+        out = out.join(top_values_text(top_values(value_counts(df, shown))), "column", "left")
+    else:
+        out = out.withColumn("top_values", F.lit(None).cast("array<struct<value:string,count:long>>"))
     if approx_distinct:
         out = out.withColumn("distinct_count", F.coalesce("distinct_count", "approx_distinct")).drop(
             "approx_distinct"

@@ -109,12 +109,7 @@ def type_case(expr):
                 "column_name, data_type FROM duckdb_columns() WHERE table_name IN ("
                 + ", ".join(f"'{n}'" for n in TABLES) + "))"))
 def _(t):
-    out = None
-    for name in TABLES:
-        part = prf.list_columns(getattr(t, name)).select(
-            F.lit(name).alias("table_name"), "position", "name", "type", "nullable")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return prf.list_columns({n: getattr(t, n) for n in TABLES}).drop("description")
 
 
 @query("prf_preview", "PRF-03", oracle="""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -143,7 +138,7 @@ def _(t):
     tags = t.events.select(F.expr("""array(event_type, CASE WHEN value < 10 THEN 'low' ELSE 'high' END,
         CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('tag', user_id % 4) END)""").alias("tags"))
     counts = prf.value_counts(tags)
-    return prf.top_values(counts, prf.distinct_counts(counts)).select("value", "cnt")
+    return prf.top_values(counts, prf.few_valued(prf.distinct_counts(counts))).select("value", "cnt")
 
 
 @query("prf_struct_values", "PRF-12", oracle="""SELECT count(*) - count(s) AS null_count,
@@ -153,7 +148,7 @@ def _(t):
 def _(t):
     nested = t.orders.select(F.struct("o_orderstatus", "o_orderpriority").alias("s"))
     counts = prf.value_counts(nested)
-    ranked = prf.top_values(counts, prf.distinct_counts(counts))
+    ranked = prf.top_values(counts, prf.few_valued(prf.distinct_counts(counts)))
     top = ranked.groupBy("column").agg(F.max("cnt").alias("top_count"))
     nulls = prf.scalar_statistics(nested)
     return (nulls.join(prf.distinct_counts(counts), "column").join(top, "column")

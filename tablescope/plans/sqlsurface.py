@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tablescope.operators.ordered import neighbours, time_chunk
 from tablescope.plans.registry import TABLES, query
 
 
@@ -86,11 +87,20 @@ sql("sql_set_operations", "SQL-20", spark="""(SELECT l_partkey AS k FROM lineite
     round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def _(t):
-    w = Window.partitionBy("o_custkey")
-    ranked = w.orderBy("o_orderpriority")
-    moving = w.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
-    return t.orders.select("o_orderkey", F.rank().over(ranked).alias("rk"), F.dense_rank().over(ranked).alias("dr"),
-                           F.round(F.sum("o_totalprice").over(moving), 2).alias("moving"))
+    # ranks come from counts per customer and priority, so a customer with a third of the orders ranks five rows
+    per = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = per.select("o_custkey", "o_orderpriority", (before + 1).alias("rk"), F.row_number().over(w).alias("dr"))
+    # the two rows before, across the chunks a customer is cut into
+    order, chunk = ["o_orderdate", "o_orderkey"], time_chunk("o_orderdate", 30 * 86400)
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", F.col("o_totalprice").alias("p"))
+    rows = neighbours(rows, ["o_custkey"], order, chunk, ["p"]).withColumnRenamed("prev_p", "q")
+    rows = neighbours(rows, ["o_custkey"], order, chunk, ["q"])
+    zero = F.lit(0.0)
+    moving = F.col("p") + F.coalesce("q", zero) + F.coalesce("prev_q", zero)
+    return rows.join(ranks, ["o_custkey", "o_orderpriority"]).select(
+        "o_orderkey", "rk", "dr", F.round(moving, 2).alias("moving"))
 
 
 @query("sql_except_all", "SQL-20", oracle="""SELECT l_suppkey AS k FROM lineitem EXCEPT ALL SELECT s_suppkey FROM supplier""")
@@ -146,11 +156,11 @@ sql("sca_dates", "SCA-02", spark="""SELECT event_id, date_format(ts, 'dd/MM/yyyy
     strftime(ts - INTERVAL 1 MONTH, '%Y-%m-%d') AS earlier, CAST(date_diff('day', DATE '2023-12-25', CAST(ts AS DATE)) AS INTEGER) AS gap,
     epoch_us(ts) // 1000 AS ms, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN '2024-02-30' ELSE '2024-02-29' END AS TIMESTAMP) IS NOT NULL AS iso FROM events""")
 sql("sca_math", "SCA-03", spark="""SELECT event_id, abs(value - 50) AS a, ceil(value) AS c, floor(value) AS f, round(sqrt(value), 9) AS q,
-    sign(value - 20) AS s, round(log10(value), 9) AS l, round(power(value, 2), 6) AS p, greatest(value, 10, user_id) AS g,
+    sign(value - 20) AS s, round(log10(value + 1), 9) AS l, round(power(value, 2), 6) AS p, greatest(value, 10, user_id) AS g,
     least(value, 10) AS m, greatest(0, least(1, value / 100)) AS clamped,
     NOT isnan(CASE WHEN event_id % 5 = 0 THEN double('NaN') ELSE value END) AS fin FROM events""",
     oracle="""SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS c, CAST(floor(value) AS BIGINT) AS f, round(sqrt(value), 9) AS q,
-    CAST(sign(value - 20) AS DOUBLE) AS s, round(log10(value), 9) AS l, round(power(value, 2), 6) AS p, greatest(value, 10, user_id) AS g,
+    CAST(sign(value - 20) AS DOUBLE) AS s, round(log10(value + 1), 9) AS l, round(power(value, 2), 6) AS p, greatest(value, 10, user_id) AS g,
     least(value, 10) AS m, greatest(0, least(1, value / 100)) AS clamped,
     NOT isnan(CASE WHEN event_id % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END) AS fin FROM events""")
 sql("sca_conditional", "SCA-04", spark="""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS state,

@@ -54,12 +54,13 @@ RUN_EVENTS = ["CAST(floor(event_id / 14.0) AS BIGINT) * 7 + event_id % 7 AS run_
 
 
 @query("str_stale_runs", "STR-04", oracle=f"""WITH e AS (SELECT {', '.join(RUN_EVENTS)} FROM events),
-    r AS (SELECT run_id, max(ts) FILTER (WHERE kind = 'start') AS s, max(ts) FILTER (WHERE kind = 'finish') AS f FROM e GROUP BY 1)
-    SELECT run_id, CASE WHEN f IS NOT NULL AND f - s < INTERVAL 30 MINUTE THEN 'done' ELSE 'failed' END AS status FROM r
-    WHERE f IS NOT NULL OR s + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE""")
+    r AS (SELECT run_id, max(ts) FILTER (WHERE kind = 'start') AS s, max(ts) FILTER (WHERE kind = 'finish') AS f FROM e GROUP BY 1),
+    w AS (SELECT least(max(ts) FILTER (WHERE kind = 'start'), max(ts) FILTER (WHERE kind = 'finish')) - INTERVAL 5 MINUTE AS mark FROM e)
+    SELECT run_id, CASE WHEN f - s < INTERVAL 30 MINUTE THEN 'done' ELSE 'failed' END AS status FROM r, w
+    WHERE f - s < INTERVAL 30 MINUTE OR s + INTERVAL 30 MINUTE < mark""")
 def _(t):
-    rows = event_stream(t).selectExpr(*RUN_EVENTS)
-    return st.append_to_parquet(st.run_outcomes(rows, "run_id", "ts", "kind"), "runs")
+    side = (lambda kind: event_stream(t).selectExpr(*RUN_EVENTS).filter(F.col("kind") == kind))
+    return st.append_to_parquet(st.run_outcomes(side("start"), side("finish"), "run_id", "ts"), "runs")
 
 
 @query("str_late_data", "STR-05", oracle="""SELECT count(*) AS seen, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-12') AS counted,

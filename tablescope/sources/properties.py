@@ -6,33 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _get(v: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, path, kind)
+DATE = "struct<start:string,end:string>"
+COMPUTED = f"type:string,string:string,number:string,boolean:string,date:{DATE}"
+NAMED = "array<struct<name:string>>"
+# the fields a property may carry; scalars are read as text, the way they are written
+FIELDS = (
+    "type:string,title:array<struct<plain_text:string>>,rich_text:array<struct<plain_text:string>>,number:string,"
+    f"select:struct<name:string>,status:struct<name:string>,multi_select:{NAMED},date:{DATE},checkbox:boolean,"
+    f"people:{NAMED},files:{NAMED},url:string,email:string,phone_number:string,created_time:string,"
+    "last_edited_time:string,created_by:struct<name:string>,last_edited_by:struct<name:string>,"
+    "relation:array<struct<id:string>>,has_more:boolean,"
+    "place:struct<name:string,address:string,latitude:string,longitude:string>,"
+    "verification:struct<state:string,verified_by:struct<name:string>>,"
+    f"formula:struct<{COMPUTED}>,unique_id:struct<prefix:string,number:string>"
+)
+PROPERTY = f"struct<{FIELDS},rollup:struct<{COMPUTED},array:array<struct<{FIELDS}>>>>"
 
 
-def _names(v: Column, path: str) -> Column:
-    items = _get(v, path, "array<variant>")
-    return F.array_join(F.transform(items, lambda i: F.coalesce(_get(i, "$.name"), F.lit(""))), ", ")
+def _names(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda i: F.coalesce(i["name"], F.lit(""))), ", ")
 
 
-def _rich_text(v: Column, path: str) -> Column:
-    items = _get(v, path, "array<variant>")
-    return F.array_join(F.transform(items, lambda i: F.coalesce(_get(i, "$.plain_text"), F.lit(""))), "")
+def _rich_text(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda i: F.coalesce(i["plain_text"], F.lit(""))), "")
 
 
-def _date(v: Column, path: str) -> Column:
-    start, end = F.coalesce(_get(v, f"{path}.start"), F.lit("")), _get(v, f"{path}.end")
-    return F.when(F.coalesce(end, F.lit("")) != "", F.concat(start, F.lit(" → "), end)).otherwise(start)
+def _date(date: Column) -> Column:
+    start, end = F.coalesce(date["start"], F.lit("")), F.coalesce(date["end"], F.lit(""))
+    return F.when(end != "", F.concat(start, F.lit(" → "), end)).otherwise(start)
 
 
-def _computed(v: Column, path: str) -> Column:
+def _computed(c: Column) -> Column:
     """A formula or rollup: its own type says which field holds the value."""
-    kind = _get(v, f"{path}.type")
+    kind = c["type"]
     return (
-        F.when(kind == "date", _date(v, f"{path}.date"))
-        .when(kind == "string", _get(v, f"{path}.string"))
-        .when(kind == "number", _get(v, f"{path}.number"))
-        .when(kind == "boolean", _get(v, f"{path}.boolean"))
+        F.when(kind == "date", _date(c["date"]))
+        .when(kind == "string", c["string"])
+        .when(kind == "number", c["number"])
+        .when(kind == "boolean", c["boolean"])
     )
 
 
@@ -44,55 +55,53 @@ def _blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def property_text(v: Column, nested: bool = True) -> Column:
-    """Plain text of one property (a variant); empty where there is nothing to show."""
-    number, prefix = _get(v, "$.unique_id.number"), _blank(_get(v, "$.unique_id.prefix"))
-    place = _blank(
-        F.array_join(F.array(_blank(_get(v, "$.place.name")), _blank(_get(v, "$.place.address"))), ", ")
-    )
-    spot = _pair(_get(v, "$.place.latitude"), ", ", _get(v, "$.place.longitude"))
-    state, by = _blank(_get(v, "$.verification.state")), _blank(_get(v, "$.verification.verified_by.name"))
-    linked = F.size(_get(v, "$.relation", "array<variant>"))
-    more = F.when(_get(v, "$.has_more", "boolean"), "+ linked").otherwise(" linked")
-    rollup = _computed(v, "$.rollup")
-    if nested:
-        items = _get(v, "$.rollup.array", "array<variant>")
-        joined = F.array_join(F.transform(items, lambda i: property_text(i, nested=False)), ", ")
-        rollup = F.when(_get(v, "$.rollup.type") == "array", joined).otherwise(rollup)
+def property_text(p: Column, nested: bool = True) -> Column:
+    """Plain text of one parsed property; empty where there is nothing to show."""
+    number, prefix = p["unique_id"]["number"], _blank(p["unique_id"]["prefix"])
+    place = p["place"]
+    named = _blank(F.array_join(F.array(_blank(place["name"]), _blank(place["address"])), ", "))
+    spot = _pair(place["latitude"], ", ", place["longitude"])
+    state, by = _blank(p["verification"]["state"]), _blank(p["verification"]["verified_by"]["name"])
+    linked = F.size(p["relation"])
     kinds = {
-        "title": _rich_text(v, "$.title"),
-        "rich_text": _rich_text(v, "$.rich_text"),
-        "number": _get(v, "$.number"),
-        "select": _get(v, "$.select.name"),
-        "status": _get(v, "$.status.name"),
-        "multi_select": _names(v, "$.multi_select"),
-        "date": _date(v, "$.date"),
-        "checkbox": F.when(_get(v, "$.checkbox", "boolean"), "true").otherwise("false"),
-        "people": _names(v, "$.people"),
-        "files": _names(v, "$.files"),
-        "url": _get(v, "$.url"),
-        "email": _get(v, "$.email"),
-        "phone_number": _get(v, "$.phone_number"),
-        "created_time": _get(v, "$.created_time"),
-        "last_edited_time": _get(v, "$.last_edited_time"),
-        "created_by": _get(v, "$.created_by.name"),
-        "last_edited_by": _get(v, "$.last_edited_by.name"),
-        "relation": F.when(linked > 0, F.concat(linked.cast("string"), more)),
-        "place": F.coalesce(place, spot),
+        "title": _rich_text(p["title"]),
+        "rich_text": _rich_text(p["rich_text"]),
+        "number": p["number"],
+        "select": p["select"]["name"],
+        "status": p["status"]["name"],
+        "multi_select": _names(p["multi_select"]),
+        "date": _date(p["date"]),
+        "checkbox": F.when(p["checkbox"], "true").otherwise("false"),
+        "people": _names(p["people"]),
+        "files": _names(p["files"]),
+        "url": p["url"],
+        "email": p["email"],
+        "phone_number": p["phone_number"],
+        "created_time": p["created_time"],
+        "last_edited_time": p["last_edited_time"],
+        "created_by": p["created_by"]["name"],
+        "last_edited_by": p["last_edited_by"]["name"],
+        "relation": F.when(
+            linked > 0, F.concat(linked.cast("string"), F.when(p["has_more"], "+ linked").otherwise(" linked"))
+        ),
+        "place": F.coalesce(named, spot),
         "verification": F.coalesce(_pair(state, " by ", by), state),
-        "formula": _computed(v, "$.formula"),
-        "rollup": rollup,
+        "formula": _computed(p["formula"]),
         "unique_id": F.coalesce(_pair(prefix, "-", number), number),
     }
-    kind = _get(v, "$.type")
+    if nested:
+        rollup = p["rollup"]
+        items = F.array_join(F.transform(rollup["array"], lambda i: property_text(i, nested=False)), ", ")
+        kinds["rollup"] = F.when(rollup["type"] == "array", items).otherwise(_computed(rollup))
     out = None
     for name, text in kinds.items():
-        out = F.when(kind == name, text) if out is None else out.when(kind == name, text)
+        test = p["type"] == name
+        out = F.when(test, text) if out is None else out.when(test, text)
     return F.coalesce(out, F.lit(""))
 
 
 def with_properties(records: DataFrame, json: str, name: str = "properties") -> DataFrame:
-    return records.withColumn(name, F.from_json(json, "map<string,variant>"))
+    return records.withColumn(name, F.from_json(json, f"map<string,{PROPERTY}>"))
 
 
 def collect_columns(records: DataFrame, json: str, order: str) -> DataFrame:
@@ -100,11 +109,12 @@ def collect_columns(records: DataFrame, json: str, order: str) -> DataFrame:
 
     Names are merged inside the map tasks; the final numbering sees one row per name.
     """
-    keys = with_properties(records, json).select(
+    kinds = records.withColumn("properties", F.from_json(json, "map<string,struct<type:string>>"))
+    keys = kinds.select(
         F.col(order), F.posexplode(F.json_object_keys(json)).alias("_pos", "name"), F.col("properties")
     )
     place = F.struct(F.col(order), F.col("_pos"))
-    titled = F.try_variant_get(F.col("properties")[F.col("name")], "$.type", "string") == "title"
+    titled = F.col("properties")[F.col("name")]["type"] == "title"
     seen = keys.groupBy("name").agg(F.min(place).alias("first"), F.min(F.when(titled, place)).alias("_title"))
     leads = F.col("_title").isNotNull() & (F.col("_title") == F.min("_title").over(Window.partitionBy()))
     rank = F.row_number().over(Window.orderBy(F.coalesce(leads, F.lit(False)).desc(), "first"))

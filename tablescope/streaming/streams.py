@@ -78,18 +78,21 @@ class _Throttle(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
-        first = last
+        stored = self.last.get()[0] if self.last.exists() else None
+        last = stored
         # events of one micro-batch, in time order
         for at, event_id in sorted((r["at"], r["event_id"]) for r in rows):
             if last is None or at - last > self.window_us:
                 last = at
                 yield Row(event_id=event_id)
-        if last != first:
+        if last != stored:
+            if stored is not None:
+                self.handle.deleteTimer(self._expiry(stored))
             self.last.update((last,))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + self.window_us) // 1000 + 1)
+            self.handle.registerTimer(self._expiry(last))
+
+    def _expiry(self, last: int) -> int:
+        return (last + self.window_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
@@ -150,58 +153,25 @@ def view_sessions(
     return out.select(*keys, F.col("w.start").alias("started_at"), "duration_ms", "segments")
 
 
-class _StaleRuns(StatefulProcessor):
-    """Per run its start; a timer fails it if it has not ended in time."""
-
-    def __init__(self, limit_us: int):
-        self.limit_us = limit_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.started = handle.getValueState("started", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        begun = self.started.get()[0] if self.started.exists() else None
-        for at, kind in sorted((r["at"], r["kind"]) for r in rows):
-            if kind == "start":
-                begun = at
-                self.started.update((at,))
-                self.handle.registerTimer((at + self.limit_us) // 1000)
-            elif begun is not None:
-                stale = at - begun >= self.limit_us
-                self._forget()
-                begun = None
-                yield Row(run_id=key[0], status="failed" if stale else "done")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.started.exists():
-            self._forget()
-            yield Row(run_id=key[0], status="failed")
-
-    def _forget(self) -> None:
-        self.started.clear()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-
-    def close(self) -> None:
-        pass
-
-
-def run_outcomes(events: DataFrame, run: str, ts: str, kind: str, minutes: int = 30, delay: str = "5 minutes") -> DataFrame:
-    """``done`` or ``failed`` per run: one still going when the watermark passes its limit has failed.
+def run_outcomes(
+    starts: DataFrame, finishes: DataFrame, run: str, ts: str, minutes: int = 30, delay: str = "5 minutes"
+) -> DataFrame:
+    """``done`` or ``failed`` per run: one not finished within the limit has failed.
 
-    ``kind`` is start or finish. Run ids are many and each holds two events, so no key grows hot.
+    An outer stream join inside a time range: the watermark tells when a finish can no longer come, which
+    is when the unmatched start leaves the state as failed. Run ids are many, so no key grows hot.
     """
-    with_rocksdb(events.sparkSession)
-    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
-        F.col(run).cast("long").alias("run_id"), ts, F.unix_micros(ts).alias("at"), F.col(kind).alias("kind")
-    )
-    return rows.groupBy("run_id").transformWithState(
-        statefulProcessor=_StaleRuns(minutes * 60 * 1_000_000),
-        outputStructType="run_id long, status string",
-        outputMode="Append",
-        timeMode="EventTime",
+    begun = starts.select(F.col(run).alias("run_id"), F.col(ts).cast("timestamp").alias("started_at"))
+    ended = finishes.select(F.col(run).alias("_run"), F.col(ts).cast("timestamp").alias("_ended_at"))
+    # a literal interval: the planner reads the state bound from it
+    limit = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    in_time = (
+        (F.col("run_id") == F.col("_run"))
+        & (F.col("_ended_at") >= F.col("started_at"))
+        & (F.col("_ended_at") < F.col("started_at") + limit)
     )
+    joined = begun.withWatermark("started_at", delay).join(ended.withWatermark("_ended_at", delay), in_time, "left_outer")
+    return joined.select("run_id", F.when(F.col("_run").isNotNull(), "done").otherwise("failed").alias("status"))
 
 
 def bucket_counts(events: DataFrame, ts: str, bucket: str, delay: str) -> DataFrame:
