@@ -21,25 +21,39 @@ def redact_columns(parts: DataFrame, tool: str, payloads: list[str]) -> DataFram
     )
 
 
-def redact_json(text: Column) -> Column:
-    """Blank payload keys of data-tool entries in a JSON array of message parts.
+def _clean(value: Column, depth: int) -> Column:
+    """A JSON value with the payloads of data-tool entries blanked down to ``depth`` levels.
 
-    Text that is no such array but names a data tool is replaced as a whole.
+    Whatever still names a data tool below that is blanked as a whole, so nothing slips through.
     """
-    entries = F.from_json(text, "array<map<string,variant>>")
-
-    def clean(entry: Column) -> Column:
-        tool = F.try_variant_get(entry["toolName"], "$", "string")
-        masked = F.transform_values(
-            entry,
-            lambda k, v: F.when(k.isin(*PAYLOAD_KEYS), F.parse_json(F.lit(f'"{PLACEHOLDER}"'))).otherwise(v),
-        )
-        return F.when(tool.isin(*DATA_TOOLS), masked).otherwise(entry)
-
-    named = text.rlike("|".join(DATA_TOOLS))
-    rebuilt = F.to_json(F.transform(entries, clean))
-    return F.when(~named, text).when(F.try_parse_json(text).isNull(), PLACEHOLDER).otherwise(
-        F.coalesce(rebuilt, F.lit(PLACEHOLDER))
+    blank = F.parse_json(F.lit(f'"{PLACEHOLDER}"'))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    if depth == 0:
+        nested = items.isNotNull() | fields.isNotNull()
+        return F.when(nested & F.to_json(value).rlike("|".join(DATA_TOOLS)), blank).otherwise(value)
+    is_tool = F.coalesce(F.try_variant_get(value, "$.toolName", "string").isin(*DATA_TOOLS), F.lit(False))
+    cleaned_items = F.transform(items, lambda v: _clean(v, depth - 1))
+    cleaned_fields = F.transform_values(
+        fields, lambda k, v: F.when(is_tool & k.isin(*PAYLOAD_KEYS), blank).otherwise(_clean(v, depth - 1))
+    )
+    return (
+        F.when(items.isNotNull(), F.to_variant_object(cleaned_items))
+        .when(fields.isNotNull(), F.to_variant_object(cleaned_fields))
+        .otherwise(value)
+    )
+
+
+def redact_json(text: Column, depth: int = 4) -> Column:
+    """Blank payload keys of data-tool entries in a JSON value, such as an array of messages with parts.
+
+    Text that does not parse but names a data tool is replaced as a whole; text naming none is returned
+    as it is, unparsed.
+    """
+    named = F.coalesce(text.rlike("|".join(DATA_TOOLS)), F.lit(False))
+    value = F.try_parse_json(text)
+    return (
+        F.when(~named, text).when(value.isNull(), PLACEHOLDER).otherwise(F.to_json(_clean(value, depth)))
     )
 
 
