@@ -24,21 +24,22 @@ def bucket_pie(df: DataFrame, category: str, value: str, max_slices: int = MAX_S
     """
     number = F.coalesce(finite(F.col(value)), F.lit(0.0))
     rows = df.select(F.col(category).cast("string").alias(category), number.alias(value))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
-    top = rows.orderBy(F.col(value).desc(), F.col(category).asc_nulls_last()).limit(max_slices)
-    # at most max_slices rows from here on
-    ranked = top.withColumn(
-        "_rank", F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(category).asc_nulls_last()))
-    )
-    kept_sum = top.agg(F.sum(value)).scalar()
-    first_other = ranked.filter(F.col(category) == OTHER).agg(F.min("_rank")).scalar()
-    rest = total.filter(F.col("n") > max_slices).select(
-        F.lit(OTHER).alias(category),
-        (F.col("s") - kept_sum).alias(value),
-        F.coalesce(first_other, F.lit(max_slices + 1)).alias("_rank"),
-    )
-    merged = ranked.unionByName(rest).groupBy("_rank", category).agg(F.sum(value).alias(value))
-    return merged.select(category, value)
+    best = [F.col(value).desc(), F.col(category).asc_nulls_last()]
+    top = rows.orderBy(*best).limit(max_slices).withColumn("_n", F.lit(None).cast("long"))
+    total = rows.agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("_n"))
+    # from here on there are at most max_slices rows and the total
+    few = top.unionByName(total.withColumn(category, F.lit(OTHER)))
+    is_total, every = F.col("_n").isNotNull(), Window.partitionBy()
+    ranked = few.withColumn("_rank", F.row_number().over(Window.orderBy(is_total, *best)))
+    first_other = F.min(F.when(~is_total & (F.col(category) == OTHER), F.col("_rank"))).over(every)
+    kept = F.sum(F.when(~is_total, F.col(value))).over(every)
+    merged = ranked.select(
+        category,
+        F.when(is_total, F.col(value) - kept).otherwise(F.col(value)).alias(value),
+        F.when(is_total, F.coalesce(first_other, F.col("_rank"))).otherwise(F.col("_rank")).alias("_rank"),
+        "_n",
+    ).filter(F.col("_n").isNull() | (F.col("_n") > max_slices))
+    return merged.groupBy("_rank", category).agg(F.sum(value).alias(value)).select(category, value)
 
 
 def percent_stack(df: DataFrame, series: list[str], totals: list[str] = ()) -> DataFrame:

@@ -109,9 +109,9 @@ def filter_facets(metrics: DataFrame, chosen: dict[str, list[str]]) -> DataFrame
 
 def filter_days(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
     """Inclusive UTC day range, as a half-open range the scan can use."""
-    c = F.col(column)
-    end = F.lit(last).cast("timestamp") + F.make_dt_interval(F.lit(1))
-    return df.filter((c >= F.lit(first).cast("timestamp")) & (c < end))
+    c, kind = F.col(column), df.schema[column].dataType
+    end = F.lit(last).cast(kind) + F.expr("INTERVAL 1 DAY")
+    return df.filter((c >= F.lit(first).cast(kind)) & (c < end))
 
 
 def tiered(primary: str, secondary: str, descending: bool) -> list[Column]:

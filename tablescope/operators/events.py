@@ -194,18 +194,18 @@ def viewers(
         F.coalesce(F.sum(F.when(F.col("type") == "view_duration", F.col(duration_ms))), F.lit(0).cast("long")).alias(
             "total_ms"
         ),
+        F.count_if(F.col("type") == "view_duration").alias("_segments"),
     )
     sessions = sessionise(
         rows.filter(F.col("type") == "view_duration"), ["actor_key"], started_at, duration_ms, event_id, version
     ).select("actor_key", "started_at", "duration_ms", "version")
-    views = rows.filter(F.col("type") == "page_view").join(
-        sessions.select("actor_key").distinct(), "actor_key", "left_anti"
-    )
-    views = views.select(
+    # an actor has sessions exactly when there is a view segment
+    views = rows.filter(F.col("type") == "page_view").select(
         "actor_key", F.col(ts).alias("started_at"), F.lit(None).cast("long").alias("duration_ms"),
-        F.col(version).alias("version"),
+        F.col(version).alias("version"), F.lit(True).alias("_view"),
     )
-    return sessions.unionByName(views).join(groups, "actor_key")
+    both = sessions.withColumn("_view", F.lit(False)).unionByName(views).join(groups, "actor_key")
+    return both.filter(~F.col("_view") | (F.col("_segments") == 0)).drop("_view", "_segments")
 
 
 def current_favorites(events: DataFrame, actor: str, badge: str, ts: str, event_id: str) -> DataFrame:

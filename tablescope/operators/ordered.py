@@ -38,9 +38,9 @@ def number_chunk(column: str | Column, width: float) -> Column:
 def even_chunk(df: DataFrame, column: str, chunks: int = 1000) -> Column:
     """Chunk number from the column's own range, read by a scalar subquery (no join, no driver trip)."""
     value = F.col(column).cast("double")
-    low = df.agg(F.min(value)).scalar()
-    high = df.agg(F.max(value)).scalar()
-    return F.floor((value - low) / F.greatest((high - low) / F.lit(chunks), F.lit(1e-9))).cast("long")
+    span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    width = F.greatest((span["high"] - span["low"]) / F.lit(chunks), F.lit(1e-9))
+    return F.floor((value - span["low"]) / width).cast("long")
 
 
 def running(
@@ -129,8 +129,9 @@ def with_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> Dat
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    # the offsets are as many as sort partitions, whatever the size of the data
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + position + 1)
         .drop("_part", "_place", "_offset")
     )

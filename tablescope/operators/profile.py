@@ -198,7 +198,8 @@ def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         counted = value_counts(df)
     found = distinct_counts(counted).collect()
     distinct = spark.createDataFrame(found, "column string, distinct_count long")
-    shown = [c for c in few_valued(distinct) if c in gated]
+    few = {r["column"] for r in found if 1 <= r["distinct_count"] <= TOP_VALUES_MAX_DISTINCT}
+    shown = [c for c in gated if c in few]
     out = stats.join(distinct, "column", "left")
     if shown:
         out = out.join(top_values_text(top_values(value_counts(df, shown))), "column", "left")
@@ -234,19 +235,12 @@ def partition_summary(parts: DataFrame, table: str, partition: str, rows: str) -
 
 def closed_partition_filter(column: Column, dtype: T.DataType, partition_id: str) -> Column:
     """Predicate for one partition id: YYYY, YYYYMM, YYYYMMDD or YYYYMMDDHH, else integer, else not null."""
-    if is_date(dtype) and partition_id.isdigit() and len(partition_id) in (4, 6, 8, 10):
-        units = {4: ("year", 365), 6: ("month", 31), 8: ("day", 1), 10: ("hour", 0)}
-        unit, _ = units[len(partition_id)]
-        pattern = "yyyyMMddHH"[: len(partition_id)]
-        start = F.to_timestamp(F.lit(partition_id), pattern)
-        step = {
-            "year": F.make_interval(years=F.lit(1)),
-            "month": F.make_interval(months=F.lit(1)),
-            "day": F.make_interval(days=F.lit(1)),
-            "hour": F.make_interval(hours=F.lit(1)),
-        }[unit]
-        # a half-open range on the bare column reaches the scan as a pushed filter
-        return (column >= start) & (column < start + step)
+    units = {4: "YEAR", 6: "MONTH", 8: "DAY", 10: "HOUR"}
+    if is_date(dtype) and partition_id.isdigit() and len(partition_id) in units:
+        start = F.to_timestamp(F.lit(partition_id), "yyyyMMddHH"[: len(partition_id)])
+        end = start + F.expr(f"INTERVAL 1 {units[len(partition_id)]}")
+        # a half-open range on the bare column, in its own type, reaches the scan as a pushed filter
+        return (column >= start.cast(dtype)) & (column < end.cast(dtype))
     if partition_id.lstrip("-").isdigit():
         return column == F.lit(int(partition_id))
     return column.isNotNull()

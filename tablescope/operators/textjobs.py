@@ -57,6 +57,10 @@ def redact_json(text: Column, depth: int = 4) -> Column:
     )
 
 
+# with these a line may match where the whole text does not
+TEXT_ANCHORS = ("\\A", "\\z", "\\Z", "\\G", "(?<", "(?!", "(?=")
+
+
 def grep(
     docs: DataFrame,
     path: str,
@@ -74,8 +78,9 @@ def grep(
     if glob:
         docs = docs.filter(F.col(path).rlike(glob_regex(glob)))
     regex = ("(?i)" if case_insensitive else "") + pattern
-    # the whole text is tested first: documents without a match are not split
-    docs = docs.filter(F.col(text).rlike("(?m)" + regex))
+    if not any(mark in pattern for mark in TEXT_ANCHORS):
+        # the whole text is tested first, so documents without a match are not split
+        docs = docs.filter(F.col(text).rlike("(?m)" + regex))
     lines = F.split(F.col(text), "\n")
     tagged = F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
     hits = docs.select(F.col(path).alias("path"), lines.alias("_lines"), tagged.alias("_tagged")).select(

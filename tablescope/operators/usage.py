@@ -80,6 +80,10 @@ SUM_COLUMNS = [
 ]
 
 
+def _sums(columns: list[str]) -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]
+
+
 def message_usage(priced: DataFrame, granularity: str) -> DataFrame:
     """User messages in total and per source, tokens and cost, per time bucket."""
     is_user = F.col("role") == "user"
@@ -88,7 +92,7 @@ def message_usage(priced: DataFrame, granularity: str) -> DataFrame:
         F.count_if(is_user & (F.col("source") == s)).alias(f"{snake(s)}_message_count") for s in SOURCES
     ]
     return priced.groupBy(bucket_label("created_at", granularity).alias("date")).agg(
-        *counts, *[F.sum(c).alias(c) for c in SUM_COLUMNS]
+        *counts, *_sums(SUM_COLUMNS)
     )
 
 
@@ -96,7 +100,7 @@ def inference_usage(priced: DataFrame, granularity: str) -> DataFrame:
     """Auxiliary inferences in the same shape, with no messages."""
     return priced.groupBy(bucket_label("created_at", granularity).alias("date")).agg(
         *[F.lit(0).cast("long").alias(c) for c in COUNT_COLUMNS],
-        *[F.sum(c).alias(c) for c in SUM_COLUMNS],
+        *_sums(SUM_COLUMNS),
     )
 
 
@@ -105,7 +109,7 @@ def combine_usage(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("date").agg(*[F.sum(c).alias(c) for c in (*COUNT_COLUMNS, *SUM_COLUMNS)])
+    return out.groupBy("date").agg(*_sums([*COUNT_COLUMNS, *SUM_COLUMNS]))
 
 
 def fill_buckets(usage: DataFrame, as_of: Column, unit: str, value: int, granularity: str) -> DataFrame:
@@ -118,7 +122,9 @@ def fill_buckets(usage: DataFrame, as_of: Column, unit: str, value: int, granula
 
 
 def in_lookback(rows: DataFrame, as_of: Column, unit: str, value: int) -> DataFrame:
-    return rows.filter(F.col("created_at") >= lookback_start(as_of, unit, value))
+    # in the column's own type, so that the scan gets the filter
+    start = lookback_start(as_of, unit, value).cast(rows.schema["created_at"].dataType)
+    return rows.filter(F.col("created_at") >= start)
 
 
 def with_message_provider(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
@@ -206,7 +212,8 @@ def effective_budgets(project: DataFrame, config: DataFrame) -> DataFrame:
 def period_spend(priced: DataFrame, budgets: DataFrame, as_of: Column) -> DataFrame:
     """Spend per provider and user since the start of that provider's own period."""
     starts = budgets.select(
-        F.col("provider").alias("_provider"), period_start_by(as_of, F.col("period")).alias("_start")
+        F.col("provider").alias("_provider"),
+        period_start_by(as_of, F.col("period")).cast(priced.schema["created_at"].dataType).alias("_start"),
     )
     since = priced.join(
         starts, (F.col("provider") == F.col("_provider")) & (F.col("created_at") >= F.col("_start"))
@@ -238,7 +245,7 @@ def budget_status(spend: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def chat_token_totals(messages: DataFrame) -> DataFrame:
     columns = [*[f"{c}_tokens" for c in TOKEN_CLASSES], "total_tokens"]
-    return messages.groupBy("chat_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+    return messages.groupBy("chat_id").agg(*_sums(columns))
 
 
 def storage_by_user(files: DataFrame, user: str, size: str) -> DataFrame:

@@ -126,7 +126,7 @@ def _(t):
 def _(t):
     counts = prf.distinct_counts(prf.value_counts(t.embeddings, ["embedding"]))
     nulls = prf.scalar_statistics(t.embeddings).filter(F.col("column") == "embedding")
-    return nulls.join(counts, "column").select("column", "null_count", "distinct_count")
+    return nulls.select("column", "null_count", counts.select("distinct_count").scalar().alias("distinct_count"))
 
 
 @query("prf_array_top_values", "PRF-11", oracle="""
@@ -149,10 +149,9 @@ def _(t):
     nested = t.orders.select(F.struct("o_orderstatus", "o_orderpriority").alias("s"))
     counts = prf.value_counts(nested)
     ranked = prf.top_values(counts, prf.few_valued(prf.distinct_counts(counts)))
-    top = ranked.groupBy("column").agg(F.max("cnt").alias("top_count"))
-    nulls = prf.scalar_statistics(nested)
-    return (nulls.join(prf.distinct_counts(counts), "column").join(top, "column")
-            .select("null_count", "distinct_count", "top_count"))
+    top = ranked.agg(F.max("cnt")).scalar()
+    distinct = prf.distinct_counts(counts).select("distinct_count").scalar()
+    return prf.scalar_statistics(nested).select("null_count", distinct.alias("distinct_count"), top.alias("top_count"))
 
 
 @query("prf_recent_window", "PRF-14", oracle="""SELECT count(*) AS total_count,
