@@ -76,19 +76,35 @@ def throttle(
 ) -> DataFrame:
     """Events kept when one is dropped if a kept event of its key lies at most the window before it.
 
-    Greedy by nature: what is kept depends on what was kept before. Time chunks per key make it
-    parallel: each chunk is reduced to a step function of the last kept time, the short list of step
-    functions is walked per key, and each chunk then picks its rows knowing where it starts. A busy key
-    costs one task per chunk, never one task for all its events.
+    An event more than the window after the one before it is always kept and starts an island; what follows
+    within the window of that start is always dropped. Only events further into an island depend on what was
+    kept before them, and those go to ``_chain``.
     """
     if chunk_seconds < window_seconds:
         raise ValueError("a chunk must be at least as long as the window")
     window, width = window_seconds * 1_000_000, chunk_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     # of events at one instant only the first can be kept
-    instants = events.groupBy(*keys, micros.alias("_t")).agg(F.min(event_id).alias("_id"))
+    rows = events.groupBy(*keys, micros.alias("_t")).agg(F.min(event_id).alias("_id"))
+    chunk = F.floor(F.col("_t") / width).cast("long")
+    rows = running(rows, keys, ["_t"], chunk, {"_before": ("max", F.col("_t"))}, inclusive=False)
+    starts = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > window)
+    rows = running(rows, keys, ["_t"], chunk, {"_island": ("last", F.when(starts, F.col("_t")))})
+    first = rows.filter(F.col("_t") == F.col("_island")).select("_id")
+    further = rows.filter(F.col("_t") - F.col("_island") > window).select(*keys, "_island", "_t", "_id")
+    kept = first.unionByName(_chain(further, [*keys, "_island"], window, width))
+    return events.join(kept.select(F.col("_id").alias(event_id)), event_id, "left_semi")
+
+
+def _chain(rows: DataFrame, keys: list[str], window: int, width: int) -> DataFrame:
+    """Ids kept by the greedy rule, whose first row per key is kept.
+
+    Time chunks per key make it parallel: each chunk is reduced to a step function of the last kept time,
+    the short list of step functions is walked per key, and each chunk then picks its rows knowing where it
+    starts. A busy key costs one task per chunk, never one task for all its events.
+    """
     chunks = (
-        instants.withColumn("_chunk", F.floor(F.col("_t") / width).cast("long"))
+        rows.withColumn("_chunk", F.floor(F.col("_t") / width).cast("long"))
         .groupBy(*keys, "_chunk")
         .agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("_e"))
         .withColumns({"_ts": F.col("_e._t"), "_ids": F.col("_e._id")})
@@ -119,8 +135,7 @@ def throttle(
         return pd.Series([_kept_in_chunk(t, window, e) for t, e in zip(times, entry)])
 
     picked = chunks.join(entries, [*keys, "_chunk"]).withColumn("_at", F.explode(pick("_ts", "_entry")))
-    kept = picked.select(F.element_at("_ids", F.col("_at") + 1).alias(event_id))
-    return events.join(kept, event_id, "left_semi")
+    return picked.select(F.element_at("_ids", F.col("_at") + 1).alias("_id"))
 
 
 def throttle_page_views(

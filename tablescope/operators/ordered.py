@@ -14,13 +14,7 @@ from tablescope.sources.shared import cut_lineage
 
 CHUNK = "_chunk"
 
-# running aggregates: kind -> (aggregate, how the carried state joins the in-chunk state)
-_AGGREGATES = {
-    "sum": (F.sum, lambda carry, inner: F.coalesce(carry + inner, carry, inner)),
-    "max": (F.max, lambda carry, inner: F.greatest(carry, inner)),
-    "min": (F.min, lambda carry, inner: F.least(carry, inner)),
-    "last": (None, lambda carry, inner: F.coalesce(inner, carry)),
-}
+AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def time_chunk(column: str | Column, seconds: int = 3600) -> Column:
@@ -54,51 +48,43 @@ def running(
 ) -> DataFrame:
     """Running aggregates per key in ``order``; ``specs`` maps output name to (kind, expression).
 
-    ``inclusive`` says whether the current row counts; ``backward`` runs from the last row to the first.
-    ``last`` keeps the newest non-null expression (wrap it in a struct to carry a null inside).
+    Kinds are sum, max, min and ``last``, the newest non-null expression (wrap it in a struct to carry a
+    null inside). ``inclusive`` says whether the current row counts; ``backward`` runs from the last row
+    to the first.
+
+    Every chunk gets one head row holding the state carried into it, so the rows themselves are
+    shuffled once, by key and chunk, and no join is needed.
     """
     asc = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
     chunk_order = F.col(CHUNK).desc() if backward else F.col(CHUNK).asc()
-    rows = df.withColumn(CHUNK, chunk)
-    exprs = {f"_in_{name}": expr for name, (_, expr) in specs.items()}
-    rows = rows.withColumns(exprs)
+    rows = df.withColumn(CHUNK, chunk).withColumns({f"_in_{name}": expr for name, (_, expr) in specs.items()})
 
     order_key = F.struct(*[F.col(c) for c in order])
     newest = F.min_by if backward else F.max_by
-    totals = []
+    totals, carries = [], []
+    before = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _) in specs.items():
-        inner = F.col(f"_in_{name}")
+        column = f"_in_{name}"
         if kind == "last":
-            total = newest(inner, F.when(inner.isNotNull(), order_key))
+            total = newest(column, F.when(F.col(column).isNotNull(), order_key))
+            carry = F.last(column, ignorenulls=True)
         else:
-            total = _AGGREGATES[kind][0](inner)
-        totals.append(total.alias(f"_total_{name}"))
-    per_chunk = rows.groupBy(*keys, CHUNK).agg(*totals)
-
-    before = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    for name, (kind, _) in specs.items():
-        total = F.col(f"_total_{name}")
-        carry = F.last(total, ignorenulls=True) if kind == "last" else _AGGREGATES[kind][0](total)
-        carried.append(carry.over(before).alias(f"_carry_{name}"))
-    carries = per_chunk.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"), *carried
-    )
-
-    on = F.col(CHUNK).eqNullSafe(F.col("_k_chunk"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = rows.join(carries, on, "left")
-
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*asc)
+            total, carry = AGGREGATES[kind](column), AGGREGATES[kind](column)
+        totals.append(total.alias(column))
+        carries.append(carry.over(before).alias(column))
+    # one row per key and chunk from here, merged inside the map tasks before the shuffle
+    heads = rows.groupBy(*keys, CHUNK).agg(*totals).select(*keys, CHUNK, *carries, F.lit(True).alias("_head"))
+
+    both = rows.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(F.col("_head").desc(), *asc)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = {}
     for name, (kind, _) in specs.items():
-        inner = F.col(f"_in_{name}")
-        agg = F.last(inner, ignorenulls=True) if kind == "last" else _AGGREGATES[kind][0](inner)
-        out[name] = _AGGREGATES[kind][1](F.col(f"_carry_{name}"), agg.over(frame))
-    helper = [CHUNK, "_k_chunk", *[f"_k_{k}" for k in keys], *exprs, *[f"_carry_{n}" for n in specs]]
-    return joined.withColumns(out).drop(*helper)
+        column = f"_in_{name}"
+        agg = F.last(column, ignorenulls=True) if kind == "last" else AGGREGATES[kind](column)
+        out[name] = agg.over(frame)
+    scanned = both.withColumns(out).filter(~F.col("_head"))
+    return scanned.drop(CHUNK, "_head", *[f"_in_{n}" for n in specs])
 
 
 def neighbours(
