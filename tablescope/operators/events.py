@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.operators.ordered import running, time_chunk
+from tablescope.sources.shared import cut_lineage
 
 THROTTLE_SECONDS = 120
 SESSION_GAP_SECONDS = 3600
@@ -90,8 +91,10 @@ def throttle(
     rows = running(rows, keys, ["_t"], chunk, {"_before": ("max", F.col("_t"))}, inclusive=False)
     starts = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > window)
     rows = running(rows, keys, ["_t"], chunk, {"_island": ("last", F.when(starts, F.col("_t")))})
+    # three branches read the islands, so they are written once
+    rows = cut_lineage(rows.select(*keys, "_island", "_t", "_id"), "islands")
     first = rows.filter(F.col("_t") == F.col("_island")).select("_id")
-    further = rows.filter(F.col("_t") - F.col("_island") > window).select(*keys, "_island", "_t", "_id")
+    further = rows.filter(F.col("_t") - F.col("_island") > window)
     kept = first.unionByName(_chain(further, [*keys, "_island"], window, width))
     return events.join(kept.select(F.col("_id").alias(event_id)), event_id, "left_semi")
 

@@ -52,7 +52,7 @@ sql("sql_try_cast", "SQL-11", spark="""SELECT event_id, TRY_CAST(CASE WHEN event
 sql("sql_ctes", "SQL-12", spark="""WITH orders_big AS (SELECT * FROM orders WHERE o_totalprice > 250000),
     customer AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0),
     per AS (WITH inner_per AS (SELECT o_custkey, count(*) AS n FROM orders_big GROUP BY o_custkey) SELECT * FROM inner_per WHERE n > 1)
-    SELECT c_mktsegment, count(*) AS buyers, sum(n) AS orders FROM per JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""")
+    SELECT c_mktsegment, count(*) AS buyers, CAST(sum(n) AS BIGINT) AS orders FROM per JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""")
 sql("sql_unions", "SQL-13", spark="""SELECT k, sum(n) AS n FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY o_orderstatus
     UNION ALL SELECT l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus) GROUP BY k""",
     oracle="""SELECT k, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY o_orderstatus
@@ -91,7 +91,7 @@ def _(t):
     per = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.select("o_custkey", "o_orderpriority", (before + 1).alias("rk"), F.row_number().over(w).alias("dr"))
+    ranks = per.select("o_custkey", "o_orderpriority", (before + 1).alias("rk"), F.row_number().over(w).cast("long").alias("dr"))
     # the two rows before, across the chunks a customer is cut into
     order, chunk = ["o_orderdate", "o_orderkey"], time_chunk("o_orderdate", 30 * 86400)
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", F.col("o_totalprice").alias("p"))
@@ -127,11 +127,11 @@ def _(t):
 
 # ---- scalar families
 
-sql("sca_strings", "SCA-01", spark=r"""SELECT p_partkey, lower(p_type) AS lo, trim('  ' || p_name || ' ') AS tr, length(p_name) AS len,
+sql("sca_strings", "SCA-01", spark=r"""SELECT p_partkey, lower(p_type) AS lo, trim('  ' || p_name || ' ') AS tr, CAST(length(p_name) AS BIGINT) AS len,
     p_name LIKE '%e\\_%' ESCAPE '\\' AS esc, p_name ILIKE 'RED%' AS red, regexp_replace(p_name, '[aeiou]', '*') AS vowels,
     p_brand RLIKE '^Brand#1[0-9]$' AS teens, split_part(p_name, ' ', 2) AS noun, substring(p_name, 2, 3) AS sub,
     concat_ws('-', p_brand, p_type) AS both FROM part""",
-    oracle=r"""SELECT p_partkey, lower(p_type) AS lo, trim('  ' || p_name || ' ') AS tr, length(p_name) AS len,
+    oracle=r"""SELECT p_partkey, lower(p_type) AS lo, trim('  ' || p_name || ' ') AS tr, CAST(length(p_name) AS BIGINT) AS len,
     p_name LIKE '%e\_%' ESCAPE '\' AS esc, p_name ILIKE 'RED%' AS red, regexp_replace(p_name, '[aeiou]', '*', 'g') AS vowels,
     regexp_matches(p_brand, '^Brand#1[0-9]$') AS teens, split_part(p_name, ' ', 2) AS noun, substring(p_name, 2, 3) AS sub,
     concat_ws('-', p_brand, p_type) AS both FROM part""")
