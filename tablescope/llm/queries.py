@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, mixing, secrets
+from tablescope.llm import bpe, mixing, ngram_join, secrets
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -46,3 +46,8 @@ def _mixing(t: Tables) -> DataFrame:
 @query("op10_secret_scan")
 def _secrets(t: Tables) -> DataFrame:
     return span_columns(secrets.scan(t.documents), secrets.BASE_KINDS)
+
+
+@query("op7_ngram_jaccard")
+def _ngram(t: Tables) -> DataFrame:
+    return ngram_join.near_duplicates(t.documents)
