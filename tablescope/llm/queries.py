@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, mixing, ngram_join, secrets
+from tablescope.llm import bpe, mixing, ngram_join, secrets, toxicity
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -51,3 +51,8 @@ def _secrets(t: Tables) -> DataFrame:
 @query("op7_ngram_jaccard")
 def _ngram(t: Tables) -> DataFrame:
     return ngram_join.near_duplicates(t.documents)
+
+
+@query("op8_toxicity")
+def _toxicity(t: Tables) -> DataFrame:
+    return toxicity.toxicity(t.documents, t.labels)
