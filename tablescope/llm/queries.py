@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, mixing, ngram_join, secrets, toxicity
+from tablescope.llm import bpe, mixing, ngram_join, quality, secrets, toxicity
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -56,3 +56,8 @@ def _ngram(t: Tables) -> DataFrame:
 @query("op8_toxicity")
 def _toxicity(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels)
+
+
+@query("op2_risk_controlled_quality")
+def _quality(t: Tables) -> DataFrame:
+    return quality.judge(t.documents, t.labels)
