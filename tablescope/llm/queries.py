@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bpe, mixing, ngram_join, quality, secrets, toxicity
+from tablescope.llm import bpe, mixing, ngram_join, pii, quality, secrets, toxicity
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -61,3 +61,8 @@ def _toxicity(t: Tables) -> DataFrame:
 @query("op2_risk_controlled_quality")
 def _quality(t: Tables) -> DataFrame:
     return quality.judge(t.documents, t.labels)
+
+
+@query("op1_weakly_supervised_pii")
+def _pii(t: Tables) -> DataFrame:
+    return span_columns(pii.personal_data(t.documents), pii.BASE_KINDS)
