@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, mixing, ngram_join, pii, quality, secrets, toxicity
+from tablescope.llm import bpe, html_content, mixing, ngram_join, pii, quality, secrets, toxicity
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -66,3 +67,8 @@ def _quality(t: Tables) -> DataFrame:
 @query("op1_weakly_supervised_pii")
 def _pii(t: Tables) -> DataFrame:
     return span_columns(pii.personal_data(t.documents), pii.BASE_KINDS)
+
+
+@query("op5_html_main_text")
+def _html(t: Tables) -> DataFrame:
+    return html_content.extract(t.pages).withColumn("n_chars", F.length("text").cast("long"))
