@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, html_content, mixing, ngram_join, pii, quality, secrets, toxicity
+from tablescope.llm import bpe, html_content, mixing, ngram_join, pii, quality, secrets, toxicity, unigram
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -72,3 +72,8 @@ def _pii(t: Tables) -> DataFrame:
 @query("op5_html_main_text")
 def _html(t: Tables) -> DataFrame:
     return html_content.extract(t.pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op9_unigram_token_counts")
+def _counts(t: Tables) -> DataFrame:
+    return unigram.token_counts(t.documents, vocabulary("piece_bpe_32k.model"))
