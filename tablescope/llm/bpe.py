@@ -73,7 +73,7 @@ class TrieEncoder:
         self.word = regex.compile(WORD_PATTERN)
         # for cutting only, an unassigned character stands in for those the tokenizer's tables don't know
         self.stand_in = dict.fromkeys(map(ord, vocabulary["newer"]), "͸")
-        self.newer = regex.compile("[" + vocabulary["newer"] + "]") if vocabulary["newer"] else None
+        self.newer = frozenset(vocabulary["newer"])
         self.beside: dict[tuple[int, int], bool] = {}
         self.encoded: dict[str, bytes] = {}
 
@@ -124,7 +124,7 @@ class TrieEncoder:
             self.encoded[word] = tokens.tobytes()
 
     def words_of(self, text: str) -> list[str]:
-        if self.newer is None or not self.newer.search(text):
+        if text.isascii() or self.newer.isdisjoint(text):
             return self.word.findall(text)
         return [text[m.start() : m.end()] for m in self.word.finditer(text.translate(self.stand_in))]
 
