@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, html_content, mixing, ngram_join, pii, quality, secrets, toxicity, unigram
+from tablescope.llm import bpe, embed_dedup, html_content, mixing, ngram_join, pii, quality, secrets, toxicity, unigram
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -77,3 +77,8 @@ def _html(t: Tables) -> DataFrame:
 @query("op9_unigram_token_counts")
 def _counts(t: Tables) -> DataFrame:
     return unigram.token_counts(t.documents, vocabulary("piece_bpe_32k.model"))
+
+
+@query("op6_embedding_near_dedup")
+def _embeddings(t: Tables) -> DataFrame:
+    return embed_dedup.near_duplicates(t.embeddings)
