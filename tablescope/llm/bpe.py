@@ -140,15 +140,17 @@ class TrieEncoder:
         return b"".join([table[i] for i in memoryview(packed).cast("I")]).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", step: int = 500) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` for every row of ``docs``.
+def encode(
+    docs: DataFrame, vocabulary_path: str, text: str = "text", step: int = 500, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded`` and the columns ``keep`` for every row of ``docs``.
 
     ``ids`` are packed as little-endian unsigned 32-bit integers, ``decoded`` is the text decoded from them. Added
     tokens in a text become their own ids. Null is an empty text; an empty text has no tokens. Rows are handled ``step``
     at a time whatever their length, so memory is that of ``step`` texts and ``CACHE_WORDS`` encodings. Equal rows give
     equal rows; other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark, kept = docs.sparkSession, ("doc_id", *keep)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))  # size of the vocabulary, not of the data
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +158,19 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", step: int
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                packed = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                packed = encoder.encode([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[1:],
                         pa.array([len(p) // 4 for p in packed], pa.int64()),
                         pa.array(packed, pa.binary()),
                         pa.array([encoder.decode(p) for p in packed], pa.string()),
                     ],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                    names=[*kept, "n_tokens", "ids", "decoded"],
                 )
 
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text)).mapInArrow(
-        encoded, f"doc_id {key_type}, n_tokens long, ids binary, decoded string"
-    )
+    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(text, *kept).mapInArrow(encoded, f"{types}n_tokens long, ids binary, decoded string")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
