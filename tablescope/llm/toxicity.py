@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ORDER = 6
 SHARED_ORDER = 2
@@ -217,27 +218,30 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return mean, scale, w
 
 
-def features_of(docs: DataFrame, counts, carried: str, fields: list[str]) -> DataFrame:
-    """``mean, window, top`` of each row's ``text`` beside its other ``fields`` (schema ``carried``)."""
+def features_of(rows: DataFrame, counts, with_text: bool = False) -> DataFrame:
+    """``doc, mean, window, top`` of ``rows`` (``doc, text``), and the text itself where asked for."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LetterModel(counts.value)
         for batch in batches:
-            rows = [model.features(t.as_py()) for t in batch.column(0)]
-            columns = np.array(rows, float).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *(pa.array(c) for c in columns)], names=[*fields, "mean", "window", "top"]
-            )
+            found = np.array([model.features(t.as_py()) for t in batch.column(1)], float).reshape(-1, 3).T
+            columns = [*batch.columns[: 1 + with_text], *map(pa.array, found)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "mean", "window", "top"])
 
-    return docs.select("text", *fields).mapInArrow(scored, f"{carried}, mean double, window double, top double")
+    names = ["doc", "text"][: 1 + with_text]
+    schema = StructType([rows.schema[n] for n in names])
+    for name in ("mean", "window", "top"):
+        schema = schema.add(name, "double")
+    return rows.select("doc", "text").mapInArrow(measured, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs`` (``doc_id, text`` and any others, not read).
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, with_text: bool = True) -> DataFrame:
+    """``doc, score`` for every row of ``docs`` (``doc_id, text`` and any others), and ``text`` unless it is not wanted.
 
-    The models learn from ``labels`` (``doc_id, toxic``) whose fold is not 0, at most about ``sample`` per class. Null
-    and empty texts, and texts without letters, get the score of no evidence. Without labelled documents, or with one
-    class of them only, every score is the share of toxic ones (0.0 without any). Equal texts score alike. An empty
+    ``doc`` holds the row's columns but for the text, under any names. The models learn from ``labels`` (``doc_id,
+    toxic``) whose fold is not 0, at most about ``sample`` per class. Null and empty texts, and texts without letters, get
+    the score of no evidence. Without labelled documents, or with one class of them only, every score is the share of
+    toxic ones (0.0 without any). Rows without an id are scored and not learnt from. Equal texts score alike. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -245,25 +249,33 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     known = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "curve")
     counts = ngram_counts(word_counts(known.filter("NOT curve")), ORDER, LEAST_COUNT, MODEL_NGRAMS)
     shared = spark.sparkContext.broadcast(counts)
-    fit = features_of(known.filter("curve"), shared, "toxic int", ["toxic"]).collect()  # a fold of the sample
+    curve = known.filter("curve").select(F.struct("toxic").alias("doc"), "text")
+    fit = features_of(curve, shared).select("doc.toxic", "mean", "window", "top").collect()  # a fold of the sample
     x = np.array([r[1:] for r in fit], float).reshape(-1, 3)
     y = np.array([r[0] for r in fit], float)
-    mean, scale, weights = fit_logistic(x, y) if 0 < y.sum() < len(y) else (np.zeros(3), np.ones(3), None)
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    found = features_of(docs, shared, f"doc_id {key_type}", ["doc_id"])
-    if weights is None:
-        return found.select("doc_id", F.lit(float(y.mean()) if len(y) else 0.0).alias("score"))
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("doc"), "text")
+    found = features_of(rows, shared, with_text)
+    carried = ["doc", "text"][: 1 + with_text]
+    if not 0 < y.sum() < len(y):
+        return found.select(*carried, F.lit(float(y.mean()) if len(y) else 0.0).alias("score"))
+    mean, scale, weights = fit_logistic(x, y)
     line = F.lit(float(weights[0]))
     for name, m, s, w in zip(("mean", "window", "top"), mean, scale, weights[1:]):
         line = line + (F.col(name) - float(m)) / float(s) * float(w)
-    return found.select("doc_id", (1 / (1 + F.exp(-line))).alias("score"))
+    return found.select(*carried, (1 / (1 + F.exp(-line))).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted``; ``predicted`` is 1 from a score of 0.5 on."""
-    return score(docs, labels, **options).select(
-        "doc_id",
-        F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+    return scored(docs.select("doc_id", "text"), labels, with_text=False, **options).select(
+        "doc.doc_id",
+        F.coalesce(fold(F.col("doc.doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with their columns."""
+    kept = scored(docs, labels, **options).filter("score < 0.5")
+    return kept.select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
