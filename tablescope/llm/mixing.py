@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import text_or_empty, words
+from tablescope.llm.common import named, text_or_empty, words
 from tablescope.sources.shared import cut_lineage
 
 #: Weights of the sources in order of their names, repeating.
@@ -129,7 +129,7 @@ def mix(
     """
     text = text_or_empty()
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*map(named, docs.columns)).alias("doc"),
         _key(F.col("source")).alias("key"),
         F.size(words(text)).cast("long").alias("size"),
         F.xxhash64("doc_id", text).alias("h"),

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablescope.llm.common import named
+
 ORDER = 6
 SHARED_ORDER = 2
 #: Folds by ``crc32(id as text)``: 0 is held out, this one fits the curve, the others give the counts.
@@ -253,7 +255,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, with_text:
     fit = features_of(curve, shared).select("doc.toxic", "mean", "window", "top").collect()  # a fold of the sample
     x = np.array([r[1:] for r in fit], float).reshape(-1, 3)
     y = np.array([r[0] for r in fit], float)
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("doc"), "text")
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("doc"), "text")
     found = features_of(rows, shared, with_text)
     carried = ["doc", "text"][: 1 + with_text]
     if not 0 < y.sum() < len(y):
