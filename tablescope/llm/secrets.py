@@ -202,4 +202,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 arrays[count] = pa.array(sizes, arrays[count].type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(redacted, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots would be taken for fields
+    return plain.mapInArrow(redacted, plain.schema).toDF(*docs.columns)
