@@ -5,7 +5,7 @@ each candidate, for, against or not at all: checks of its form, gazetteers (coun
 names), words around it and its neighbouring characters. Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is, without labels; the posterior of each candidate then trains the final span
 classifier, a log-linear model over the candidate's form and surroundings. Base matches that pass their checks are always
-reported; of the further kinds, those that the classifier takes for personal data.
+reported; of the further kinds, those that pass theirs and that the classifier takes for personal data.
 
 Vote patterns are few, however many the candidates: every pass over the data is one aggregation that merges inside the
 map tasks, and only model parameters reach the driver.
@@ -192,12 +192,17 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     weak = F.concat(*(_found(k, t) for k in WEAK_KINDS))
 
     def apart(both: Column) -> Column:
-        """Of the further kinds, those that touch no valid base match."""
+        """Of the further kinds, those that touch no valid base match, and of numbers those that are part of no code."""
+
+        def touches(w: Column, other: Column) -> Column:
+            return (other["start"] < w["end"]) & (w["start"] < other["end"])
+
         return F.concat(
             both["base"],
             F.filter(
                 both["weak"],
-                lambda w: ~F.exists(both["base"], lambda b: b["form"] & (b["start"] < w["end"]) & (w["start"] < b["end"])),
+                lambda w: ~F.exists(both["base"], lambda b: b["form"] & touches(w, b))
+                & ~((w["kind"] == "tel") & F.exists(both["weak"], lambda o: o["kind"].isin("ssn", "iban") & touches(w, o))),
             ),
         )
 
@@ -231,7 +236,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             F.least(F.length(digits) / 3, F.lit(7)).cast("int").cast("string"),
             sort_of(before),
             sort_of(after),
-            F.concat_ws(",", votes[1].cast("string"), votes[2].cast("string"), votes[3].cast("string")),
+            F.concat_ws(",", *(v.cast("string") for v in votes[:4])),
         ]
         return F.struct(
             kind.alias("kind"),
@@ -329,7 +334,8 @@ def personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
         ]
         return reduce(lambda a, b: a + b, parts, F.lit(constant)) > 0
 
-    reported = F.filter("found", lambda c: c["base"] | (c["kind"].isin(*WEAK_KINDS) & sure(c)))
+    # a further kind that fails its own check has a vote against it and is not reported whatever the others say
+    reported = F.filter("found", lambda c: c["base"] | (c["kind"].isin(*WEAK_KINDS) & (c["votes"][0] >= 0) & sure(c)))
     order = {k: i for i, k in enumerate(KINDS)}
     ranked = F.sort_array(
         F.transform(
