@@ -140,7 +140,7 @@ def test_labelers_agree_on_further_kinds(make_docs):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(make_docs(rows)).collect()}
     assert all(("tel", 18, 32) in got[200 + i] for i in range(20))
     assert ("iban", 5, 32) in got[300] and not got[301]
-    assert all(not got[100 + i] for i in range(60))
+    assert all(k in pii.BASE_KINDS for i in range(60) for k, *_ in got[100 + i])
 
 
 def test_empty_tables(make_docs):
