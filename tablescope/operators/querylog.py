@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tablescope.operators.ordered import top_per_key
 
 TOP_N = 5
-# fixed values: the patterns that find tables and named sub-queries in a SQL text
-TABLE = r"(?i)(FROM|JOIN)\s+(?:`?(\w+)`?\.)?`?(\w+)`?"
-CTE = r"(?i)(?:\bWITH\b|,)\s*(?:RECURSIVE\s+)?`?(\w+)`?(?:\s*\([^)]*\)\s*|\s+)AS\s*\("
 
-# fixed values: words after FROM or JOIN that are no table
-KEYWORDS = (
-    "select where group order limit having union insert update delete set values into as on and or not null "
-    "true false case when then else end exists in between like is by all any some distinct lateral"
-).split()
+_NAME = r"""(?:`[^`]*+`|"[^"]*+"|\[[^\]]*+\]|[\p{L}_][\p{L}\p{N}_$]*+)"""
+#: Strings and comments, names with up to three dots, and the marks that tell clauses apart.
+TOKEN = rf"'[^']*+'|--[^\n]*+|/\*(?s:.*?)\*/|{_NAME}(?:\s*+\.\s*+{_NAME}){{0,3}}|[(),;]"
+#: Words that end the list of tables after FROM.
+CLAUSES = ("where", "group", "order", "having", "limit", "union", "intersect", "except", "window", "qualify", "set", "returning")
+#: Words a parenthesis may follow without making a call.
+BEFORE_GROUP = (
+    "from", "join", "in", "as", "on", "and", "or", "not", "exists", "any", "all", "some", "where", "having", "select", "by",
+    "union", "intersect", "except", "values", "with", "over", "using", "then", "else", "when", "case", "lateral", "(", ",", ")", ";", "",
+)
 
 
 def exclude_queries(log: DataFrame, text: str, patterns: list[str]) -> DataFrame:
@@ -26,23 +28,100 @@ def exclude_queries(log: DataFrame, text: str, patterns: list[str]) -> DataFrame
     return log
 
 
-def _mentions(sql: Column) -> Column:
-    """(word, table) of every FROM and JOIN, in text order, without keywords and CTE names."""
-
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(sql, F.lit(TABLE), F.lit(i))
-
-    ctes = F.transform(F.regexp_extract_all(sql, F.lit(CTE), F.lit(1)), F.lower)
-    raw = F.arrays_zip(group(1).alias("word"), group(2).alias("schema"), group(3).alias("table"))
-    named = F.transform(
-        raw,
-        lambda m: F.struct(
-            F.lower(m["word"]).alias("word"),
-            F.lower(F.concat_ws(".", F.nullif(m["schema"], F.lit("")), m["table"])).alias("name"),
-            F.lower(m["table"]).alias("bare"),
+def _tokens(sql: Column) -> Column:
+    """Words in lower case with the two before and the one after; names lose their quotes, literals and comments go."""
+    kept = F.filter(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^(?:'|--|/\*)"))
+    plain = F.transform(kept, lambda t: F.lower(F.regexp_replace(t, r"[`\"\[\]]|\s+(?=\.)|(?<=\.)\s+", "")))
+    # the one-element array binds the words, which each lambda call would tokenise anew
+    return F.transform(
+        F.array(plain),
+        lambda words: F.transform(
+            words,
+            lambda w, i: F.struct(
+                w.alias("word"),
+                F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"),
+                F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"),
+                F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+            ),
         ),
+    )[0]
+
+
+_SCOPE = "struct<call:boolean,selects:boolean,tables:boolean,names:boolean,first:string>"
+_READING = (
+    f"struct<scopes:array<{_SCOPE}>,expects:string,ctes:array<string>,"
+    "found:array<struct<word:string,name:string,first:string>>>"
+)
+
+
+def _scope(call, selects, tables, names, first) -> Column:
+    return F.struct(
+        call.alias("call"), selects.alias("selects"), tables.alias("tables"), names.alias("names"), first.alias("first")
     )
-    return F.filter(named, lambda m: ~m["bare"].isin(KEYWORDS) & ~F.array_contains(ctes, m["name"]))
+
+
+def _read(state: Column, t: Column) -> Column:
+    """One word further. A scope is opened by each parenthesis and knows whether it is a call's, whether a SELECT has
+    begun in it, whether a list of tables or of named sub-queries is open, and the first table of its SELECT."""
+    word, no, yes, none = t["word"], F.lit(False), F.lit(True), F.lit(None).cast("string")
+    scopes = state["scopes"]
+    top = F.element_at(scopes, -1)
+    below = F.slice(scopes, 1, F.size(scopes) - 1)
+    opens, closes = word == "(", word == ")"
+    select = (word == "select") | (word == "delete")
+    from_ = (word == "from") & top["selects"] & (t["before"] != "distinct") & ~(top["call"] & ~top["selects"])
+    join = (word == "join") & top["tables"]
+    comma = (word == ",") & top["tables"]
+    clause = word.isin(*CLAUSES)
+    mark = word.isin("(", ")", ",", ";")
+    skipped = word.isin("lateral", "only")
+    names_table = (state["expects"] != "") & ~mark & ~skipped & ~select & ~clause
+    is_table = names_table & (t["after"] != "(")
+    named = top["names"] & t["before"].isin("with", "recursive", ",") & ~mark & (word != "recursive")
+    first = F.when(is_table & (state["expects"] == "from"), word).otherwise(top["first"])
+    changed = _scope(
+        top["call"],
+        top["selects"] | select,
+        F.when(from_, yes).when(clause | select, no).otherwise(top["tables"]),
+        F.when(word == "with", yes).when(select, no).otherwise(top["names"]),
+        F.when(select, none).otherwise(first),
+    )
+    group = opens & (state["expects"] != "") & ~t["after"].isin("select", "with", "values", "(")  # tables in parentheses
+    inner = _scope(~t["before"].isin(*BEFORE_GROUP) & (state["expects"] == ""), group, group, no, none)
+    found = F.struct(state["expects"].alias("word"), word.alias("name"), top["first"].alias("first"))
+    return F.struct(
+        F.when(opens, F.concat(scopes, F.array(inner)))
+        .when(closes & (F.size(scopes) > 1), below)
+        .when(closes, scopes)
+        .otherwise(F.concat(below, F.array(changed)))
+        .alias("scopes"),
+        F.when(from_ | group, "from").when(join, "join").when(comma, ",").when(skipped, state["expects"]).otherwise("").alias("expects"),
+        F.when(named, F.concat(state["ctes"], F.array(word))).otherwise(state["ctes"]).alias("ctes"),
+        F.when(is_table, F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"),
+    ).cast(_READING)
+
+
+def _mentions(sql: Column) -> Column:
+    """``word, name, first`` of every table after FROM, JOIN or a comma between tables, in text order, without the names
+    of sub-queries; ``first`` is the table its own SELECT reads first, null if that is a sub-query."""
+    no, none = F.lit(False), F.lit(None).cast("string")
+    start = F.struct(
+        F.array(_scope(no, no, no, no, none)).alias("scopes"),
+        F.lit("").alias("expects"),
+        F.array().cast("array<string>").alias("ctes"),
+        F.array().cast("array<struct<word:string,name:string,first:string>>").alias("found"),
+    ).cast(_READING)
+
+    def own(read: Column) -> Column:
+        def table(name: Column) -> Column:
+            return F.when(~F.array_contains(read["ctes"], name), name)
+
+        tables = F.filter(read["found"], lambda m: ~F.array_contains(read["ctes"], m["name"]))
+        return F.transform(
+            tables, lambda m: F.struct(m["word"].alias("word"), m["name"].alias("name"), table(m["first"]).alias("first"))
+        )
+
+    return F.aggregate(_tokens(sql), start, _read, own)
 
 
 def table_references(sql: Column) -> Column:
@@ -51,12 +130,9 @@ def table_references(sql: Column) -> Column:
 
 
 def join_pairs(sql: Column) -> Column:
-    """(left, right) pairs: the first FROM table with each joined table."""
-    mentions = _mentions(sql)
-    first = F.try_element_at(F.filter(mentions, lambda m: m["word"] == "from"), F.lit(1))["name"]
-    joined = F.filter(mentions, lambda m: m["word"] == "join")
-    pairs = F.transform(joined, lambda m: F.struct(first.alias("left"), m["name"].alias("right")))
-    return F.when(first.isNotNull(), pairs).otherwise(F.filter(pairs, lambda _: F.lit(False)))
+    """(left, right) pairs: each joined table with the first FROM table of its own SELECT, where both are tables."""
+    joined = F.filter(_mentions(sql), lambda m: (m["word"] == "join") & m["first"].isNotNull())
+    return F.transform(joined, lambda m: F.struct(m["first"].alias("left"), m["name"].alias("right")))
 
 
 def distinct_queries(log: DataFrame, text: str, seq: str) -> DataFrame:

@@ -8,14 +8,16 @@ from tablescope.plans.registry import query
 from tablescope.sources import warehouses as wh
 from tablescope.sources.shared import cut_lineage
 
-TEXT = """CASE event_id % 7
+TEXT = """CASE event_id % 9
     WHEN 0 THEN 'SELECT * FROM main.' || event_type
     WHEN 1 THEN 'select count(*) from orders_' || (user_id % 5) || ' o JOIN analytics.' || event_type || ' x ON o.id = x.id'
     WHEN 2 THEN 'WITH recent AS (SELECT * FROM ' || event_type || ') SELECT * FROM recent JOIN main.users_' || (user_id % 3) || ' u USING (id)'
     WHEN 3 THEN '  SELECT a FROM `main`.`Click` JOIN `view` USING (id) LEFT JOIN MAIN.signup s USING (id) WHERE a > ' || (user_id % 4) || ' '
     WHEN 4 THEN 'SELECT 1 FROM (SELECT * FROM main.purchase p JOIN orders_' || (user_id % 5) || ' USING (id)) q'
     WHEN 5 THEN 'INSERT INTO main.view SELECT ' || user_id || ' FROM LATERAL'
-    ELSE 'SELECT error FROM error e, (SELECT 1) z WHERE e.k = ' || (user_id % 6) END"""
+    WHEN 6 THEN 'SELECT error FROM error e, (SELECT 1) z WHERE e.k = ' || (user_id % 6)
+    WHEN 7 THEN 'SELECT * FROM main.Purchase WHERE i IN (SELECT i FROM main.' || event_type || ' b JOIN main.users_' || (user_id % 3) || ' c USING (i))'
+    ELSE 'SELECT extract(year FROM valid_from) AS y /* FROM none */ FROM cat.main.' || event_type || ' v, orders_' || (user_id % 5) || ' o' END"""
 LOG = ["event_id AS seq", f"{TEXT} AS query_text"]
 LOG_SQL = f"SELECT {', '.join(LOG)} FROM events"
 TABLES_SQL = """SELECT DISTINCT 'main' AS schema, event_type AS "table" FROM events UNION SELECT 'analytics', event_type FROM events
@@ -32,23 +34,32 @@ def tables(t):
     return names.distinct()
 
 
-WORDS = ", ".join(f"'{w}'" for w in qh.KEYWORDS)
-# DuckDB's \\w is ASCII as Java's is; groups are read one at a time
-MENTION_SQL = f"""SELECT *, regexp_extract_all(query_text, '(?i)(?:FROM|JOIN)\\s+(?:`?(\\w+)`?\\.)?`?(\\w+)`?', 1) AS s,
-    regexp_extract_all(query_text, '(?i)(?:FROM|JOIN)\\s+(?:`?(\\w+)`?\\.)?`?(\\w+)`?', 2) AS n,
-    regexp_extract_all(query_text, '(?i)(FROM|JOIN)\\s+(?:`?(\\w+)`?\\.)?`?(\\w+)`?', 1) AS w,
-    list_transform(regexp_extract_all(query_text, '(?i)(?:\\bWITH\\b|,)\\s*(?:RECURSIVE\\s+)?`?(\\w+)`?(?:\\s*\\([^)]*\\)\\s*|\\s+)AS\\s*\\(', 1),
-      lambda x: lower(x)) AS ctes FROM ({{0}})"""
-FLAT_SQL = f"""SELECT * EXCLUDE (s, n, w, ctes, i) REPLACE (lower(CASE WHEN s[i] IS NULL OR s[i] = '' THEN n[i] ELSE s[i] || '.' || n[i] END) AS name)
-    FROM (SELECT *, '' AS name, lower(w[i]) AS word, i AS pos FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM ({MENTION_SQL})))
-    WHERE lower(n[i]) NOT IN ({WORDS})
-      AND NOT list_contains(ctes, lower(CASE WHEN s[i] IS NULL OR s[i] = '' THEN n[i] ELSE s[i] || '.' || n[i] END))"""
-DISTINCT_SQL = f"SELECT trim(query_text) AS query_text, count(*) AS times, min(seq) AS first_seq FROM ({LOG_SQL}) GROUP BY 1"
+# what each text mentions and joins, stated by hand
+FOUND_SQL = """CASE event_id % 9
+    WHEN 0 THEN ['main.' || event_type]
+    WHEN 1 THEN ['orders_' || (user_id % 5), 'analytics.' || event_type]
+    WHEN 2 THEN [event_type, 'main.users_' || (user_id % 3)]
+    WHEN 3 THEN ['main.click', 'view', 'main.signup']
+    WHEN 4 THEN ['main.purchase', 'orders_' || (user_id % 5)]
+    WHEN 6 THEN ['error']
+    WHEN 7 THEN ['main.purchase', 'main.' || event_type, 'main.users_' || (user_id % 3)]
+    WHEN 8 THEN ['cat.main.' || event_type, 'orders_' || (user_id % 5)]
+    ELSE [] END"""
+JOINED_SQL = """CASE event_id % 9
+    WHEN 1 THEN [{l: 'orders_' || (user_id % 5), r: 'analytics.' || event_type, p: 1}]
+    WHEN 3 THEN [{l: 'main.click', r: 'view', p: 1}, {l: 'main.click', r: 'main.signup', p: 2}]
+    WHEN 4 THEN [{l: 'main.purchase', r: 'orders_' || (user_id % 5), p: 1}]
+    WHEN 7 THEN [{l: 'main.' || event_type, r: 'main.users_' || (user_id % 3), p: 1}]
+    ELSE [] END"""
+LOG_FLAT_SQL = f"SELECT seq, name FROM (SELECT event_id AS seq, unnest({FOUND_SQL}) AS name FROM events)"
+DISTINCT_SQL = f"""SELECT trim({TEXT}) AS query_text, count(*) AS times, min(event_id) AS first_seq,
+    any_value({FOUND_SQL}) AS found, any_value({JOINED_SQL}) AS joined FROM events GROUP BY 1"""
+FLAT_SQL = f"SELECT query_text, times, first_seq, unnest(found) AS name FROM ({DISTINCT_SQL})"
 MATCH = "({0} = lower(t.schema || '.' || t.\"table\") OR {0} = lower(t.\"table\") OR ends_with({0}, '.' || lower(t.\"table\")))"
-USED_SQL = f"""SELECT DISTINCT t.schema, t."table", m.query_text, m.times, m.first_seq FROM ({FLAT_SQL.format(DISTINCT_SQL)}) m
+USED_SQL = f"""SELECT DISTINCT t.schema, t."table", m.query_text, m.times, m.first_seq FROM ({FLAT_SQL}) m
     JOIN ({TABLES_SQL}) t ON {MATCH.format('m.name')}"""
-PAIRS_SQL = f"""WITH m AS ({FLAT_SQL.format(DISTINCT_SQL)}), f AS (SELECT query_text, arg_min(name, pos) AS l FROM m WHERE word = 'from' GROUP BY 1)
-    SELECT m.query_text, m.times, m.first_seq, m.pos, f.l AS "left", m.name AS "right" FROM m JOIN f USING (query_text) WHERE word = 'join'"""
+PAIRS_SQL = f"""SELECT query_text, times, first_seq, j.p AS pos, j.l AS "left", j.r AS "right"
+    FROM (SELECT query_text, times, first_seq, unnest(joined) AS j FROM ({DISTINCT_SQL}))"""
 
 
 @query("qh_exclude", "QH-01", oracle=f"""SELECT * FROM ({LOG_SQL}) WHERE NOT regexp_matches(query_text, '(?i)^insert')
@@ -58,7 +69,7 @@ def _(t):
 
 
 @query("qh_references", "QH-02", oracle=f"""SELECT seq, string_agg(DISTINCT name, ',' ORDER BY name) AS refs
-    FROM ({FLAT_SQL.format(LOG_SQL)}) GROUP BY 1""")
+    FROM ({LOG_FLAT_SQL}) GROUP BY 1""")
 def _(t):
     refs = log(t).select("seq", F.array_join(qh.table_references(F.col("query_text")), ",").alias("refs"))
     return refs.filter("refs <> ''")
@@ -70,7 +81,7 @@ def _(t):
     return rows.select("query_text", F.inline(qh.join_pairs(F.col("query_text"))))
 
 
-@query("qh_matches", "QH-04", "SQL-04", oracle=f"""SELECT DISTINCT m.name, t.schema, t."table" FROM ({FLAT_SQL.format(DISTINCT_SQL)}) m
+@query("qh_matches", "QH-04", "SQL-04", oracle=f"""SELECT DISTINCT m.name, t.schema, t."table" FROM ({FLAT_SQL}) m
     JOIN ({TABLES_SQL}) t ON {MATCH.format('m.name')}""")
 def _(t):
     refs = log(t).select(F.explode(qh.table_references(F.col("query_text"))).alias("name")).distinct()

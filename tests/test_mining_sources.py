@@ -18,6 +18,11 @@ REFERENCES = [
     ("WITH RECURSIVE r AS (SELECT 1) SELECT * FROM r", []),
     ("SELECT * FROM `proj`.`tab`", ["proj.tab"]),
     ("DELETE FROM WHERE", []),
+    ("select extract(year from d), trim(both from x) from p.s.t", ["p.s.t"]),
+    ("select valid_from x, 'from nowhere' -- from comment\nfrom a, \"B b\".c where x is distinct from y", ["a", "b b.c"]),
+    ("select * from a where i in (select i from b join c using (i)) and j not in (select j from d)", ["a", "b", "c", "d"]),
+    ("select * from generate_series(1, 2) g join t on true union all select * from `p.q.r`", ["p.q.r", "t"]),
+    ("select * from (a join b using (i)) join c using (i)", ["a", "b", "c"]),
 ]
 
 
@@ -33,7 +38,10 @@ def test_references(spark, log):
 
 def test_pairs(spark, log):
     got = {r["seq"]: [tuple(p) for p in r["pairs"]] for r in log.select("seq", qh.join_pairs(F.col("q")).alias("pairs")).collect()}
-    assert got[2] == [("a", "b"), ("a", "s.c")] and got[0] == [] and got[4] == [("base", "other")]
+    assert got[2] == [("a", "b"), ("a", "s.c")] and got[0] == []
+    assert got[4] == [], "a named sub-query on either side is no table"
+    assert got[11] == [("b", "c")], "a JOIN goes with the FROM of its own SELECT"
+    assert got[12] == [], "the series has no name to pair with"
 
 
 def test_usage(spark):
