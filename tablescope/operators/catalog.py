@@ -20,8 +20,10 @@ def glob_regex(pattern: str) -> str:
         elif ch == "?":
             out += "."
         elif end > 0:
-            body = pattern[i + 1 : end]
-            out += "[" + ("^" + body[1:] if body.startswith("!") else body) + "]"
+            negated = pattern[i + 1] == "!"
+            body = pattern[i + 1 + negated : end]
+            # of what a regex gives a meaning in a class, a glob gives one to the range only
+            out += "[" + "^" * negated + re.sub(r"([\\\[\]^&])", r"\\\1", body) + "]"
             i = end
         else:
             out += re.escape(ch)

@@ -20,22 +20,29 @@ def bucket_pie(df: DataFrame, category: str, value: str, max_slices: int = MAX_S
     """Largest slices plus one ``Other`` holding the sum of the rest.
 
     Few rows pass unchanged. A kept slice already called Other takes the rest. Equal values are ordered
-    by category. The rest is the total less the kept slices, so only the kept rows meet in one task.
+    by category. The rest is summed directly, from the rows after the last kept one, as a difference of large sums
+    would lose small values; only the kept rows meet in one task.
     """
     number = F.coalesce(finite(F.col(value)), F.lit(0.0))
     rows = df.select(F.col(category).cast("string").alias(category), number.alias(value))
     best = [F.col(value).desc(), F.col(category).asc_nulls_last()]
     top = rows.orderBy(*best).limit(max_slices).withColumn("_n", F.lit(None).cast("long"))
-    total = rows.agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("_n"))
-    # from here on there are at most max_slices rows and the total
+    # the last kept row; rows equal to it may lie on either side of the cut
+    last = top.agg(F.max(F.struct((-F.col(value)).alias("v"), F.col(category).isNull().alias("n"), category))).scalar()
+    lowest, blank, named = -last["v"], last["n"], last[category]
+    equal = (F.col(value) == lowest) & F.col(category).eqNullSafe(named)
+    after = (F.col(value) < lowest) | ((F.col(value) == lowest) & ~blank & (F.col(category).isNull() | (F.col(category) > named)))
+    kept_equal = top.agg(F.count_if(equal)).scalar()
+    rest = F.coalesce(F.sum(F.when(after, F.col(value))), F.lit(0.0)) + (F.count_if(equal) - kept_equal) * lowest
+    total = rows.agg(rest.alias(value), F.count(F.lit(1)).alias("_n"))
+    # from here on there are at most max_slices rows and the rest
     few = top.unionByName(total.withColumn(category, F.lit(OTHER)))
     is_total, every = F.col("_n").isNotNull(), Window.partitionBy()
     ranked = few.withColumn("_rank", F.row_number().over(Window.orderBy(is_total, *best)))
     first_other = F.min(F.when(~is_total & (F.col(category) == OTHER), F.col("_rank"))).over(every)
-    kept = F.sum(F.when(~is_total, F.col(value))).over(every)
     merged = ranked.select(
         category,
-        F.when(is_total, F.col(value) - kept).otherwise(F.col(value)).alias(value),
+        value,
         F.when(is_total, F.coalesce(first_other, F.col("_rank"))).otherwise(F.col("_rank")).alias("_rank"),
         "_n",
     ).filter(F.col("_n").isNull() | (F.col("_n") > max_slices))

@@ -57,11 +57,17 @@ def apply_filters(df: DataFrame, filters: list[Filter], selections: dict) -> Dat
     return df
 
 
-def filter_options(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values to offer: ordered, cut at 100, then blanks dropped."""
+def options_cut(df: DataFrame, column: str, limit: int = OPTIONS_LIMIT) -> DataFrame:
+    """One row: how many distinct values there are and whether ``filter_options`` leaves some out."""
+    n = F.count_distinct(F.col(column))
+    return df.agg(n.alias("options"), (n > limit).alias("truncated"))
+
+
+def filter_options(df: DataFrame, column: str, limit: int | None = OPTIONS_LIMIT) -> DataFrame:
+    """Distinct values to offer: ordered, cut at ``limit`` (none: all), then blanks dropped."""
     c = F.col(column)
     distinct = df.filter(c.isNotNull()).select(c.alias("option")).distinct()
-    cut = distinct.orderBy("option").limit(OPTIONS_LIMIT)
+    cut = distinct if limit is None else distinct.orderBy("option").limit(limit)
     return cut.select(F.trim(F.col("option").cast("string")).alias("option")).filter(F.col("option") != "")
 
 

@@ -101,10 +101,12 @@ def neighbours(
 def with_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """Global row number 1..n in ``order`` from a distributed sort.
 
-    A tie-break column is added so that a value held by a third of the rows spreads over many range
-    partitions. The sorted rows are written once, so numbers stay the same if a task is run again.
+    A tie-break by a hash of the row is added so that a value held by a third of the rows spreads over many range
+    partitions, and a task that runs again deals its rows out alike. The sorted rows are written once, so numbers
+    stay the same too.
     """
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
     placed = tied.orderBy(*order, "_tie").withColumn("_place", F.monotonically_increasing_id()).drop("_tie")
     placed = cut_lineage(placed, "rownum")
     # Spark documents the id as partition << 33 | position

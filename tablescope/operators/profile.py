@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,16 +117,19 @@ def value_text(f: T.StructField) -> Column:
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, (T.StructType, T.MapType, T.VariantType)):
         return F.to_json(c)
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0).cast(f.dataType)  # 0.0 and -0.0 are one value
     return c.cast("string")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, cnt) of the chosen columns; arrays count their elements.
+    """(column, value, cnt, plain) of the chosen columns; arrays count their elements, and null counts in plain ones only.
 
     Stacking then grouping merges equal values inside every map task, so a value held by a third of
     the rows reaches the shuffle as one row per task.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    complex_names = [f.name for f in fields if is_complex(f.dataType)]
     plain = [f for f in fields if not isinstance(f.dataType, T.ArrayType)]
     arrays = [f for f in fields if isinstance(f.dataType, T.ArrayType)]
     parts = []
@@ -136,8 +140,12 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         item = F.explode(F.col(f"`{f.name}`")).alias("value")
         items = df.select(item).select(F.lit(f.name).alias("column"), F.col("value").cast("string"))
         parts.append(items.filter(F.col("value").isNotNull()))
+    if not parts:
+        parts.append(df.sparkSession.createDataFrame([], "column string, value string"))
     stacked = reduce(DataFrame.unionByName, parts)
-    return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    plain_column = ~F.col("column").isin(complex_names or [""])
+    counted = stacked.filter(plain_column | F.col("value").isNotNull()).groupBy("column", "value")
+    return counted.agg(F.count(F.lit(1)).alias("cnt")).withColumn("plain", plain_column)
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
@@ -146,7 +154,8 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
 
 
 def top_values(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Ten most frequent values per column; null and '' go after the cut.
+    """Ten most frequent values per column. Null and '' of plain columns go after the cut; complex columns
+    have no null here, and '' is an element like any other.
 
     ``columns`` names those that passed the gate of 1..50 distinct values.
     """
@@ -155,12 +164,12 @@ def top_values(counts: DataFrame, columns: list[str] | None = None) -> DataFrame
     ranked = top_per_key(
         counts, ["column"], [F.col("cnt").desc(), F.col("value").asc_nulls_last()], TOP_VALUES, "rank"
     )
-    return ranked.filter(F.col("value").isNotNull() & (F.col("value") != ""))
+    return ranked.filter(F.col("value").isNotNull() & ((F.col("value") != "") | ~F.col("plain"))).drop("plain")
 
 
-def few_valued(distinct: DataFrame) -> list[str]:
+def few_valued(distinct: DataFrame, most: int = TOP_VALUES_MAX_DISTINCT) -> list[str]:
     """Columns whose top values are worth showing (the input has one row per column)."""
-    gate = F.col("distinct_count").between(1, TOP_VALUES_MAX_DISTINCT)
+    gate = F.col("distinct_count").between(1, most)
     return [r["column"] for r in distinct.filter(gate).collect()]
 
 
@@ -177,9 +186,41 @@ def top_values_text(ranked: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def readable_columns(df: DataFrame) -> list[str]:
+    """Columns that can be computed on every row, tried one by one."""
+    found = []
+    for name in df.columns:
+        try:
+            df.select(F.xxhash64(F.to_json(F.struct(F.col(f"`{name}`")))).alias("h")).agg(F.max("h")).collect()
+        except PySparkException:
+            continue
+        found.append(name)
+    return found
+
+
+def profile_table(
+    df: DataFrame, approx_distinct: bool = False, most_values: int = TOP_VALUES_MAX_DISTINCT, window: Column | None = None
+) -> DataFrame:
+    """As ``_profile``; a column that fails to compute is left out instead of ending the profile of the others.
+
+    ``window`` is a predicate that keeps the rows to profile, such as ``recent_partition_filter``.
+    """
+    if window is not None:
+        df = df.filter(window)
+    try:
+        return _profile(df, approx_distinct, most_values)
+    except PySparkException:
+        good = readable_columns(df)
+        if not good or len(good) == len(df.columns):
+            raise
+        return _profile(df.select(*[F.col(f"`{c}`") for c in good]), approx_distinct, most_values)
+
+
+def _profile(df: DataFrame, approx_distinct: bool, most_values: int) -> DataFrame:
     """One row per column with counts, bounds, moments, distinct count and top values.
 
+    Columns of up to ``most_values`` distinct values have top values; of others they are null.
+
     Exact distinct counts shuffle every distinct value once. ``approx_distinct`` replaces that with a
     sketch in the scalar scan, exact only where the sketch says there are few values. Either way the gate
     is read first (one row per column), so top values are counted for few-valued columns alone and
@@ -192,13 +233,13 @@ def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         rows = stats.collect()
         stats = spark.createDataFrame(rows, stats.schema)
         # the sketch error is 5%, so its gate is wider than the exact one
-        low = {r["column"] for r in rows if (r["approx_distinct"] or 0) <= 2 * TOP_VALUES_MAX_DISTINCT}
+        low = {r["column"] for r in rows if (r["approx_distinct"] or 0) <= 2 * most_values}
         counted = value_counts(df, sorted(low))
     else:
         counted = value_counts(df)
     found = distinct_counts(counted).collect()
     distinct = spark.createDataFrame(found, "column string, distinct_count long")
-    few = {r["column"] for r in found if 1 <= r["distinct_count"] <= TOP_VALUES_MAX_DISTINCT}
+    few = {r["column"] for r in found if 1 <= r["distinct_count"] <= most_values}
     shown = [c for c in gated if c in few]
     out = stats.join(distinct, "column", "left")
     if shown:

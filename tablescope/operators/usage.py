@@ -128,30 +128,40 @@ def in_lookback(rows: DataFrame, as_of: Column, unit: str, value: int) -> DataFr
 
 
 def with_message_provider(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
-    """``usage_provider``: a user message takes the provider of the next assistant message that has one,
-    unless another user message comes first; other rows keep their own."""
-    # the marker rows: the next user message closes the search with a null inside the struct
-    marker = F.when(F.col("role") == "user", F.struct(F.lit(None).cast("string").alias("p"))).when(
-        (F.col("role") == "assistant") & F.col("provider").isNotNull(), F.struct(F.col("provider").alias("p"))
+    """``usage_provider``: a user message takes the provider of the first assistant message after it that has one,
+    unless another user message lies between; other rows keep their own.
+
+    After and between are strict: messages of one instant neither answer nor close each other. So the scan is over
+    instants, and an instant with an answer ends the search even if a user wrote at it too. Of several answers at one
+    instant the least id counts.
+    """
+    answer = F.when((F.col("role") == "assistant") & F.col("provider").isNotNull(), F.struct("message_id", "provider"))
+    instants = messages.groupBy("chat_id", "created_at").agg(
+        F.min(answer)["provider"].alias("_answer"), F.bool_or(F.col("role") == "user").alias("_asked")
     )
-    out = running(
-        messages, ["chat_id"], ["created_at", "message_id"], time_chunk("created_at", chunk_seconds),
+    # the next question closes the search with a null inside the struct
+    marker = F.when(F.col("_answer").isNotNull() | F.col("_asked"), F.struct(F.col("_answer").alias("p")))
+    after = running(
+        instants, ["chat_id"], ["created_at"], time_chunk("created_at", chunk_seconds),
         {"_next": ("last", marker)}, inclusive=False, backward=True,
-    )
-    usage = F.when(F.col("role") == "user", F.col("_next.p")).otherwise(F.col("provider"))
-    return out.withColumn("usage_provider", usage).drop("_next")
+    ).select(F.col("chat_id").alias("_chat"), F.col("created_at").alias("_at"), F.col("_next.p").alias("_after"))
+    same = F.col("chat_id").eqNullSafe(F.col("_chat")) & F.col("created_at").eqNullSafe(F.col("_at"))
+    usage = F.when(F.col("role") == "user", F.col("_after")).otherwise(F.col("provider"))
+    return messages.join(after, same).withColumn("usage_provider", usage).drop("_chat", "_at", "_after")
 
 
 def with_message_source(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """``usage_source``: an assistant message takes the source of the latest user message at or before
-    it, even a null one; other rows keep their own."""
+    it, even a null one; other rows keep their own. Of user messages at one instant the greatest id is the latest."""
     marker = F.when(F.col("role") == "user", F.struct(F.col("source").alias("s")))
+    # at one instant users come first, whatever the ids, so that an answer sees them
+    sided = messages.withColumn("_side", F.when(F.col("role") == "user", 0).otherwise(1))
     out = running(
-        messages, ["chat_id"], ["created_at", "message_id"], time_chunk("created_at", chunk_seconds),
+        sided, ["chat_id"], ["created_at", "_side", "message_id"], time_chunk("created_at", chunk_seconds),
         {"_asked": ("last", marker)},
     )
     usage = F.when(F.col("role") == "assistant", F.col("_asked.s")).otherwise(F.col("source"))
-    return out.withColumn("usage_source", usage).drop("_asked")
+    return out.withColumn("usage_source", usage).drop("_asked", "_side")
 
 
 def with_inference_source(inferences: DataFrame, messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:

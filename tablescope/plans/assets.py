@@ -193,13 +193,13 @@ def _(t):
     return t.orders.select("o_orderkey", ast.cache_expired(F.col("o_orderdate"), run).alias("expired"))
 
 
-@query("as_backfill", "AS-10", oracle="""WITH c AS (SELECT o_orderkey AS query_id, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F'),
+@query("as_backfill", "AS-10", oracle="""WITH c AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS v FROM orders),
     h AS (SELECT l_orderkey AS query_id, max(l_extendedprice) AS v FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS query_id, coalesce(c.v, h.v) AS v FROM orders LEFT JOIN c ON c.query_id = o_orderkey
     LEFT JOIN h ON h.query_id = o_orderkey""")
 def _(t):
     wanted = t.orders.select(F.col("o_orderkey").alias("query_id"))
-    cached = t.orders.filter("o_orderstatus <> 'F'").selectExpr("o_orderkey AS query_id", "o_totalprice AS v")
+    cached = t.orders.selectExpr("CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END AS query_id", "o_totalprice AS v")
     history = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.max("l_extendedprice").alias("v"))
     return ast.backfill(wanted, cached, history, ["query_id"], "v")
 

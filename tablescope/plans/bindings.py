@@ -84,11 +84,17 @@ def prices(t):
     from tablescope.operators.usage import merge_prices
 
     return merge_prices(
-        t.spark.createDataFrame(BUILTIN_PRICES, PRICE_COLUMNS),
-        t.spark.createDataFrame(DECLARED_PRICES, PRICE_COLUMNS),
+        local_rows(t.spark, BUILTIN_PRICES, PRICE_COLUMNS), local_rows(t.spark, DECLARED_PRICES, PRICE_COLUMNS)
     )
 
 
+def local_rows(spark, rows, columns):
+    """A small list as a relation of known size, so that joins with it are planned as broadcasts."""
+    names, types = zip(*(c.split() for c in columns.split(", ")))
+    casts = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, types))
+    return spark.sql(f"SELECT {casts} FROM {values_sql(rows, names)}")
+
+
 CLASSES = ["input_no_cache", "input_cache_read", "input_cache_write", "output"]
 
 

@@ -327,12 +327,12 @@ def _(t):
 
 @query("cr_members_with_access", "CR-22", oracle="""SELECT c_custkey AS user_id, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN
       CASE s_suppkey % 2 WHEN 0 THEN 'admin' ELSE 'user' END END, CASE WHEN n_nationkey IS NOT NULL THEN 'viewer' END) AS access
-    FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey >= 10) ON s_suppkey = c_custkey
+    FROM customer LEFT JOIN (SELECT CASE WHEN s_suppkey >= 10 THEN s_suppkey END AS s_suppkey FROM supplier) ON s_suppkey = c_custkey
     LEFT JOIN nation ON n_nationkey = c_custkey WHERE s_suppkey IS NOT NULL OR n_nationkey IS NOT NULL""")
 def _(t):
     users = t.customer.select(F.col("c_custkey").alias("user_id"))
-    project = t.supplier.filter("s_suppkey >= 10").selectExpr(
-        "s_suppkey AS user_id", "CASE s_suppkey % 2 WHEN 0 THEN 'admin' ELSE 'user' END AS project_role")
+    project = t.supplier.selectExpr(
+        "CASE WHEN s_suppkey >= 10 THEN s_suppkey END AS user_id", "CASE s_suppkey % 2 WHEN 0 THEN 'admin' ELSE 'user' END AS project_role")
     org = t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS user_id", "'viewer' AS org_role")
     return cr.members_with_access(users, project, org).select("user_id", "access")
 

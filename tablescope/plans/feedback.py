@@ -109,9 +109,9 @@ def links(t):
 
 
 @query("fb_unlinked", "FB-04", oracle=f"""SELECT * FROM ({VOTES_SQL}) WHERE vote = 'down'
-    AND message_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)""")
+    AND message_id NOT IN (SELECT CASE WHEN l_quantity > 30 THEN l_orderkey ELSE -1 END FROM lineitem)""")
 def _(t):
-    linked = t.lineitem.filter("l_quantity > 30").select(F.col("l_orderkey").alias("message_id"))
+    linked = t.lineitem.selectExpr("CASE WHEN l_quantity > 30 THEN l_orderkey ELSE -1 END AS message_id")
     return fb.unlinked_downvotes(votes(t), linked)
 
 
@@ -146,10 +146,13 @@ def fp(key):
     return fb.fingerprint(F.concat(F.lit("f"), key, F.lit(".md")), F.concat(F.lit("subject "), key))
 
 
+# events that would record suppliers 20 to 60 record far ones, so that these have no row
+KEPT_ID = "(CASE WHEN event_id % 130 BETWEEN 20 AND 60 THEN 1000 + event_id % 130 ELSE event_id % 130 END)"
+
+
 @query("fb_reconcile", "FB-07", "SQL-07", oracle=f"""WITH e AS (SELECT {FP.format('s_suppkey')} AS fingerprint, s_suppkey AS rec_id,
       CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'applied' ELSE 'dismissed' END AS status FROM supplier),
-    rec AS (SELECT {FP.format('(event_id % 130)')} AS fingerprint, event_id AS seq, user_id % 10 AS impact_score FROM events
-      WHERE event_id % 130 NOT BETWEEN 20 AND 60),
+    rec AS (SELECT {FP.format(KEPT_ID)} AS fingerprint, event_id AS seq, user_id % 10 AS impact_score FROM events),
     last AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY seq DESC) = 1),
     dis AS (SELECT fingerprint FROM e WHERE status = 'dismissed'),
     res AS (SELECT {FP.format('(p_partkey % 45)')} AS fingerprint FROM part)
@@ -163,9 +166,8 @@ def _(t):
     existing = t.supplier.select(
         fp(F.col("s_suppkey").cast("string")).alias("fingerprint"), F.col("s_suppkey").alias("rec_id"),
         F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'applied' ELSE 'dismissed' END").alias("status"))
-    kept = t.events.filter("event_id % 130 NOT BETWEEN 20 AND 60")
-    recorded = kept.select(fp((F.col("event_id") % 130).cast("string")).alias("fingerprint"),
-                           F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("impact_score"))
+    recorded = t.events.select(fp(F.expr(KEPT_ID).cast("string")).alias("fingerprint"),
+                               F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("impact_score"))
     resolved = t.part.select(fp((F.col("p_partkey") % 45).cast("string")).alias("fingerprint"))
     dismissed = existing.filter("status = 'dismissed'").select("fingerprint")
     return fb.reconcile(existing, recorded, resolved, dismissed)

@@ -116,15 +116,17 @@ HISTORY = [f"{TEXT} AS query_text", "CASE event_id % 7 WHEN 5 THEN 'INSERT' ELSE
 HISTORY_SQL = f"SELECT {', '.join(HISTORY)} FROM events"
 KEPT = {"snowflake": "started_at >= TIMESTAMP '2024-01-16' AND query_type = 'SELECT' AND status = 'success'",
         "redshift": "started_at >= TIMESTAMP '2024-01-16' AND status <> 'aborted'", "postgres": "true"}
+LIMITS = {"snowflake": 500, "redshift": 500, "postgres": None}
 
 
 @query("src_query_log", "SRC-15", oracle=" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{k}' AS kind, * FROM ({HISTORY_SQL}) WHERE {w} ORDER BY started_at DESC, query_text LIMIT 10000)"
-    for k, w in KEPT.items()))
+    f"""SELECT * FROM (SELECT '{k}' AS kind, *, {'count(*) OVER () > 500' if LIMITS[k] else 'false'} AS truncated FROM ({HISTORY_SQL})
+      WHERE {w} {'ORDER BY started_at DESC, query_text LIMIT 500' if LIMITS[k] else ''})""" for k, w in KEPT.items()))
 def _(t):
     out = None
     for kind in KEPT:
-        rows = wh.query_log(t.events.selectExpr(*HISTORY), kind, F.expr("TIMESTAMP_NTZ '2024-01-26 00:00:00'"), 10)
+        now = F.expr("TIMESTAMP_NTZ '2024-01-26 00:00:00'")
+        rows = wh.query_log(t.events.selectExpr(*HISTORY), kind, now, 10, LIMITS[kind])
         part = rows.withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out

@@ -14,6 +14,7 @@ from tablescope.plans.bindings import (
     PRICES_SQL,
     inferences,
     literal,
+    local_rows,
     messages,
     priced_sql,
     prices,
@@ -162,26 +163,38 @@ PROVIDER_ASOF = f"""WITH m AS ({MESSAGES_SQL}) SELECT a.message_id, a.user_id, a
           AND u.role = 'user' AND u.created_at > a.created_at AND u.created_at < n.created_at)
       ORDER BY n.created_at LIMIT 1) ELSE a.provider END AS usage_provider FROM m a"""
 # the correlated form above is quadratic per chat; the oracle uses the equivalent window form
-PROVIDER_WINDOW = f"""WITH m AS ({MESSAGES_SQL}), g AS (SELECT *, count(CASE WHEN role = 'user' THEN 1 END)
-      OVER (PARTITION BY chat_id ORDER BY created_at) AS turn FROM m),
-    f AS (SELECT chat_id, turn, arg_min(provider, created_at) AS p FROM g
-      WHERE role = 'assistant' AND provider IS NOT NULL GROUP BY 1, 2)
-    SELECT g.* EXCLUDE (turn), CASE WHEN g.role = 'user' THEN f.p ELSE g.provider END AS usage_provider
-    FROM g LEFT JOIN f ON g.chat_id = f.chat_id AND g.turn = f.turn"""
-SOURCE_ASOF = f"""SELECT a.*, CASE WHEN a.role = 'assistant' THEN u.source ELSE a.source END AS usage_source
-    FROM ({MESSAGES_SQL}) a ASOF LEFT JOIN (SELECT chat_id, created_at, source FROM ({MESSAGES_SQL})
-      WHERE role = 'user') u ON a.chat_id = u.chat_id AND a.created_at >= u.created_at"""
+# times cut to six hours, so that many messages of a chat share an instant
+TIED = "time_bucket(INTERVAL 6 HOUR, created_at)"
+TIED_SQL = f"SELECT * REPLACE ({TIED} AS created_at) FROM ({MESSAGES_SQL})"
+PROVIDER_WINDOW = f"""WITH m AS ({TIED_SQL}), a AS (SELECT chat_id, created_at, arg_min(provider, message_id) AS p FROM m
+      WHERE role = 'assistant' AND provider IS NOT NULL GROUP BY 1, 2),
+    u AS (SELECT DISTINCT chat_id, created_at FROM m WHERE role = 'user'),
+    next_answer AS (SELECT u.chat_id, u.created_at, a.created_at AS at, a.p FROM u ASOF JOIN a
+      ON u.chat_id = a.chat_id AND u.created_at < a.created_at),
+    next_user AS (SELECT u.chat_id, u.created_at, v.created_at AS at FROM u ASOF JOIN u v
+      ON u.chat_id = v.chat_id AND u.created_at < v.created_at)
+    SELECT m.*, CASE WHEN m.role = 'user' THEN CASE WHEN NOT coalesce(n.at < s.at, false) THEN s.p END ELSE m.provider END
+      AS usage_provider
+    FROM m LEFT JOIN next_answer s ON m.chat_id = s.chat_id AND m.created_at = s.created_at
+    LEFT JOIN next_user n ON m.chat_id = n.chat_id AND m.created_at = n.created_at"""
+SOURCE_ASOF = f"""SELECT a.*, CASE WHEN a.role = 'assistant' THEN u.s.source ELSE a.source END AS usage_source
+    FROM ({TIED_SQL}) a ASOF LEFT JOIN (SELECT chat_id, created_at, arg_max({{'source': source}}, message_id) AS s
+      FROM ({TIED_SQL}) WHERE role = 'user' GROUP BY 1, 2) u ON a.chat_id = u.chat_id AND a.created_at >= u.created_at"""
+
+
+def tied_messages(t):
+    return messages(t).withColumn("created_at", F.window("created_at", "6 hours")["start"].cast("timestamp_ntz"))
 
 
 @query("us_message_provider", "US-10", "SQL-06",
        oracle=f"SELECT message_id, usage_provider FROM ({PROVIDER_WINDOW})")
 def _(t):
-    return us.with_message_provider(messages(t)).select("message_id", "usage_provider")
+    return us.with_message_provider(tied_messages(t)).select("message_id", "usage_provider")
 
 
 @query("us_message_source", "US-11", "SQL-06", oracle=f"SELECT message_id, usage_source FROM ({SOURCE_ASOF})")
 def _(t):
-    return us.with_message_source(messages(t)).select("message_id", "usage_source")
+    return us.with_message_source(tied_messages(t)).select("message_id", "usage_source")
 
 
 @query("us_inference_source", "US-12", oracle=f"""SELECT i.inference_id, u.source AS usage_source
@@ -209,7 +222,7 @@ def _(t):
     WHERE p.usage_provider IN ('alpha', 'beta') AND s.usage_source IN ('slack', 'web', 'teams')
       AND p.user_id IN ({', '.join(map(str, range(0, 40, 3)))})""")
 def _(t):
-    rows = us.with_message_source(us.with_message_provider(messages(t)))
+    rows = us.with_message_source(us.with_message_provider(tied_messages(t)))
     return us.usage_totals(us.filter_usage(rows, ["alpha", "beta"], list(range(0, 40, 3)), ["slack", "web", "teams"]))
 
 
@@ -238,8 +251,8 @@ SPEND_SQL = f"""SELECT r.provider, r.user_id, sum(r.total_cost) AS spend FROM ({
 
 
 def budgets(t):
-    return us.effective_budgets(t.spark.createDataFrame(PROJECT_BUDGETS, BUDGET_COLUMNS),
-                                t.spark.createDataFrame(CONFIG_BUDGETS, BUDGET_COLUMNS))
+    return us.effective_budgets(local_rows(t.spark, PROJECT_BUDGETS, BUDGET_COLUMNS),
+                                local_rows(t.spark, CONFIG_BUDGETS, BUDGET_COLUMNS))
 
 
 def spend(t):

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):  # local-cluster[...] has executors
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tablescope-")
         context.setCheckpointDir(base)

@@ -58,13 +58,13 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFram
     return spark.sql(sql, args=args or {})
 
 
-# fixed values: most log rows read per sync
+# fixed values: most log rows a sync of each warehouse asks for, for callers that want a limit
 LOG_LIMITS = {"bigquery": 50_000}
 DEFAULT_LOG_LIMIT = 10_000
 
 
-def query_log(log: DataFrame, kind: str, as_of: Column, days: int) -> DataFrame:
-    """Recent finished queries, newest first, up to the warehouse's limit.
+def query_log(log: DataFrame, kind: str, as_of: Column, days: int, limit: int | None = None) -> DataFrame:
+    """Recent finished queries; with a ``limit`` the newest ones, and ``truncated`` says whether there are more.
 
     ``log``: query_text, query_type, status, started_at. Postgres keeps no times or types; Redshift keeps
     any query that did not abort.
@@ -75,5 +75,7 @@ def query_log(log: DataFrame, kind: str, as_of: Column, days: int) -> DataFrame:
             log = log.filter(F.col("status") != "aborted")
         else:
             log = log.filter((F.col("query_type") == "SELECT") & (F.col("status") == "success"))
-    limit = LOG_LIMITS.get(kind, DEFAULT_LOG_LIMIT)
-    return log.orderBy(F.col("started_at").desc(), F.col("query_text").asc()).limit(limit)
+    if limit is None:
+        return log.withColumn("truncated", F.lit(False))
+    newest = log.orderBy(F.col("started_at").desc(), F.col("query_text").asc()).limit(limit)
+    return newest.withColumn("truncated", log.agg(F.count(F.lit(1)) > limit).scalar())
