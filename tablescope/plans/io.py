@@ -131,6 +131,33 @@ def _(t):
     return files.read_delimited(t.spark, path)
 
 
+@query("src_delimited_ragged", "SRC-10", oracle="""SELECT CAST(p_partkey AS VARCHAR) AS A, p_brand AS B,
+    CASE WHEN p_partkey % 3 = 1 THEN p_type || ', ' || p_brand END AS C FROM part""")
+def _(t):
+    path = scratch_path(t.spark, "ragged")
+    line = """concat(p_partkey, ',', p_brand, CASE WHEN p_partkey % 3 = 1 THEN concat(',"', p_type, ', ', p_brand, '"') ELSE '' END)"""
+    t.part.selectExpr(line).write.text(path)
+    return files.read_delimited(t.spark, path)
+
+
+@query("src_delimited_title", "SRC-11", oracle="""SELECT 'Suppliers' AS A, NULL AS B, NULL AS C UNION ALL SELECT 'id', 'name', 'nation'
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR) FROM supplier""")
+def _(t):
+    path = scratch_path(t.spark, "title")
+    t.spark.sql("SELECT inline(array(struct('Suppliers\\nid,name,nation')))").write.text(f"{path}/a")
+    t.supplier.selectExpr("concat_ws(',', s_suppkey, s_name, s_nationkey)").write.text(f"{path}/b")
+    return files.read_delimited(t.spark, f"{path}/*")
+
+
+@query("src_delimited_folder", "SRC-11", oracle="""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name FROM part""")
+def _(t):
+    path = scratch_path(t.spark, "folder")
+    t.supplier.selectExpr("s_suppkey AS id", "s_name AS name").write.option("header", True).csv(f"{path}/a")
+    t.part.selectExpr("p_partkey AS id", "p_name AS name").write.csv(f"{path}/b")
+    return files.read_delimited(t.spark, f"{path}/*")
+
+
 RECORD = """concat('{"Kind":{"type":"select","select":{"name":"', event_type, '"}},',
     CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('"Score":{"type":"number","number":', CAST(event_id % 7 AS STRING), '},') END,
     '"Name":{"type":"title","title":[{"plain_text":"Event "},{"plain_text":"', CAST(event_id AS STRING), '"}]},',

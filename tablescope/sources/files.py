@@ -93,14 +93,18 @@ def detect_delimiter(record: str) -> str:
     return max(DELIMITERS, key=lambda d: (outside.count(d), -DELIMITERS.index(d)))
 
 
-def first_record(spark: SparkSession, path: str, lines: int = 50) -> str:
-    """The first record, which may run over several lines inside quotes."""
-    record = ""
-    for row in spark.read.text(path).limit(lines).collect():
-        record = f"{record}\n{row.value}" if record else row.value
-        if record.count('"') % 2 == 0:
-            break
-    return record
+def first_record(spark: SparkSession, path: str) -> str:
+    """The first record, which may run over any number of lines inside quotes."""
+    lines = 50
+    while True:
+        record, rows = "", spark.read.text(path).limit(lines).collect()
+        for row in rows:
+            record = f"{record}\n{row.value}" if record else row.value
+            if record.count('"') % 2 == 0:
+                return record
+        if len(rows) < lines:
+            return record
+        lines *= 10
 
 
 def column_letters(width: int) -> list[str]:
@@ -130,25 +134,65 @@ def header_names(cells: list[str | None], width: int) -> list[str] | None:
     return names
 
 
+def record_width(reader, path: str, delimiter: str) -> int:
+    """Cells of the widest record, from one aggregate.
+
+    Read as a single column, a record of more cells comes back whole as a malformed one; its cells are the delimiters
+    outside quotes and one.
+    """
+    records = reader.schema("_first string, _whole string").option("columnNameOfCorruptRecord", "_whole").csv(path)
+    bare = F.regexp_replace("_whole", '"[^"]*"', "")
+    cells = F.when(F.col("_whole").isNull(), 1).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1)
+    return records.agg(F.max(cells), F.count("_first")).first()[0] or 0
+
+
+def first_lines(spark: SparkSession, path: str) -> dict[str, str]:
+    """The first line of each file: one short row per file, as many as the listing of the folder has."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    # ids rise along a split, and the line is in the split that starts the file
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("value"))
+    return {r["file"]: r["value"].removeprefix("\ufeff") for r in first.collect()}
+
+
 def read_delimited(
     spark: SparkSession, path: str, delimiter: str | None = None, max_rows: int | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """A csv-family file as text columns: delimiter found, header sniffed, byte-order mark dropped.
+    """A csv-family file, or a folder of them, as text columns: delimiter found, byte-order mark dropped.
 
-    ``multi_line`` allows line breaks inside quotes but makes each file one task, so it is off unless asked for.
+    The table is as wide as its widest record; shorter ones end in nulls. The first record of the first file names the
+    columns if it has that width and no blank cell, else letters do. Such a header is dropped from each file that starts
+    with the same line, and from no other. ``multi_line`` allows line breaks inside quotes but makes each file one
+    task, so it is off unless asked for.
     """
     delimiter = delimiter or detect_delimiter(first_record(spark, path))
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    raw = reader.csv(path)
-    top = raw.first()
-    if top is None:
-        return raw
-    cells = [c.removeprefix("\ufeff") if isinstance(c, str) else c for c in top]
-    names = header_names(cells, len(raw.columns))
-    if names:
-        # the header option drops the line at the start of each file inside the scan
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = reader.option("header", True).option("enforceSchema", True).schema(text).csv(path)
-    else:
-        df = raw.toDF(*column_letters(len(raw.columns)))
+
+    def reader():
+        return spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+    width = record_width(reader(), path, delimiter)
+    if not width:
+        return spark.createDataFrame([], T.StructType([]))
+
+    def typed(names: list[str]) -> T.StructType:
+        return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    letters = column_letters(width)
+    starts = first_lines(spark, path)
+    first_file = min(starts)
+    top = reader().schema(typed(letters)).csv(first_file).first()
+    cells = [c.removeprefix("\ufeff") if isinstance(c, str) else c for c in top] if top else []
+    names = header_names(cells, width)
+    headed = [f for f, line in starts.items() if names and line == starts[first_file]]
+    plain = [f for f in starts if f not in set(headed)]
+    parts = []
+    if headed:
+        # the header option drops the first line of each file inside the scan
+        parts.append(reader().option("header", True).option("enforceSchema", True).schema(typed(letters)).csv(headed))
+    if plain:
+        parts.append(reader().schema(typed(letters)).csv(plain))
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    df = df.withColumn("A", F.regexp_replace("A", "^\ufeff", "")).toDF(*(names or letters))
     return df.limit(max_rows) if max_rows is not None else df

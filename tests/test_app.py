@@ -90,3 +90,15 @@ def test_date_groups(spark):
     df = spark.createDataFrame([(s,) for s in stamps], "s string").withColumn("u", F.col("s").cast("timestamp"))
     labels = [r[0] for r in df.select(cr.date_group(F.col("u"), F.lit("2024-01-31 10:00:00").cast("timestamp"))).collect()]
     assert labels == ["Today", "Yesterday", "This week", "Older"]
+
+
+def test_messages_of_one_instant(spark):
+    """Answers must come after the question; sources count from the same instant on."""
+    rows = [(7, 1, 10, "user", "web", None), (8, 1, 10, "assistant", None, "p2"), (5, 2, 10, "assistant", None, "p1"),
+            (6, 2, 10, "user", "slack", None), (9, 3, 1, "user", "a", None), (10, 3, 2, "user", "b", None), (11, 3, 2, "assistant", None, "p3")]
+    df = spark.createDataFrame(rows, "message_id int, chat_id int, s int, role string, source string, provider string")
+    df = df.withColumn("created_at", F.timestamp_seconds("s"))
+    got = {r["message_id"]: r["usage_provider"] for r in us.with_message_provider(df).collect()}
+    assert got == {7: None, 8: "p2", 5: "p1", 6: None, 9: "p3", 10: None, 11: "p3"}
+    got = {r["message_id"]: r["usage_source"] for r in us.with_message_source(df).collect()}
+    assert got[8] == "web" and got[5] == "slack" and got[11] == "b"

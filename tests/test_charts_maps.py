@@ -125,3 +125,12 @@ def test_points_at_the_limits(spark):
     assert [(r["latitude"], r["longitude"]) for r in mp.map_points(df, "lat", "lon").collect()] == [(85.051129, 180.0), (10.0, 2.0)]
     report = mp.point_report(df, "lat", "lon").first()
     assert (report["point_count"], report["dropped_row_count"], report["too_many"]) == (2, 4, False)
+
+
+def test_small_rest_beside_large_slices(spark):
+    rows = [(f"c{i}", 1e16) for i in range(10)] + [("x", 1.0), ("y", 1.0)]
+    got = {r["c"]: r["v"] for r in ch.bucket_pie(spark.createDataFrame(rows, "c string, v double"), "c", "v").collect()}
+    assert got[ch.OTHER] == 2.0 and len(got) == 11
+    equal = [(f"c{i}", 5.0) for i in range(13)] + [("c3", 5.0), (None, 5.0)]
+    got = ch.bucket_pie(spark.createDataFrame(equal, "c string, v double"), "c", "v", 4).collect()
+    assert sum(r["v"] for r in got) == 75.0 and {r["v"] for r in got if r["c"] == ch.OTHER} == {55.0}

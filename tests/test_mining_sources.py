@@ -165,3 +165,19 @@ def test_jdbc_options():
 def test_shared_folder_comes_from_the_session(spark):
     base = shared.shared_dir(spark)
     assert shared.scratch_path(spark, "x").startswith(base)
+
+
+def test_delimited_loses_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,name\n1,a\n")
+    (tmp_path / "b.csv").write_text("2,b\n3,c\n")
+    (tmp_path / "c.csv").write_text("id,name\n4,d\n")
+    df = files.read_delimited(spark, str(tmp_path))
+    assert df.columns == ["id", "name"] and sorted(r.id for r in df.collect()) == ["1", "2", "3", "4"]
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    (wide / "a.csv").write_text('a,b\n1,2,3\n"x,y",z\n')
+    assert [tuple(r) for r in files.read_delimited(spark, str(wide)).collect()] == [("a", "b", None), ("1", "2", "3"), ("x,y", "z", None)]
+    long = tmp_path / "long"
+    long.mkdir()
+    (long / "a.csv").write_text('name;note\nx;"' + "line, of, it\n" * 80 + '"\n')
+    assert files.read_delimited(spark, str(long), multi_line=True).columns == ["name", "note"]

@@ -90,3 +90,21 @@ def test_hidden_columns_cannot_be_queried(spark):
     view = cat.register_governed(users(spark), "main", "people", ["main.people.e*"])
     assert view.columns == ["id", "name", "active"]
     assert "email" not in spark.sql("SELECT * FROM people").columns
+
+
+def test_rules_of_values(spark):
+    rows = [(0.0, [""], None), (-0.0, ["", "a"], None)] + [(1.0, None, (i,)) for i in range(12)]
+    df = spark.createDataFrame(rows, "d double, a array<string>, s struct<x:int>")
+    counts = prf.value_counts(df)
+    assert {r["column"]: r["distinct_count"] for r in prf.distinct_counts(counts).collect()} == {"d": 2, "a": 2, "s": 12}
+    top = prf.top_values(counts).collect()
+    assert sum(r["column"] == "s" for r in top) == 10 and ("", 2) in {(r["value"], r["cnt"]) for r in top if r["column"] == "a"}
+
+
+def test_a_failing_column_is_left_out(spark):
+    df = spark.createDataFrame([("1", 5), ("x", 6)], "t string, n int").withColumn("bad", F.col("t").cast("int"))
+    assert sorted(r["column"] for r in prf.profile_table(df).collect()) == ["n", "t"]
+    window = F.col("n") > 5
+    assert {r["total_count"] for r in prf.profile_table(df.drop("bad"), window=window).collect()} == {1}
+    ids = spark.range(5000).selectExpr("id", "cast(id as string) AS s")
+    assert prf.profile_table(ids, approx_distinct=True).count() == 2
