@@ -9,8 +9,9 @@ is by hash, with n-grams seen very often put last. Spark deals the columns out i
    similar are joined to components;
 2. what is left are pairs in different components, taken from the columns that still hold several.
 
-Pairs outside the size bound ``100 |A| >= 80 |B|`` are dropped, the others have their whole rows multiplied. So
-groups of copies, exact or near, cost as much as their size and no link between components is lost.
+Overlaps accumulate per pair over the columns. A pair is dropped if its sizes differ too much or if what its prefixes
+have in common and all they leave out cannot reach the overlap its sizes ask for; the whole rows of the others are
+multiplied. So groups of copies, exact or near, cost as much as their size and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.graph import components
@@ -30,7 +31,7 @@ WORDS = 5
 #: Least similarity, in hundredths.
 SIMILAR = 80
 #: N-grams that one task has seen this often are candidates for the list of frequent ones ...
-FREQUENT_IN_TASK = 4
+FREQUENT_IN_TASK = 2
 #: ... which holds this many at most. It only decides the order of columns, so that no result depends on it.
 FREQUENT = 50_000
 #: Word hashes a task keeps.
@@ -137,7 +138,7 @@ def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) ->
 
 
 def whole_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, ngrams`` (packed, sorted) of the nodes in ``wanted`` (``node, rep``: a document that has the set)."""
+    """``node, ngrams`` (packed, sorted) of the documents in ``wanted`` (``rep``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -150,8 +151,19 @@ def whole_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.select("text").mapInArrow(rows, "node long, ngrams binary").dropDuplicates(["node"])
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
-    """The pairs (``a, b``) whose whole rows overlap enough."""
+def may_be_similar(similar: int) -> Column:
+    """Whether the overlap ``both`` of the prefixes of two rows of ``na`` and ``nb`` n-grams allows for enough in all.
+
+    Up to the end of the shorter-reaching prefix the overlap is ``both``; beyond it are at most the n-grams that the
+    prefix leaves out, ``ceil(0.8 n) - 1`` of the row it belongs to.
+    """
+    left_out = F.ceil(similar * F.greatest("na", "nb") / 100) - 1
+    in_size = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
+    return in_size & ((F.col("both") + left_out) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similar: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b`` and any others) whose whole rows overlap enough, as ``a, b``, written."""
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,15 +172,16 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 kept.append(100 * both >= similar * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept))
-
-    size = F.octet_length
-    joined = (
-        pairs.join(rows.select(F.col("node").alias("a"), F.col("ngrams").alias("x")), "a")
-        .join(rows.select(F.col("node").alias("b"), F.col("ngrams").alias("y")), "b")
-        .filter(100 * F.least(size("x"), size("y")) >= similar * F.greatest(size("x"), size("y")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    pairs = cut_lineage(pairs.select("a", "b"), "ngram-candidates")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(nodes.join(asked, "node", "left_semi").select("rep"), "ngram-wanted")
+    rows = cut_lineage(whole_rows(docs, wanted, size), "ngram-rows")
+    joined = pairs.join(rows.select(F.col("node").alias("a"), F.col("ngrams").alias("x")), "a").join(
+        rows.select(F.col("node").alias("b"), F.col("ngrams").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(overlaps, "a long, b long")
+    return cut_lineage(joined.select("a", "b", "x", "y").mapInArrow(overlaps, "a long, b long"), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, frequent: int = FREQUENT) -> DataFrame:
@@ -185,27 +198,33 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     filled = table.filter("n > 0")
     nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "ngram-nodes")
 
+    sizes = nodes.select("node", "n")
     entries = filled.select("node", F.explode("prefix").alias("ngram"))
     columns = entries.groupBy("ngram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
     hits = cut_lineage(entries.join(columns.select("ngram", "least"), "ngram").distinct(), "ngram-hits")
-    rows = cut_lineage(whole_rows(docs, nodes.join(hits.select("node").distinct(), "node", "left_semi"), size), "ngram-rows")
 
-    stars = hits.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut_lineage(similar_pairs(stars, rows, similar), "ngram-links")
+    stars = hits.filter("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("both"))
+    sized = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
+    )
+    links = similar_pairs(docs, nodes, sized.filter(may_be_similar(similar)), size, similar)
     found = components(links)
 
-    sized = hits.select("ngram", "node").join(nodes.select("node", "n"), "node").join(found, "node", "left")
-    members = sized.select("ngram", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_columns = members.groupBy("ngram").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-    members = cut_lineage(members.join(open_columns, "ngram"), "ngram-open")
-    # the larger side is one component of the column against the others, or two others
-    left = members.filter("root <> r").select("ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    placed = hits.select("ngram", "node").join(sizes, "node").join(found, "node", "left")
+    members = placed.select("ngram", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = members.groupBy("ngram").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
+    members = cut_lineage(members.join(several.select("ngram", "first"), "ngram"), "ngram-open")
+    left = members.filter("root <> first").select(
+        "ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")
+    )
     right = members.select("ngram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.join(right, "ngram").filter(
-        (F.col("ra") > F.col("rb"))
-        & (100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
+    products = (
+        left.join(right, "ngram")
+        .filter((F.col("ra") > F.col("rb")) & (100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")))
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count("*").alias("both"))
     )
-    more = cut_lineage(similar_pairs(pairs.select("a", "b").distinct(), rows, similar), "ngram-more-links")
+    more = similar_pairs(docs, nodes, products.filter(may_be_similar(similar)), size, similar)
     shared_ids = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "doc_id IS NOT NULL AND a <> b"
     )
