@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.llm.common import named
 from tablescope.llm.graph import components
 from tablescope.sources.shared import cut_lineage
 
@@ -34,42 +35,83 @@ SIMILAR = 80
 FREQUENT_IN_TASK = 2
 #: ... which holds this many at most. It only decides the order of columns, so that no result depends on it.
 FREQUENT = 50_000
-#: Word hashes a task keeps.
-CACHE_WORDS = 1_000_000
+#: Rows handled at once.
+STEP_ROWS = 500
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 20
 
-#: Odd multipliers for the words of an n-gram, and of the finaliser (fixed values of no meaning).
+#: Odd multipliers and a finaliser's constants (fixed values of no meaning).
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+OF_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
 
 
-class WordHashes(dict):
-    """Hash of each word, remembered."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+class Shingler:
+    """Sorted distinct 64-bit hashes of the word n-grams of texts, A-Z lower-cased.
 
-def shingles(text: str | None, hashes: WordHashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text, A-Z lower-cased.
-
-    A text of fewer words has one, of all its words; no words, none. Bytes split at just the white space that ends words.
+    A text of fewer words has one n-gram, of all its words; a text without words has none. Many texts are hashed at
+    once: a word's hash is a difference of running sums of its bytes times powers of an odd number, shifted back by the
+    inverse power of its place.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    count = len(words) - width + 1
-    total = np.full(count, width, np.uint64)
-    for i in range(width):
-        total = (total + values[i : i + count]) * STEP
-        total ^= total >> np.uint64(29)
-    total = (total ^ (total >> np.uint64(30))) * MIX[0]
-    total = (total ^ (total >> np.uint64(27))) * MIX[1]
-    return np.unique(total ^ (total >> np.uint64(31)))
+
+    def __init__(self, size: int = WORDS):
+        self.size = size
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _powers(self, count: int) -> None:
+        if len(self.powers) < count:
+            inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+            self.powers, self.inverses = (
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(count, m, np.uint64)])) for m in (STEP, inverse)
+            )
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text.encode() if text else b"")
+            size += len(held[-1]) + 1
+            if size >= CHUNK:
+                yield from self._chunk(held)
+                held, size = [], 0
+        if held:
+            yield from self._chunk(held)
+
+    def _chunk(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
+        self._powers(len(data))
+        space = IS_SPACE[data]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(OF_BYTE[data] * self.powers[: len(data)], dtype=np.uint64)])
+        words = _mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        places = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        bounds = np.searchsorted(starts, places)
+        grams = _mixed(self._rolled(words, self.size)) if len(words) >= self.size else words[:0]
+        for begin, end in zip(bounds.tolist(), bounds[1:].tolist()):
+            if end - begin >= self.size:
+                found = np.sort(grams[begin : end - self.size + 1])
+                different = np.empty(len(found), bool)
+                different[0] = True
+                np.not_equal(found[1:], found[:-1], out=different[1:])
+                yield found[different]
+            else:
+                yield _mixed(self._rolled(words[begin:end], end - begin)) if end > begin else words[:0]
+
+    @staticmethod
+    def _rolled(words: np.ndarray, width: int) -> np.ndarray:
+        count = len(words) - width + 1
+        total = np.full(count, width, np.uint64)
+        for i in range(width):
+            total = (total + words[i : i + count]) * STEP
+            total ^= total >> np.uint64(29)
+        return total
 
 
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
@@ -80,22 +122,25 @@ def frequent_ngrams(docs: DataFrame, size: int, similar: int, most: int) -> np.n
     """The most frequent n-grams among the prefixes by hash; at most ``most``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), []
+        shingler, held, many = Shingler(size), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py(), hashes, size)
-                held.append(found[: prefix_length(len(found), similar)])
-            if held and (len(held) >= 20_000 or sum(map(len, held)) > 4_000_000):
-                yield counts(held)
-                held = []
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                for found in shingler.sets(batch.column(0).slice(at, STEP_ROWS).to_pylist()):
+                    held.append(found[: prefix_length(len(found), similar)])
+                    many += len(held[-1])
+                if many > 2_000_000:
+                    yield counts(held)
+                    held, many = [], 0
         if held:
             yield counts(held)
 
     def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, times = np.unique(np.concatenate(held), return_counts=True)
+        values = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+        times = np.diff(np.append(first, len(values)))
         often = times >= FREQUENT_IN_TASK
         return pa.RecordBatch.from_arrays(
-            [pa.array(values[often].view(np.int64)), pa.array(times[often])], names=["ngram", "times"]
+            [pa.array(values[first][often].view(np.int64)), pa.array(times[often])], names=["ngram", "times"]
         )
 
     rows = docs.select("text").mapInArrow(counted, "ngram long, times long").groupBy("ngram").agg(F.sum("times").alias("times"))
@@ -107,31 +152,37 @@ def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) ->
     """Per document: ``doc_id``, ``n`` (its n-grams), ``node`` (hash of the set) and ``prefix`` (its first n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def first_of(found: np.ndarray, last: np.ndarray) -> np.ndarray:
+        length = prefix_length(len(found), similar) if len(found) else 0
+        if not len(last):
+            return found[:length]
+        for some in (found[: 2 * length], found):
+            often = last[np.minimum(np.searchsorted(last, some), len(last) - 1)] == some
+            seldom = some[~often]
+            if len(seldom) >= length or len(some) == len(found):
+                break
+        return np.concatenate([seldom, some[often]])[:length]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), shared.value
+        shingler, last = Shingler(size), shared.value
         for batch in batches:
-            sizes, nodes, firsts = [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), hashes, size)
-                length = prefix_length(len(found), similar) if len(found) else 0
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                    often = last[at] == found
-                    first = np.concatenate([found[~often][:length], found[often]])[:length]
-                else:
-                    first = found[:length]
-                sizes.append(len(found))
-                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                firsts.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n", "node", "prefix"],
-            )
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
+                sizes, nodes, firsts = [], [], [np.empty(0, np.uint64)]
+                for found in shingler.sets(part.column(1).to_pylist()):
+                    sizes.append(len(found))
+                    nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                    firsts.append(first_of(found, last))
+                offsets = np.cumsum([len(f) for f in firsts]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64))),
+                    ],
+                    names=["doc_id", "n", "node", "prefix"],
+                )
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {key_type}, n long, node long, prefix array<long>")
@@ -141,11 +192,14 @@ def whole_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, ngrams`` (packed, sorted) of the documents in ``wanted`` (``rep``)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        shingler = Shingler(size)
         for batch in batches:
-            packed = [shingles(t.as_py(), hashes, size).tobytes() for t in batch.column(0)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(p) for p in packed], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(packed, pa.binary())], names=["node", "ngrams"])
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                packed = [f.tobytes() for f in shingler.sets(batch.column(0).slice(at, STEP_ROWS).to_pylist())]
+                nodes = np.array([xxhash.xxh3_64_intdigest(p) for p in packed], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes), pa.array(packed, pa.binary())], names=["node", "ngrams"]
+                )
 
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     return texts.select("text").mapInArrow(rows, "node long, ngrams binary").dropDuplicates(["node"])
@@ -249,4 +303,4 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti")
     repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*map(named, docs.columns))
