@@ -2,43 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablescope.sources.shared import cut_lineage
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Per ``u`` the least of itself and its neighbours; written, so that the join on it can split a hot ``u``."""
-    return cut_lineage(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "component-least")
+def _stars(edges: DataFrame) -> DataFrame:
+    """Each ``u, v`` becomes ``v, m`` and each ``u`` its ``u, m``, with ``m`` the least of ``u`` and its neighbours."""
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star step, towards the least neighbour of all, and a small-star step, among the lesser ones."""
+    mirrored = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = mirrored.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    large = mirrored.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _stars(large.distinct()).filter("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``): root is the least node it is connected to.
 
-    Each step joins the edges with one row per node and combines minima inside the map tasks, so a node with very many
-    edges is no group of its own. Steps are written to the shared folder, one after another, until nothing changes.
+    Each step joins the edges with one row per node and combines minima inside the map tasks. A round is one job and is
+    written to the shared folder; what it wrote is counted on the way, and the rounds end when nothing changes.
     Loops, repeated and reversed links are allowed; an empty table gives an empty result.
     """
-    both = links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct()
-    edges, before = cut_lineage(both, "component-edges"), None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        seen = Observation()
+        digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+        edges = cut_lineage(_round(edges).observe(seen, F.count(F.lit(1)).alias("edges"), digest), "component-edges")
+        if seen.get == before:
             break
-        before = state
-        mirrored = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            mirrored.join(_least_neighbour(mirrored), "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        edges = cut_lineage(large, "component-edges")
-        least = _least_neighbour(edges)
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-        edges = cut_lineage(small.filter("u <> v").distinct(), "component-edges")
+        before = seen.get
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,17 +1,23 @@
 """Near duplicates by Jaccard similarity of word n-grams, as a blocked sparse product of the incidence matrix.
 
 Rows of the matrix are distinct n-gram sets, columns are n-grams; the product of two rows is their overlap. Of the
-columns of a row only a prefix matters for finding partners: if ``100 * |A n B| >= 80 * |A u B|``, the first
-``|A| - ceil(0.8 |A|) + 1`` n-grams of A and of B under any one order of all n-grams have one in common. The order here
-is by hash, with n-grams seen very often put last. Spark deals the columns out in blocks of their hashes. Within a column
-
-1. every row is paired with the column's least row only, which is linear in the column, and the rows that prove to be
-   similar are joined to components;
-2. what is left are pairs in different components, taken from the columns that still hold several.
-
-Overlaps accumulate per pair over the columns. A pair is dropped if its sizes differ too much or if what its prefixes
-have in common and all they leave out cannot reach the overlap its sizes ask for; the whole rows of the others are
-multiplied. So groups of copies, exact or near, cost as much as their size and no link between components is lost.
+columns of a row only a prefix matters for finding partners: under any one order of all n-grams, rows A and B with
+``100 |A n B| >= 80 |A u B|`` have one of their first ``n - ceil(0.8 n) + 1`` n-grams in common, and ``e + 1`` of them if
+the prefixes are longer by ``e``. The order here is by hash, with n-grams seen very often put last. Spark deals the
+columns out in blocks of their hashes. Within a column
+
+1. every row is paired with a few leaders of the column only, which is linear in the column, and the rows that prove to
+   be similar are joined to components. Leaders are the rows with the least share of n-grams nobody else has, as what is
+   similar to any row of a group is most likely similar to those;
+2. what is left are pairs in different components. As similar rows share more than ``e`` columns, each row leaves out the
+   ``e`` widest of its own (widest by a count over all rows), and the columns that still hold several components and are
+   not wide have their pairs multiplied;
+3. rows of wide columns, short ones mostly that consist of a much used passage, are taken up again with all their
+   n-grams, now in the order of their exact counts, so that what is much used comes last.
+
+Overlaps accumulate per pair over the columns. A pair is dropped if its sizes differ too much, if either row has too many
+n-grams of its own, or if what its prefixes have in common and all they leave out cannot reach the overlap its sizes ask
+for; the whole rows of the others are multiplied. So groups of copies, exact or near, cost as much as their size and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import named
@@ -35,6 +41,15 @@ SIMILAR = 80
 FREQUENT_IN_TASK = 2
 #: ... which holds this many at most. It only decides the order of columns, so that no result depends on it.
 FREQUENT = 50_000
+#: A row's prefix is longer than need be by one n-gram in so many.
+LONGER = 20
+#: Columns of more rows than this are wide.
+WIDE = 32
+#: Bits of a row's sketch, in words of 64.
+SKETCH = 8
+#: Rows of a column that all its rows are paired with first.
+LEADERS = 4
+
 #: Rows handled at once.
 STEP_ROWS = 500
 #: Bytes of text that are hashed at once.
@@ -115,7 +130,7 @@ class Shingler:
 
 
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    return n + (-similar * n // 100) + 1
+    return n + (-similar * n // 100) + 1 + n // LONGER if n else 0
 
 
 def frequent_ngrams(docs: DataFrame, size: int, similar: int, most: int) -> np.ndarray:
@@ -149,11 +164,12 @@ def frequent_ngrams(docs: DataFrame, size: int, similar: int, most: int) -> np.n
 
 
 def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: ``doc_id``, ``n`` (its n-grams), ``node`` (hash of the set) and ``prefix`` (its first n-grams)."""
+    """Per document: ``doc_id``, ``n`` (its n-grams), ``node`` (hash of the set), ``prefix`` (its first n-grams) and a
+    ``sketch``: for each of some bits, whether the n-grams that belong to it are odd in number."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def first_of(found: np.ndarray, last: np.ndarray) -> np.ndarray:
-        length = prefix_length(len(found), similar) if len(found) else 0
+        length = prefix_length(len(found), similar)
         if not len(last):
             return found[:length]
         for some in (found[: 2 * length], found):
@@ -168,11 +184,12 @@ def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) ->
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
-                sizes, nodes, firsts = [], [], [np.empty(0, np.uint64)]
+                sizes, nodes, firsts, sketches = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
                 for found in shingler.sets(part.column(1).to_pylist()):
                     sizes.append(len(found))
                     nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                     firsts.append(first_of(found, last))
+                    sketches.append(sketch_of(found))
                 offsets = np.cumsum([len(f) for f in firsts]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -180,40 +197,130 @@ def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) ->
                         pa.array(sizes, pa.int64()),
                         pa.array(np.array(nodes, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts).view(np.int64))),
+                        pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sketches)), SKETCH).cast(pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "node", "prefix"],
+                    names=["doc_id", "n", "node", "prefix", "sketch"],
                 )
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {key_type}, n long, node long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {key_type}, n long, node long, prefix array<long>, sketch array<long>")
+
 
+def sketch_of(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
-def whole_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, ngrams`` (packed, sorted) of the documents in ``wanted`` (``rep``)."""
+
+def whole_rows(docs: DataFrame, wanted: DataFrame, size: int, exploded: bool = False) -> DataFrame:
+    """``node, ngrams`` (packed, sorted) of the documents in ``wanted`` (``rep``), or ``node, ngram`` one by one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
-                packed = [f.tobytes() for f in shingler.sets(batch.column(0).slice(at, STEP_ROWS).to_pylist())]
+                sets = list(shingler.sets(batch.column(0).slice(at, STEP_ROWS).to_pylist()))
+                packed = [f.tobytes() for f in sets]
                 nodes = np.array([xxhash.xxh3_64_intdigest(p) for p in packed], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array(packed, pa.binary())], names=["node", "ngrams"]
-                )
+                if exploded:
+                    grams = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+                    columns = [pa.array(np.repeat(nodes, [len(f) for f in sets])), pa.array(grams)]
+                else:
+                    columns = [pa.array(nodes), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "ngram" if exploded else "ngrams"])
 
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    if exploded:
+        return texts.select("text").mapInArrow(rows, "node long, ngram long")
     return texts.select("text").mapInArrow(rows, "node long, ngrams binary").dropDuplicates(["node"])
 
 
+def _share(similar: int, n: Column) -> Column:
+    """``ceil(similar n / 100)`` in whole numbers."""
+    return F.floor((similar * n + 99) / 100)
+
+
 def may_be_similar(similar: int) -> Column:
     """Whether the overlap ``both`` of the prefixes of two rows of ``na`` and ``nb`` n-grams allows for enough in all.
 
     Up to the end of the shorter-reaching prefix the overlap is ``both``; beyond it are at most the n-grams that the
-    prefix leaves out, ``ceil(0.8 n) - 1`` of the row it belongs to.
+    prefix of the row it belongs to leaves out.
     """
-    left_out = F.ceil(similar * F.greatest("na", "nb") / 100) - 1
+
+    def left_out(n: Column) -> Column:
+        return _share(similar, n) - 1 - F.floor(n / LONGER)
+
+    beyond = F.greatest(left_out(F.col("na")), left_out(F.col("nb")))
     in_size = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
-    return in_size & ((F.col("both") + left_out) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
+    return in_size & ((F.col("both") + beyond) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
+
+
+def open_columns(members: DataFrame) -> DataFrame:
+    """``members`` (``ngram, node, n, most, place, sketch, root``) of the columns that hold several components, with the least as
+    ``first`` and the number of rows as ``width``. ``most`` is how many n-grams of a row others may have."""
+    several = (
+        members.groupBy("ngram")
+        .agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("width"))
+        .filter("first <> last")
+    )
+    return members.join(several.select("ngram", "first", "width"), "ngram")
+
+
+def meeting(members: DataFrame, similar: int) -> DataFrame:
+    """``a, b, na, nb`` of the pairs of rows in different components that meet in a column, once per column.
+
+    Where ``place`` is known, the place of a column in its row's order, the column must be early enough in both: of the
+    overlap that the sizes ask for, the first n-gram in common has all the others behind it. Where sketches are known,
+    bits that differ between them are n-grams that only one of the rows has.
+    """
+    left, right = (
+        side.select("ngram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "most", "place", "sketch", "root")))
+        for x, side in (("a", members.filter("root <> first")), ("b", members))
+    )
+    total = F.col("n_a") + F.col("n_b")
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        differ = differ + F.coalesce(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])), F.lit(0))
+    spare = 1 - F.floor((similar * total + 99 + similar) / (100 + similar))
+    return left.join(right, "ngram").filter(
+        (F.col("root_a") > F.col("root_b"))
+        & (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
+        & ((100 + similar) * F.least("most_a", "most_b") >= similar * total)
+        & ((100 + similar) * (total - differ) >= 2 * similar * total)
+        & (F.col("place_a") <= F.col("n_a") + spare)
+        & (F.col("place_b") <= F.col("n_b") + spare)
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+
+
+def seldom_columns(members: DataFrame, similar: int) -> DataFrame:
+    """``members`` of open columns without the widest ones of each row.
+
+    Similar rows share more columns than either leaves out here, so the narrowest one they share is left to both.
+    """
+    spare = F.floor(_share(similar, F.col("n")) / LONGER)
+    widest = Window.partitionBy("node").orderBy(F.desc("width"), F.desc("ngram"))
+    kept = members.withColumn("widest", F.row_number().over(widest)).filter(F.col("widest") > spare)
+    return kept.select("ngram", "node", "n", "most", "place", "sketch", "root")
+
+
+def counted_prefixes(docs: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """``ngram, node, n, most, place, sketch, root`` of the prefixes of ``rows`` (``node, rep, n, sketch, root``) in the order
+    of exact counts.
+
+    N-grams of one row only come first in its order and are of no use to pairs, so the others alone are ranked. Rows
+    with too few of those to be similar to anything are left out.
+    """
+    found = whole_rows(docs, rows.select("rep"), size, exploded=True)
+    entries = cut_lineage(found.join(rows.select("node", "n", "root"), "node").distinct(), "ngram-wide")
+    counts = entries.groupBy("ngram").agg(F.count("*").alias("width")).filter("width > 1")
+    shared = entries.join(counts, "ngram")
+    of_row = Window.partitionBy("node")
+    placed = shared.withColumn("place", F.row_number().over(of_row.orderBy("width", "ngram"))).withColumn(
+        "most", F.count("*").over(of_row)
+    )
+    least = _share(similar, F.col("n"))
+    placed = placed.withColumn("place", F.col("n") - F.col("most") + F.col("place"))
+    near = placed.filter((F.col("most") >= least) & (F.col("place") <= F.col("n") - least + 1))
+    return near.select("ngram", "node", "n", "most", "place", "root").join(rows.select("node", "sketch"), "node")
 
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similar: int) -> DataFrame:
@@ -250,35 +357,38 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     listed = frequent_ngrams(docs, size, similar, frequent)
     table = cut_lineage(prefixes(docs, size, similar, listed), "ngram-prefixes")
     filled = table.filter("n > 0")
-    nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "ngram-nodes")
+    nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "ngram-nodes")
 
     sizes = nodes.select("node", "n")
     entries = filled.select("node", F.explode("prefix").alias("ngram"))
     columns = entries.groupBy("ngram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    hits = cut_lineage(entries.join(columns.select("ngram", "least"), "ngram").distinct(), "ngram-hits")
-
-    stars = hits.filter("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("both"))
-    sized = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
+    shared = cut_lineage(entries.join(columns.select("ngram"), "ngram", "left_semi").distinct(), "ngram-shared")
+    of_prefix = F.col("n") - _share(similar, F.col("n")) + 1 + F.floor(F.col("n") / LONGER)
+    known = shared.groupBy("node").agg(F.count("*").alias("known")).join(sizes, "node")
+    known = known.select(
+        "node", "n",
+        # what nobody's prefix has, others may still have beyond theirs; places in the order by hash are not used
+        F.col("n").alias("most"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("array<long>").alias("sketch"),
+        F.struct((1 - F.col("known") / of_prefix).alias("own"), "node").alias("rank"),
     )
-    links = similar_pairs(docs, nodes, sized.filter(may_be_similar(similar)), size, similar)
+    hits = cut_lineage(shared.join(known, "node"), "ngram-hits")
+    order = F.row_number().over(Window.partitionBy("ngram").orderBy("rank"))
+    leaders = hits.select("ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("lead"), order.alias("order"))
+    leaders = leaders.filter(F.col("order") <= LEADERS).drop("order")
+    followers = hits.select("ngram", F.col("node").alias("b"), F.col("n").alias("nb"), "rank")
+    stars = followers.join(leaders, "ngram").filter("lead < rank").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    links = similar_pairs(docs, nodes, stars.filter(may_be_similar(similar)), size, similar)
     found = components(links)
 
-    placed = hits.select("ngram", "node").join(sizes, "node").join(found, "node", "left")
-    members = placed.select("ngram", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = members.groupBy("ngram").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
-    members = cut_lineage(members.join(several.select("ngram", "first"), "ngram"), "ngram-open")
-    left = members.filter("root <> first").select(
-        "ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")
-    )
-    right = members.select("ngram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    products = (
-        left.join(right, "ngram")
-        .filter((F.col("ra") > F.col("rb")) & (100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("both"))
-    )
-    more = similar_pairs(docs, nodes, products.filter(may_be_similar(similar)), size, similar)
+    placed = hits.drop("rank").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    seldom = cut_lineage(open_columns(seldom_columns(open_columns(placed), similar)), "ngram-seldom")
+    summed = meeting(seldom.filter(F.col("width") <= WIDE), similar).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    few = summed.filter(may_be_similar(similar)).select("a", "b")
+    wide = seldom.filter(F.col("width") > WIDE).select("node", "n", "root").distinct()
+    wide = cut_lineage(wide.join(nodes.select("node", "rep", "sketch"), "node"), "ngram-wide-rows")
+    counted = cut_lineage(open_columns(counted_prefixes(docs, wide, size, similar)), "ngram-counted")
+    pairs = few.unionByName(meeting(counted, similar).select("a", "b")).distinct()
+    more = similar_pairs(docs, nodes, pairs, size, similar)
     shared_ids = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(
         "doc_id IS NOT NULL AND a <> b"
     )

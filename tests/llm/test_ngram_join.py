@@ -64,8 +64,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("frequent", [nj.FREQUENT, 0])
-def test_components_are_those_of_all_pairs(make_docs, odd_rows, frequent):
+@pytest.mark.parametrize("frequent, wide", [(nj.FREQUENT, nj.WIDE), (0, 3), (0, 1000)])
+def test_components_are_those_of_all_pairs(make_docs, odd_rows, monkeypatch, frequent, wide):
+    monkeypatch.setattr(nj, "WIDE", wide)
     rows = corpus(11) + [r for r in odd_rows if r[0] != 6] + [(6, "same text in two rows, word for word")] * 2
     rows = [r for r in rows if r[0] is not None]  # ids are what results are compared by
     got = nj.near_duplicates(make_docs(rows), frequent=frequent).collect()
@@ -82,19 +83,23 @@ def test_one_of_each_group_stays(make_docs):
     assert kept.filter("doc_id IS NULL OR doc_id = 2001").count() == 4
 
 
-def test_bound_drops_no_similar_pair():
-    """``may_be_similar`` over random sets: the overlap of the prefixes of similar sets is always large enough."""
+def test_bound_drops_no_similar_pair(spark):
+    """Over random sets: the prefixes of similar sets overlap as much as both bounds ask for."""
     pick = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(pick.integers(1, 120))
+    cases = []
+    for _ in range(1500):
+        n = int(pick.integers(1, 150))
         a = np.unique(pick.integers(0, 2**40, n))
         b = np.unique(np.concatenate([a[pick.random(len(a)) < 0.9], pick.integers(0, 2**40, int(pick.integers(0, 1 + n // 6)))]))
         both = len(np.intersect1d(a, b))
         if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
             continue
         seen = len(np.intersect1d(a[: nj.prefix_length(len(a))], b[: nj.prefix_length(len(b))]))
-        left_out = -(-80 * max(len(a), len(b)) // 100) - 1
-        assert seen >= 1 and (seen + left_out) * 180 >= 80 * (len(a) + len(b))
+        for n in (len(a), len(b)):  # each leaves out fewer columns than they share
+            assert seen > -(-80 * n // 100) // nj.LONGER
+        cases.append((seen, len(a), len(b)))
+    frame = spark.createDataFrame(cases, "both long, na long, nb long")
+    assert len(cases) > 300 and frame.filter(~nj.may_be_similar(80)).count() == 0
 
 
 def test_empty_and_blank_tables(make_docs):
