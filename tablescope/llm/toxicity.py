@@ -36,7 +36,7 @@ LEAST_COUNT = 3
 WINDOW = 4
 TOP = 3
 #: Words a task keeps the evidence of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
