@@ -192,8 +192,13 @@ def counted_with_late(events: DataFrame, ts: str, bucket: str, delay: str, label
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
 
-    query = run_available(bucket_counts(events, ts, bucket, delay), sink, "update", path)
-    seen = sum(p["numInputRows"] for p in query.recentProgress)
+    def count(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+
+    run_available(bucket_counts(events, ts, bucket, delay), sink, "update", path)
+    # what was read is counted by batch too; the query's progress remembers its last batches only
+    run_available(events.select(ts), count, "append", f"{path}/count")
+    seen = spark.read.parquet(f"{path}/seen").agg(F.sum("n")).first()[0] or 0
     rows = spark.read.parquet(f"{path}/data")
     newest = rows.groupBy("start").agg(F.max_by("n", "batch").alias("n"))
     counted = newest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"))
