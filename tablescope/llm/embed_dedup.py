@@ -31,7 +31,7 @@ BLOCK = 10
 #: Width of the cells as a multiple of a block's range.
 WIDTH = 2.2
 #: Guards distances against rounding; what lies this close to a bound is compared exactly.
-SLACK = 1e-6
+SLACK = 1e-5
 SEED = 20240229
 
 
@@ -96,9 +96,11 @@ def _keys(cells: np.ndarray, dims: int, block: int) -> np.ndarray:
 def cells(units: DataFrame, range2: float, lookups: bool, block: int = BLOCK) -> DataFrame:
     """``cell, vec_id, class, home``: the cell of each block a vector lies in and, with ``lookups``, those it looks up.
 
-    ``units`` has ``vec_id, dims, v, class``. A vector looks up the cells within range of it that come later in the order
-    of cell numbers; the vectors of earlier ones look up its own.
+    ``units`` has ``vec_id, dims, v, class`` and ``lead``, a vector whose ``block`` coordinates come along as ``x0, x1 ..``
+    with ``reach``, the block's range. A vector looks up the cells within range of it that come later in the order of
+    cell numbers; the vectors of earlier ones look up its own.
     """
+    places = [f"x{i}" for i in range(block)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,16 +110,18 @@ def cells(units: DataFrame, range2: float, lookups: bool, block: int = BLOCK) ->
                 for at in range(0, part.num_rows, 2000):
                     some = part.slice(at, 2000)
                     ids, classes = some.column("vec_id").to_numpy(), some.column("class").to_numpy()
-                    points = _matrix(some.column("v"))
+                    points, leads = _matrix(some.column("v")), _matrix(some.column("lead"))
                     for number, span in enumerate(blocks_of(int(dims), block)):
-                        yield from block_rows(points[:, span], ids, classes, int(dims), number)
+                        lead = np.zeros((len(ids), block), np.float32)
+                        lead[:, : span.stop - span.start] = leads[:, span]
+                        yield from block_rows(points[:, span], ids, classes, lead, int(dims), number)
 
-    def block_rows(x, ids, classes, dims, number):
+    def block_rows(x, ids, classes, lead, dims, number):
         d = x.shape[1]
         limit = math.sqrt(range2 * d / dims) + SLACK
         width = WIDTH * limit
         home = np.floor(x / width).astype(np.int64)
-        yield batch_of(_keys(home, dims, number), ids, classes, True)
+        yield batch_of(_keys(home, dims, number), ids, classes, True, limit, lead)
         if not lookups:
             return
         low = x - home * width
@@ -131,15 +135,20 @@ def cells(units: DataFrame, range2: float, lookups: bool, block: int = BLOCK) ->
         later = first > 0
         row, step = row[later], step[later]
         if len(row):
-            yield batch_of(_keys(home[row] + step, dims, number), ids[row], classes[row], False)
+            yield batch_of(_keys(home[row] + step, dims, number), ids[row], classes[row], False, limit, lead[row])
 
-    def batch_of(keys, ids, classes, home):
+    def batch_of(keys, ids, classes, home, limit, lead):
+        count = len(keys)
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(ids), pa.array(classes), pa.array(np.full(len(keys), home))],
-            names=["cell", "vec_id", "class", "home"],
+            [
+                *map(pa.array, (keys, ids, classes, np.full(count, home), np.full(count, limit))),
+                *(pa.array(np.ascontiguousarray(lead[:, i])) for i in range(block)),
+            ],
+            names=["cell", "vec_id", "class", "home", "reach", *places],
         )
 
-    return units.select("vec_id", "dims", "v", "class").mapInArrow(rows, "cell long, vec_id long, class long, home boolean")
+    schema = "cell long, vec_id long, class long, home boolean, reach double, " + ", ".join(f"{c} float" for c in places)
+    return units.select("vec_id", "dims", "v", "class", "lead").mapInArrow(rows, schema)
 
 
 def with_distance(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -170,7 +179,7 @@ def gather(units: DataFrame, range2: float, rounds: int = 2, block: int = BLOCK)
     state = cut_lineage(units.withColumn("class", F.col("vec_id")).withColumn("r2", F.lit(0.0)), "embed-classes")
     for _ in range(rounds):
         open_ = state.filter("class = vec_id")
-        homes = cells(open_, range2, False, block).select("cell", "vec_id")
+        homes = cells(open_.withColumn("lead", F.col("v")), range2, False, block).select("cell", "vec_id")
         least = cut_lineage(homes.groupBy("cell").agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("z")).filter("a <> z"), "embed-least")
         pairs = homes.join(least.select("cell", "a"), "cell").filter("a < vec_id").select("a", F.col("vec_id").alias("b")).distinct()
         near = cut_lineage(with_distance(pairs, open_).filter(F.col("d2") < range2 / 4 - SLACK), "embed-near")
@@ -194,14 +203,27 @@ def gather(units: DataFrame, range2: float, rounds: int = 2, block: int = BLOCK)
 
 def linked_classes(state: DataFrame, range2: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (``a, b``) whose members all link, and pairs of vectors of other classes that do."""
-    places = cells(state, range2, True, block).select("cell", "class", "home").distinct()
-    places = cut_lineage(places, "embed-places")
-    homes, looks = places.filter("home").drop("home"), places.filter("NOT home").drop("home")
-    same = homes.withColumnRenamed("class", "a").join(homes.withColumnRenamed("class", "b"), "cell").filter("a < b")
-    across = looks.withColumnRenamed("class", "c").join(homes.withColumnRenamed("class", "d"), "cell").filter("c <> d")
-    pairs = same.select("a", "b").unionByName(across.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")))
     sizes = state.groupBy("class").agg(F.max("r2").alias("r2"))
     leaders = state.filter("class = vec_id").select("vec_id", "v")
+    led = state.join(leaders.select(F.col("vec_id").alias("class"), F.col("v").alias("lead")), "class")
+    places = cells(led, range2, True, block).drop("vec_id").distinct()
+    places = cut_lineage(places.join(sizes.select("class", F.sqrt("r2").alias("radius")), "class"), "embed-places")
+    xs = [f"x{i}" for i in range(block)]
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("cell", "reach", *(F.col(c).alias(f"{c}_{name}") for c in ("class", "radius", *xs)))
+
+    homes = side(places.filter("home"), "b")
+    # within range in the block: members are no further from their leader there than in all
+    apart2 = sum(((F.col(f"{x}_a") - F.col(f"{x}_b")) * (F.col(f"{x}_a") - F.col(f"{x}_b")) for x in xs[1:]),
+                 (F.col("x0_a") - F.col("x0_b")) * (F.col("x0_a") - F.col("x0_b")))
+    bound = F.col("reach") + F.col("radius_a") + F.col("radius_b") + SLACK
+    near = apart2 <= bound * bound
+    homes = homes.drop("reach")
+    same = side(places.filter("home"), "a").join(homes, "cell").filter((F.col("class_a") < F.col("class_b")) & near)
+    across = side(places.filter("NOT home"), "a").join(homes, "cell").filter((F.col("class_a") != F.col("class_b")) & near)
+    both = same.select("class_a", "class_b").unionByName(across.select("class_a", "class_b"))
+    pairs = both.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
     reach = math.sqrt(range2)
     between = (
         with_distance(pairs.distinct(), leaders)
