@@ -10,6 +10,7 @@ and keeps the states of the current path only; going on to the next word drops t
 from __future__ import annotations
 
 import json
+import math
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: How the byte-level scheme cuts text into words (fixed value).
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a task keeps encodings of; past that it starts afresh, which changes no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,25 +75,47 @@ class TrieEncoder:
         # for cutting only, an unassigned character stands in for those the tokenizer's tables don't know
         self.stand_in = dict.fromkeys(map(ord, vocabulary["newer"]), "͸")
         self.newer = frozenset(vocabulary["newer"])
+        self.made_by = {made: (rank, left, right) for (left, right), (rank, made) in self.merges.items()}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.beside: dict[tuple[int, int], bool] = {}
         self.encoded: dict[str, bytes] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, for the bytes of two tokens."""
-        tokens = [self.ids[bytes((b,))] for b in data]
-        while len(tokens) > 1:
-            found = [(self.merges[p][0], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.merges]
-            if not found:
-                break
-            _, i = min(found)
-            tokens[i : i + 2] = [self.merges[tokens[i], tokens[i + 1]][1]]
-        return tokens
+    def spine(self, token: int, side: int) -> tuple[list[int], list[float]]:
+        """The tokens that merging makes of the last (``side`` 1) or first byte of a token, up to the token itself,
+        and the rank of the merge that ends each."""
+        known = self.spines[side].get(token)
+        if known is None:
+            tokens, ranks = [token], [math.inf]
+            while (made := self.made_by.get(tokens[-1])) is not None:
+                tokens.append(made[1 + side])
+                ranks.append(made[0])
+            known = self.spines[side][token] = tokens[::-1], ranks[::-1]
+        return known
 
     def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the joint bytes of two tokens gives these two, that is, never merges across their border.
+
+        The tokens at the border grow on either side by merges of known rank; a merge across it comes first if its
+        rank is lower than that of the next one on either side. At equal ranks the merge further left comes first.
+        """
         key = (left, right)
         known = self.beside.get(key)
         if known is None:
-            known = self.beside[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            (before, ends), (after, starts) = self.spine(left, 1), self.spine(right, 0)
+            i = j = 0
+            while True:
+                across = self.merges.get((before[i], after[j]))
+                if across is not None and across[0] < ends[i] and across[0] <= starts[j]:
+                    known = False
+                    break
+                if ends[i] <= starts[j]:
+                    if ends[i] == math.inf:
+                        known = True
+                        break
+                    i += 1
+                else:
+                    j += 1
+            self.beside[key] = known
         return known
 
     def insert(self, words: set[str]) -> None:
@@ -141,7 +164,7 @@ class TrieEncoder:
 
 
 def encode(
-    docs: DataFrame, vocabulary_path: str, text: str = "text", step: int = 500, keep: tuple[str, ...] = ()
+    docs: DataFrame, vocabulary_path: str, text: str = "text", step: int = 2000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` and the columns ``keep`` for every row of ``docs``.
 
