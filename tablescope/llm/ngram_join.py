@@ -239,17 +239,26 @@ def _share(similar: int, n: Column) -> Column:
     return F.floor((similar * n + 99) / 100)
 
 
-def may_be_similar(similar: int) -> Column:
+def _spare(similar: int, n: Column) -> Column:
+    """How many of its columns ``seldom_columns`` leaves out of a row of ``n`` n-grams."""
+    return F.floor(_share(similar, n) / LONGER)
+
+
+def may_be_similar(similar: int, seldom: bool = False) -> Column:
     """Whether the overlap ``both`` of the prefixes of two rows of ``na`` and ``nb`` n-grams allows for enough in all.
 
     Up to the end of the shorter-reaching prefix the overlap is ``both``; beyond it are at most the n-grams that the
-    prefix of the row it belongs to leaves out.
+    prefix of the row it belongs to leaves out. Where ``both`` is counted over ``seldom`` columns only, what the rows left
+    out comes on top: as both go by one order, the common columns that either left out are the widest common ones, and
+    no more than the larger of the two numbers.
     """
 
     def left_out(n: Column) -> Column:
         return _share(similar, n) - 1 - F.floor(n / LONGER)
 
     beyond = F.greatest(left_out(F.col("na")), left_out(F.col("nb")))
+    if seldom:
+        beyond = beyond + F.greatest(_spare(similar, F.col("na")), _spare(similar, F.col("nb")))
     in_size = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
     return in_size & ((F.col("both") + beyond) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
 
@@ -296,7 +305,7 @@ def seldom_columns(members: DataFrame, similar: int) -> DataFrame:
 
     Similar rows share more columns than either leaves out here, so the narrowest one they share is left to both.
     """
-    spare = F.floor(_share(similar, F.col("n")) / LONGER)
+    spare = _spare(similar, F.col("n"))
     widest = Window.partitionBy("node").orderBy(F.desc("width"), F.desc("ngram"))
     kept = members.withColumn("widest", F.row_number().over(widest)).filter(F.col("widest") > spare)
     return kept.select("ngram", "node", "n", "most", "place", "sketch", "root")
@@ -383,7 +392,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     placed = hits.drop("rank").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     seldom = cut_lineage(open_columns(seldom_columns(open_columns(placed), similar)), "ngram-seldom")
     summed = meeting(seldom.filter(F.col("width") <= WIDE), similar).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    few = summed.filter(may_be_similar(similar)).select("a", "b")
+    # a pair with a wide column among those left is taken up below; all others have them all counted here
+    few = summed.filter(may_be_similar(similar, seldom=True)).select("a", "b")
     wide = seldom.filter(F.col("width") > WIDE).select("node", "n", "root").distinct()
     wide = cut_lineage(wide.join(nodes.select("node", "rep", "sketch"), "node"), "ngram-wide-rows")
     counted = cut_lineage(open_columns(counted_prefixes(docs, wide, size, similar)), "ngram-counted")

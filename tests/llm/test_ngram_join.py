@@ -102,6 +102,33 @@ def test_bound_drops_no_similar_pair(spark):
     assert len(cases) > 300 and frame.filter(~nj.may_be_similar(80)).count() == 0
 
 
+def test_bound_over_seldom_columns(spark):
+    """Two rows of 100 n-grams whose unshared ones come first, less the columns that ``seldom_columns`` leaves out."""
+    n, spare = 100, 4
+    similar = [both for both in range(85, 101) if 100 * both >= 80 * (2 * n - both)]
+    cases = [(max(0, nj.prefix_length(n) - (n - both)) - spare, n, n) for both in similar]
+    frame = spark.createDataFrame(cases, "both long, na long, nb long")
+    assert similar[0] == 89 and frame.filter(~nj.may_be_similar(80, seldom=True)).count() == 0
+    assert spark.range(1).select(nj._spare(80, nj.F.lit(n))).first()[0] == spare
+
+
+def test_pair_among_rows_of_its_passage(make_docs):
+    """Texts with two words changed (J = 0.818), unlike rows that are parts of what both have, and its n-grams twice
+    each, so that all of them are on the list of frequent ones and come last."""
+    pick, texts, pairs = random.Random(3), [], []
+    for k in range(4):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(104)]
+        other = [f"x{k}{i}" if i in (4, 99) else w for i, w in enumerate(words)]
+        texts += [words[i : i + 44] for i in range(5, 99 - 43)[::5]]
+        texts += [words[i : i + 5] for i in range(5, 95)] * 2
+        pairs += [words, other]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*pairs, *texts])]
+    want = brute(rows)
+    assert [c for _, _, c in want[:8]] == [0, 0, 2, 2, 4, 4, 6, 6] and not {c for _, _, c in want[8:]} & {0, 2, 4, 6}
+    got = nj.near_duplicates(make_docs(rows).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_empty_and_blank_tables(make_docs):
     empty = make_docs([(1, "a")]).filter("doc_id > 1")
     assert nj.near_duplicates(empty).count() == 0
