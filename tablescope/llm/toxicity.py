@@ -13,15 +13,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablescope.llm.common import named
+from tablescope.llm.ngram_join import STEP, _mixed
 
 ORDER = 6
 SHARED_ORDER = 2
@@ -29,14 +31,12 @@ SHARED_ORDER = 2
 FOLDS, CURVE_FOLD = 5, 4
 #: Labelled documents of each class the model is fitted on at most, chosen by a hash of their ids.
 SAMPLE = 20_000
-#: N-grams of letters the model keeps at most, the most frequent first; the bound on what is broadcast.
-MODEL_NGRAMS = 400_000
-#: N-grams seen in fewer sampled documents' words than this are left to the backoff.
-LEAST_COUNT = 3
 WINDOW = 4
 TOP = 3
 #: Words a task keeps the evidence of.
 CACHE_WORDS = 200_000
+#: Letters of text whose words are judged at once.
+CHUNK = 1 << 18
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,8 +91,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def ngram_counts(words: DataFrame, order: int, least: int, most: int) -> dict[str, tuple[int, int]]:
-    """Toxic and ordinary count of each n-gram of letters up to ``order``, words between ``^`` and ``$``."""
+def ngram_counts(words: DataFrame, order: int) -> pa.Table:
+    """``gram, toxic, ordinary``: the counts of every n-gram of letters up to ``order``, words between ``^`` and ``$``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,91 +118,133 @@ def ngram_counts(words: DataFrame, order: int, least: int, most: int) -> dict[st
         .mapInArrow(counted, "gram string, toxic long, ordinary long")
         .groupBy("gram")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-        .filter(F.col("toxic") + F.col("ordinary") >= least)
-        .orderBy(F.desc(F.col("toxic") + F.col("ordinary")), F.length("gram"), "gram")
-        .limit(most)
     )
-    return {r[0]: (r[1], r[2]) for r in rows.collect()}
+    return rows.toArrow()  # of the words of a bounded sample
+
+
+def _longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams that are longer by a letter; that of no letters is 0."""
+    return _mixed((hashes + letters.astype(np.uint64) + np.uint64(1)) * STEP)
+
+
+class Sums:
+    """Sums of the rows of ``values`` by key, 0 for other keys; sorted arrays, which take little more than the numbers."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.values = np.column_stack([np.bincount(place, v, len(self.keys)) for v in values.T])
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(keys), self.values.shape[1]))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.values[at]
+        found[self.keys[at] != keys] = 0.0
+        return found
 
 
 class LetterModel:
-    """Evidence of words: log-likelihood as toxic less log-likelihood as ordinary."""
+    """Evidence of words: log-likelihood as toxic less log-likelihood as ordinary.
+
+    ``counts`` are those of all n-grams, as ``{gram: (toxic, ordinary)}`` or as ``ngram_counts`` gives them. They are kept
+    by 64-bit hashes.
+    """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, shared: int = SHARED_ORDER):
-        self.order, self.shared, self.counts = order, shared, counts
-        letters = {g for g in counts if len(g) == 1}
-        self.uniform = 1.0 / (len(letters) + 2)
+    def __init__(self, counts: dict[str, tuple[int, int]] | pa.Table, order: int = ORDER, shared: int = SHARED_ORDER):
+        if isinstance(counts, dict):
+            columns = [pa.array(list(counts), pa.string()), *(pa.array([p[c] for p in counts.values()], pa.int64()) for c in (0, 1))]
+            counts = pa.table(columns, names=["gram", "toxic", "ordinary"])
+        self.order, self.shared = order, shared
+        pairs = np.column_stack([counts.column(c).to_numpy().astype(float) for c in ("toxic", "ordinary")])
+        sizes = pc.utf8_length(counts.column("gram")).to_numpy()
+        keys, contexts = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+        tails, tail_contexts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for size in range(1, order + 1):
+            at = np.flatnonzero(sizes == size)
+            letters = np.array(counts.column("gram").take(pa.array(at)).to_pylist(), f"U{size}").view(np.uint32).reshape(-1, size)
+            key, tail = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            for i in range(size):
+                context, tail_context = key, tail
+                key = _longer(key, letters[:, i])
+                tail = _longer(tail, letters[:, i]) if i else tail
+            keys[at], contexts[at] = key, context
+            if 1 < size <= shared + 1:
+                tails.append(tail)
+                tail_contexts.append(tail_context)
+        self.uniform = 1.0 / (int((sizes == 1).sum()) + 2)
+        long = sizes > shared
+        self.counts = Sums(keys[long], pairs[long])
         # per class and context: the sum of the counts after it and how many letters follow it
-        self.after: list[dict[str, list[int]]] = [{}, {}]
+        self.after = Sums(contexts[long], np.column_stack([pairs[long], pairs[long] > 0]))
         # for the shared orders: in how many contexts one letter longer a gram occurs, and the same per context
-        self.spread: Counter = Counter()
-        self.spread_after: dict[str, list[int]] = {}
-        for gram, pair in counts.items():
-            for c in (0, 1):
-                if pair[c] and len(gram) > shared:
-                    held = self.after[c].setdefault(gram[:-1], [0, 0])
-                    held[0] += pair[c]
-                    held[1] += 1
-            if 1 < len(gram) <= shared + 1:
-                self.spread[gram[1:]] += 1
-        for gram, times in self.spread.items():
-            held = self.spread_after.setdefault(gram[:-1], [0, 0])
-            held[0] += times
-            held[1] += 1
-        once = sum(1 for p in counts.values() for v in p if v == 1)
-        twice = sum(1 for p in counts.values() for v in p if v == 2)
+        tail, first, times = np.unique(np.concatenate(tails), return_index=True, return_counts=True)
+        self.spread = Sums(tail, times[:, None])
+        self.spread_after = Sums(np.concatenate(tail_contexts)[first], np.column_stack([times, np.ones(len(times))]))
+        once, twice = int((pairs == 1).sum()), int((pairs == 2).sum())
         self.discount = min(0.9, max(0.5, once / (once + 2 * twice))) if once + twice else 0.75
-        self.letter: dict[str, float] = {}
         self.word: dict[str, float] = {}
 
-    def shared_likelihood(self, gram: str) -> float:
-        """Of the last letter after the ones before it, by continuation counts of both classes."""
-        lower = self.shared_likelihood(gram[1:]) if len(gram) > 1 else self.uniform
-        total, kinds = self.spread_after.get(gram[:-1], (0, 0))
-        if not total:
-            return lower
-        return (max(self.spread[gram] - self.discount, 0.0) + self.discount * kinds * lower) / total
+    def likelihoods(self, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """As toxic and as ordinary, of each letter after the ones before it in its line, in which it has ``place``."""
+        found = np.full((len(letters), 2), self.uniform)
+        keys = np.zeros(len(letters) + 1, np.uint64)  # of the n-grams that start at each letter
+        for size in range(1, min(self.order, len(letters)) + 1):
+            contexts = keys[:-1]
+            keys = _longer(contexts, letters[size - 1 :])
+            starts = np.flatnonzero(place[size - 1 :] >= size - 1)
+            if size <= self.shared:
+                own = self.spread.of(keys[starts])
+                total, kinds = np.hsplit(self.spread_after.of(contexts[starts]), 2)
+            else:
+                own = self.counts.of(keys[starts])
+                total, kinds = np.hsplit(self.after.of(contexts[starts]), 2)
+            lower = found[starts + size - 1]
+            higher = (np.maximum(own - self.discount, 0.0) + self.discount * kinds * lower) / np.maximum(total, 1.0)
+            found[starts + size - 1] = np.where(total > 0, higher, lower)
+        return found
 
     def likelihood(self, gram: str, c: int) -> float:
-        if len(gram) <= self.shared:
-            return self.shared_likelihood(gram)
-        lower = self.likelihood(gram[1:], c)
-        total, kinds = self.after[c].get(gram[:-1], (0, 0))
-        if not total:
-            return lower
-        own = self.counts.get(gram, (0, 0))[c]
-        return (max(own - self.discount, 0.0) + self.discount * kinds * lower) / total
-
-    def evidence(self, word: str) -> float:
-        known = self.word.get(word)
-        if known is None:
-            if len(self.word) > CACHE_WORDS:
-                self.word.clear()
-            line, known = f"^{word}$", 0.0
-            for end in range(2, len(line) + 1):
-                gram = line[max(0, end - self.order) : end]
-                value = self.letter.get(gram)
-                if value is None:
-                    if len(self.letter) > CACHE_WORDS:
-                        self.letter.clear()
-                    value = math.log(self.likelihood(gram, 0)) - math.log(self.likelihood(gram, 1))
-                    self.letter[gram] = value
-                known += value
-            known /= len(word) + 1
-            self.word[word] = known
-        return known
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Mean evidence of a text's words, of its most toxic window and of its most toxic words; 0 without words."""
-        words = WORD.findall(text.lower()) if text else []
-        if not words:
-            return 0.0, 0.0, 0.0
-        values = np.fromiter(map(self.evidence, words), float, len(words))
-        sums = np.cumsum(np.concatenate([[0.0], values]))
-        width = min(WINDOW, len(words))
-        window = (sums[width:] - sums[:-width]).max() / width
-        top = np.partition(values, len(words) - min(TOP, len(words)))[-min(TOP, len(words)) :].mean()
-        return sums[-1] / len(words), window, top
+        letters = np.array([gram]).view(np.uint32)
+        return float(self.likelihoods(letters, np.arange(len(letters)))[-1, c])
+
+    def learn(self, words: list[str]) -> None:
+        """Sets the evidence of ``words`` in ``word``: the mean over their letters and the end."""
+        lines = "".join(f"^{word}$" for word in words)
+        letters = np.frombuffer(lines.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        line = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        logs = np.log(self.likelihoods(letters, place))
+        sums = np.bincount(line, np.where(place > 0, logs[:, 0] - logs[:, 1], 0.0), len(words))
+        self.word.update(zip(words, (sums / (sizes - 1)).tolist()))
+
+    def features(self, texts: Iterable[str | None]) -> Iterator[tuple[float, float, float]]:
+        """Per text the mean evidence of its words, of its most toxic window and of its most toxic words; 0 without words."""
+        held, size = [], 0
+        for text in texts:
+            held.append(WORD.findall(text.lower()) if text else [])
+            size += len(text or "")
+            if size >= CHUNK:
+                yield from self._features(held)
+                held, size = [], 0
+        yield from self._features(held)
+
+    def _features(self, texts: list[list[str]]) -> Iterator[tuple[float, float, float]]:
+        if len(self.word) > CACHE_WORDS:
+            self.word.clear()
+        new = list({word for words in texts for word in words if word not in self.word})
+        if new:
+            self.learn(new)
+        for words in texts:
+            if not words:
+                yield 0.0, 0.0, 0.0
+                continue
+            values = np.fromiter(map(self.word.__getitem__, words), float, len(words))
+            sums = np.cumsum(np.concatenate([[0.0], values]))
+            width = min(WINDOW, len(words))
+            window = (sums[width:] - sums[:-width]).max() / width
+            top = np.partition(values, len(words) - min(TOP, len(words)))[-min(TOP, len(words)) :].mean()
+            yield sums[-1] / len(words), window, top
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,13 +262,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return mean, scale, w
 
 
-def features_of(rows: DataFrame, counts, with_text: bool = False) -> DataFrame:
+def features_of(rows: DataFrame, model, with_text: bool = False) -> DataFrame:
     """``doc, mean, window, top`` of ``rows`` (``doc, text``), and the text itself where asked for."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LetterModel(counts.value)
         for batch in batches:
-            found = np.array([model.features(t.as_py()) for t in batch.column(1)], float).reshape(-1, 3).T
+            found = np.array(list(model.value.features(t.as_py() for t in batch.column(1))), float).reshape(-1, 3).T
             columns = [*batch.columns[: 1 + with_text], *map(pa.array, found)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "mean", "window", "top"])
 
@@ -249,8 +290,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, with_text:
     spark = docs.sparkSession
     chosen = F.broadcast(labelled_sample(labels, sample))  # two classes of about ``sample`` rows
     known = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "curve")
-    counts = ngram_counts(word_counts(known.filter("NOT curve")), ORDER, LEAST_COUNT, MODEL_NGRAMS)
-    shared = spark.sparkContext.broadcast(counts)
+    counts = ngram_counts(word_counts(known.filter("NOT curve")), ORDER)
+    shared = spark.sparkContext.broadcast(LetterModel(counts))
     curve = known.filter("curve").select(F.struct("toxic").alias("doc"), "text")
     fit = features_of(curve, shared).select("doc.toxic", "mean", "window", "top").collect()  # a fold of the sample
     x = np.array([r[1:] for r in fit], float).reshape(-1, 3)

@@ -49,6 +49,29 @@ def test_held_out_labels_change_nothing(spark, make_docs):
     assert a == b
 
 
+def test_words_seen_twice_count(spark, make_docs):
+    """Every telling word, toxic or ordinary, is in two of the documents that give the counts."""
+    pick = random.Random(4)
+
+    def word():
+        return "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+
+    plain, ids = [word() for _ in range(60)], {f: [] for f in range(5)}
+    for i in range(4000):
+        ids[zlib.crc32(str(i).encode()) % 5].append(i)
+    rows, labels = [], []
+    for n in range(160):
+        telling = word()
+        for f in (1 + n % 3, 1 + (n + 1) % 3, 4, 0):
+            i = ids[f].pop()
+            rows.append((i, " ".join([*pick.choices(plain, k=6), telling])))
+            labels.append((i, n % 2))
+    got = tox.toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    bad = dict(labels)
+    held = [r.predicted == bad[r.doc_id] for r in got if r.held_out]
+    assert len(held) == 160 and sum(held) >= 150
+
+
 def test_filter_keeps_columns_and_rows(spark, make_docs):
     rows, labels = corpus()
     docs = make_docs([*rows, (None, None)])
