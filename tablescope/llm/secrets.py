@@ -29,9 +29,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones may be passed over
 
 # a DER sequence starts with byte 0x30, that is M in base64; an OpenSSH key with its name
-BASE64_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
+BASE64_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
 HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
+# the body has no run of five hyphens, so each text is read once, however many blocks never end
+BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+# what strings of JSON and of programs write for a line break and for a slash, escaped once or more
+ESCAPED_BREAK = re.compile(r"\\+(?:[nrt]|\r?\n)")
+ESCAPED_SLASH = re.compile(r"\\+/")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 SEQUENCE, INTEGER, BITS, OCTETS, NULL, OBJECT_ID = 0x30, 0x02, 0x03, 0x04, 0x05, 0x06
@@ -115,6 +119,16 @@ def is_private_key(data: bytes | None) -> bool:
     return bool(data) and (is_private_der(data) or is_private_openssh(data))
 
 
+def is_private_block(body: str) -> bool:
+    """Whether the lines between the marks of a PEM block are a private key, or a ciphertext whose header says so.
+
+    Line breaks may be escaped. Header lines have colons.
+    """
+    lines = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", body)).splitlines()
+    data = from_base64("".join("".join(line for line in lines if ":" not in line).split()))
+    return is_private_key(data) or bool(data) and any(":" in line and "ENCRYPTED" in line for line in lines)
+
+
 def json_object(text: str) -> dict | None:
     data = from_base64(text)
     try:
@@ -136,11 +150,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             if header and isinstance(header.get("alg"), str) and json_object(m[2]) is not None:
                 found.append((m.start(), m.end(), "signed_token"))
     if "-----BEGIN " in text:
-        for m in BLOCK.finditer(text):
-            body = "".join(line for line in m[2].split("\n") if ":" not in line)  # header lines have colons
-            data = from_base64("".join(body.split()))
-            if is_private_key(data) or data and "ENCRYPTED" in m[2]:
-                found.append((m.start(), m.end(), "key_block"))
+        found += [(m.start(), m.end(), "key_block") for m in BLOCK.finditer(text) if is_private_block(m[2])]
     found += [
         (m.start(), m.end(), "key_base64") for m in BASE64_CANDIDATE.finditer(text) if is_private_key(from_base64(m[0]))
     ]

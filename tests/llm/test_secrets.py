@@ -74,6 +74,48 @@ def test_structure_is_confirmed():
     assert kinds("M" + "A" * 60) == []
 
 
+def pem(label, lines, breaks="\n"):
+    return breaks.join([f"-----BEGIN {label}PRIVATE KEY-----", *lines, f"-----END {label}PRIVATE KEY-----"])
+
+
+def wrapped(data):
+    text = base64.b64encode(data).decode()
+    return [text[i : i + 64] for i in range(0, len(text), 64)]
+
+
+def test_block_with_header_lines():
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF", ""]
+    cipher = wrapped(bytes(7 * i % 251 for i in range(608)))
+    for breaks in ("\n", "\r\n", r"\n", r"\r\n"):
+        text = pem("RSA ", head + cipher, breaks)
+        spans = [s for s in secrets.spans_of(f"a {text} b") if s[2] == "key_block"]
+        assert spans == [(2, 2 + len(text), "key_block")], breaks
+        assert "key_block" in kinds(pem("RSA ", ["Comment: made-by-hand", "", *wrapped(RSA)], breaks))
+    assert kinds(pem("RSA ", cipher)) == [], "no header says what it is"
+    assert kinds(pem("RSA ", head)) == [], "nothing in it"
+
+
+def test_base64_key_after_an_equals_sign():
+    for name in ("rsa", "ec", "pkcs8", "ssh"):
+        text = f"PRIVATE_KEY={B64[name]}"
+        assert [s for s in secrets.spans_of(text) if s[2] == "key_base64"] == [(12, len(text), "key_base64")], name
+    assert kinds(f"PUBLIC_KEY={B64['public']}") == []
+
+
+def test_block_with_escaped_line_breaks():
+    account = json.dumps({"type": "service_account", "private_key": pem("", wrapped(PKCS8)) + "\n"})
+    for text in (account, json.dumps(account), account.replace("/", r"\/"), json.dumps({"key": pem("RSA ", wrapped(RSA), "\r\n")})):
+        assert "key_block" in kinds(text), text
+    assert kinds(pem("", ["bm90IGEga2V5"], r"\n")) == []
+
+
+def test_block_that_never_ends():
+    """Hides no key after it and makes no long search."""
+    key = pem("RSA ", wrapped(RSA))
+    spans = secrets.spans_of("-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + key)
+    assert [s[1] - s[0] for s in spans if s[2] == "key_block"] == [len(key)]
+
+
 def test_base_spans(make_docs, odd_rows):
     texts = [
         "password=token:abcdefghijklmnop", "TOKEN = 'abcdefghijkl' apikey:short api_key:\"0123456789abcdef0123\"",
