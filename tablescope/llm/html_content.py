@@ -30,11 +30,20 @@ WORTH = 400.0
 
 # Kinds of elements (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas".split())
+RAW = frozenset("script style textarea title template iframe select option button".split())
+#: Formulas, drawings and what stands in for embedded things; part of the text they are in.
+EMBEDDED = frozenset(
+    "noscript object canvas math semantics annotation mi mo mn ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom "
+    "menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mspace svg g defs "
+    "symbol use path rect circle ellipse line polyline polygon text tspan textpath desc metadata marker lineargradient "
+    "radialgradient stop clippath mask pattern filter image foreignobject switch view".split()
+)
+#: Of these, the ones whose text stands apart from what is before it.
+APART = frozenset("noscript object canvas annotation mtr mtd text tspan textpath desc foreignobject".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub "
     "sup time tt u var wbr".split()
-)
+) | EMBEDDED
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "tbody": ("thead", "tbody", "tr", "td", "th"),
@@ -118,6 +127,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if match[2] is None:
             continue
         tag = match[2].lower()
+        if tag in APART:
+            held.append(" ")
         if match[1]:
             for depth in range(len(path) - 1, 0, -1):
                 if path[depth][0] == tag:
@@ -126,6 +137,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in INLINE and path[depth][0] not in INLINE:
                     break
             continue
+        if tag in RAW and match[3].endswith("/>") and any(t in ("svg", "math") for t, _ in path):
+            continue  # empty there, as in XML
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             if end:

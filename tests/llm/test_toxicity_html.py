@@ -152,6 +152,22 @@ def test_parts_that_are_no_content(pages):
         assert model.main_text(html) == want, tag
 
 
+def test_formulas_drawings_and_fallbacks_stay(pages):
+    """Their text is part of the article's; scripts, styles and form controls are not."""
+    model = hc.train(pages)
+    body = (
+        "<p>Of a long paragraph, <math><mi>a</mi><mo>+</mo><mn>2</mn></math> is the sum, as we all know it.</p>"
+        "<p>A figure <svg><title>t</title><style/><path d='M0 0'/><g><text>low</text><text>high</text></g></svg> has two labels, of course.</p>"
+        "<p>A film <object data=x>of a <b>cat</b></object> and <canvas>a chart</canvas> are here, to be seen.</p>"
+        "<p>Pictures <noscript>without scripts</noscript> are shown, too.</p><p>No <script>x</script><button>Go</button> control, at all.</p>"
+    )
+    got = model.main_text(PAGE.format(title="The title of it", body=body)).split("\n")
+    assert got == [
+        "The title of it", "Of a long paragraph, a+2 is the sum, as we all know it.", "A figure low high has two labels, of course.",
+        "A film of a cat and a chart are here, to be seen.", "Pictures without scripts are shown, too.", "No control, at all.",
+    ]
+
+
 def test_marginals_are_exact(pages):
     """Messages against the sum over all labellings of a small tree."""
     import itertools
