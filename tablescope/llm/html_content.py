@@ -269,9 +269,21 @@ class TreeModel:
         return "\n".join(block for owner, block in blocks if marginals[owner] > 0.5)
 
 
+def labelled_pages(pages: DataFrame, html: str = "html") -> int:
+    """How many pages ``marked_labels`` can label; the others need not be parsed that have no article at all."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sum(marked_labels(parse(page.as_py())[0]) is not None for page in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
+
+    candidates = pages.select(F.col(html).alias("html")).filter(F.lower("html").contains("<article"))
+    return candidates.mapInArrow(counted, "found long").agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
+
+
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> TreeModel:
     """The model from at most about ``sample`` labelled pages; from prior counts alone if none are labelled."""
-    total = pages.count()
+    total = labelled_pages(pages, html)
     part = F.pmod(F.xxhash64(*[F.col(c) for c in ("url", "page_id") if c in pages.columns]), F.lit(1 << 20))
     chosen = pages.filter(part < math.ceil((1 << 20) * min(1.0, sample / max(1, total)))).select(html)
 

@@ -168,6 +168,12 @@ def test_formulas_drawings_and_fallbacks_stay(pages):
     ]
 
 
+def test_pages_without_labels_take_no_part_of_the_sample(spark, pages):
+    others = [(10_000 + i, f"http://o/{i}", f"<div>page {i}</div>", "x") for i in range(2000)]
+    alone, among = hc.train(pages, sample=60), hc.train(pages.unionByName(spark.createDataFrame(others, pages.schema)), sample=60)
+    assert hc.np.allclose(alone.weights, among.weights) and hc.np.allclose(alone.edges, among.edges)
+
+
 def test_marginals_are_exact(pages):
     """Messages against the sum over all labellings of a small tree."""
     import itertools
