@@ -14,7 +14,7 @@ from tablescope.sources.shared import cut_lineage
 
 CHUNK = "_chunk"
 
-AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
+AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
 
 
 def time_chunk(column: str | Column, seconds: int = 3600) -> Column:
@@ -48,7 +48,7 @@ def running(
 ) -> DataFrame:
     """Running aggregates per key in ``order``; ``specs`` maps output name to (kind, expression).
 
-    Kinds are sum, max, min and ``last``, the newest non-null expression (wrap it in a struct to carry a
+    Kinds are sum, max, min, xor and ``last``, the newest non-null expression (wrap it in a struct to carry a
     null inside). ``inclusive`` says whether the current row counts; ``backward`` runs from the last row
     to the first.
 
