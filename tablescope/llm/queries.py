@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, embed_dedup, html_content, mixing, ngram_join, pii, quality, secrets, toxicity, unigram
+from tablescope.llm import bpe, embed_dedup, html_content, mixing, ngram_join, pii, prefix_trie, quality, secrets, toxicity, unigram
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -82,3 +82,35 @@ def _counts(t: Tables) -> DataFrame:
 @query("op6_embedding_near_dedup")
 def _embeddings(t: Tables) -> DataFrame:
     return embed_dedup.near_duplicates(t.embeddings)
+
+
+#: Turns in order, conversations rebuilt with the first turns of their family's, every prefix with its members. CRC-32 is computed
+#: bit by bit, as DuckDB has no such function.
+TRIE_SQL = """WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i)
+    UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+  crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+  ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+  heads AS (SELECT conv_id, conv_id - conv_id % 5 AS lead, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc_table),
+  turns AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+      md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS ts
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  built AS (SELECT h.conv_id, list_concat(coalesce(l.ts, [])[:h], o.ts[h + 1:]) AS path
+    FROM heads h JOIN turns o ON o.conv_id = h.conv_id LEFT JOIN turns l ON l.conv_id = h.lead),
+  steps AS (SELECT conv_id, len(path) AS n, d, path[:d] AS p FROM built, unnest(range(len(path) + 1)) u(d)),
+  nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM steps GROUP BY 1, 2),
+  kids AS (SELECT p[:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+  worth AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(p[d].t) ELSE 0 END AS saved
+    FROM nodes LEFT JOIN kids USING (p)),
+  below AS (SELECT p[:a] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM worth, unnest(range(d + 1)) u(a) GROUP BY 1)
+  SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+  FROM worth w JOIN below USING (p) LEFT JOIN nodes up ON w.d > 0 AND up.p = w.p[:w.d - 1]"""
+
+
+@query("op11_conversation_prefix_trie", TRIE_SQL)
+def _trie(t: Tables) -> DataFrame:
+    return prefix_trie.prefix_trie(t.conversations)
