@@ -23,7 +23,8 @@ def with_rocksdb(spark: SparkSession) -> None:
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+    """The files at ``path``, whatever their age: by default a file a week older than one read before is passed over."""
+    reader = spark.readStream.schema(schema).option("maxFileAge", "36500d")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
