@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, embed_dedup, html_content, mixing, ngram_join, pii, prefix_trie, quality, secrets, toxicity, unigram
+from tablescope.llm import bpe, embed_dedup, filter_audit, html_content, mixing, ngram_join, pii, prefix_trie, quality, secrets, toxicity, unigram
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -114,3 +114,33 @@ TRIE_SQL = """WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r
 @query("op11_conversation_prefix_trie", TRIE_SQL)
 def _trie(t: Tables) -> DataFrame:
     return prefix_trie.prefix_trie(t.conversations)
+
+
+#: Masks of failures by window functions, every order by recursion, every step by its prefix of the order.
+AUDIT_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS ws,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),
+  flags AS (SELECT doc_id, part, {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': e} AS f FROM w),
+  marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+  masks AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM flags LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+  letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+  orders AS (SELECT '' AS o UNION ALL SELECT o || c FROM orders, letters WHERE NOT contains(o, c)),
+  steps AS (SELECT o, s, o[s] AS c, o[:s - 1] AS before FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+  bits AS (SELECT part, n, good, toxic, list_filter([CASE WHEN f.A THEN 'A' END, CASE WHEN f.B THEN 'B' END,
+    CASE WHEN f.C THEN 'C' END, CASE WHEN f.D THEN 'D' END, CASE WHEN f.E THEN 'E' END], lambda x: x IS NOT NULL) AS failed FROM masks),
+  judged AS (SELECT part, o, s, c, n, good, toxic, list_contains(failed, c) AS fails, len(failed) AS k,
+    len(list_intersect(failed, string_split(before, ''))) > 0 AS gone FROM bits, steps),
+  rows_of AS (SELECT part, o AS filter_order, s::INTEGER AS step, c,
+    sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND k = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM judged GROUP BY 1, 2, 3, 4)
+  SELECT * EXCLUDE (c), (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM rows_of"""
+
+
+@query("op12_filter_interaction_audit", AUDIT_SQL)
+def _audit(t: Tables) -> DataFrame:
+    return filter_audit.audit(t.spark, t.path("documents"), t.labels)
