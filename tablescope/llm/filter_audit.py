@@ -200,7 +200,8 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
     )
     of_doc = cut_lineage(of_doc.filter("good OR toxic"), "audit-labels")  # read again by every micro-batch
     files = max(1, math.ceil(len(table.inputFiles()) / batches))
-    stream = read_stream(spark, path, table.schema, files_per_batch=files)
+    # a pattern that only ``path`` matches: streams take a single file by a pattern only
+    stream = read_stream(spark, f"{path[:-1]}[{path[-1]}]", table.schema, files_per_batch=files)
     rows = judged(stream.select("doc_id", "source", "text")).join(of_doc, "doc_id", "left").fillna(False, ["good", "toxic"])
     changes = combined(rows).groupBy("x", "y").transformWithState(
         statefulProcessor=LeastId(REPEATED), outputStructType=CHANGE, outputMode="Update", timeMode="None"
