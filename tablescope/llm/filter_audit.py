@@ -42,6 +42,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 #: The table is worked off in about this many micro-batches.
 BATCHES = 4
+#: Texts whose digests share one state, about.
+TEXTS = 256
 #: Rows, without their texts, that a task combines at once.
 COMBINED = 200_000
 #: Texts read from a batch at once, and the size from which words are not listed.
@@ -144,47 +146,66 @@ def combined(rows: DataFrame) -> DataFrame:
 
 
 class LeastId(StatefulProcessor):
-    """Per text the least id and its documents by part; emits changes to the counters of parts and masks."""
+    """Per text the least id and its documents by part; emits changes to the counters of parts and masks.
+
+    The texts of a bucket of digests share one state, a handful that is read and written at once.
+    """
+
+    FIELDS = ("x", "y", "doc_id", "part", "mask", "good", "toxic", "n")
 
     def __init__(self, repeated: int):
         self.repeated = repeated
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.least = handle.getValueState(
-            "least", "doc_id long, mask int, good boolean, toxic boolean, parts array<string>, counts array<long>"
-        )
+        kinds = ("long", "long", "long", "string", "int", "boolean", "boolean", "long")
+        self.least = handle.getValueState("least", ", ".join(f"{f} array<{k}>" for f, k in zip(self.FIELDS, kinds)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        news = []
+        news: dict[tuple, list[Row]] = {}
         for r in rows:
             if r.settled:
-                yield Row(part=r.part, mask=r.mask, good=r.good, toxic=r.toxic, n=r.n)
+                yield self.change(r, r.n)
             else:
-                news.append(r)
+                news.setdefault((r.x, r.y), []).append(r)
         if not news:
             return
-        low = min(r.doc_id for r in news)
-        held = self.least.get()  # none yet for a new text
-        parts: dict[str, int] = {}
-        if held is not None:
-            doc_id, mask, good, toxic, *before = held
-            if doc_id <= low:
-                low = doc_id
-                parts = dict(zip(*before))
-            else:
-                for p, n in zip(*before):
-                    yield Row(part=p, mask=mask, good=good, toxic=toxic, n=-n)
-                    yield Row(part=p, mask=mask | self.repeated, good=good, toxic=toxic, n=n)
-        newest = None
-        for r in news:
-            if r.doc_id == low:
-                parts[r.part] = parts.get(r.part, 0) + r.n
-                newest = r
-                yield Row(part=r.part, mask=r.mask, good=r.good, toxic=r.toxic, n=r.n)
-            else:
-                yield Row(part=r.part, mask=r.mask | self.repeated, good=r.good, toxic=r.toxic, n=r.n)
-        if newest is not None:
-            self.least.update((low, newest.mask, newest.good, newest.toxic, list(parts), list(parts.values())))
+        stored = self.least.get()  # none yet for a new bucket
+        held: dict[tuple, list[Row]] = {}
+        for values in zip(*stored) if stored is not None else ():
+            kept = Row(*self.FIELDS)(*values)
+            held.setdefault((kept.x, kept.y), []).append(kept)
+        changed = False
+        for text, found in news.items():
+            before = held.get(text, [])
+            low = min(r.doc_id for r in found)
+            if before and before[0].doc_id > low:
+                for r in before:
+                    yield self.change(r, -r.n)
+                    yield self.change(r, r.n, self.repeated)
+                before = []
+            elif before:
+                low = before[0].doc_id
+            least = [r for r in found if r.doc_id == low]
+            for r in found:
+                yield self.change(r, r.n, 0 if r.doc_id == low else self.repeated)
+            if least:
+                changed = True
+                held[text] = self.by_part([*before, *least])
+        if changed:
+            self.least.update(tuple([r[f] for of_text in held.values() for r in of_text] for f in self.FIELDS))
+
+    @staticmethod
+    def change(r: Row, n: int, more: int = 0) -> Row:
+        return Row(part=r.part, mask=r.mask | more, good=r.good, toxic=r.toxic, n=n)
+
+    @classmethod
+    def by_part(cls, rows: list[Row]) -> list[Row]:
+        """Rows of one text and id, one per part."""
+        counts: dict[str, int] = {}
+        for r in rows:
+            counts[r.part] = counts.get(r.part, 0) + r.n
+        r = rows[0]
+        return [Row(*cls.FIELDS)(r.x, r.y, r.doc_id, part, r.mask, r.good, r.toxic, n) for part, n in counts.items()]
 
     def close(self) -> None:
         pass
@@ -194,6 +215,7 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
     """``part, mask, n, good, toxic`` of the table at ``path``, streamed in about ``batches`` micro-batches."""
     with_rocksdb(spark)
     table = spark.read.parquet(path)
+    buckets = max(1, table.count() // TEXTS)  # the files' own row counts
     of_doc = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.bool_or(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
         F.bool_or(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"),
@@ -203,7 +225,8 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
     # a pattern that only ``path`` matches: streams take a single file by a pattern only
     stream = read_stream(spark, f"{path[:-1]}[{path[-1]}]", table.schema, files_per_batch=files)
     rows = judged(stream.select("doc_id", "source", "text")).join(of_doc, "doc_id", "left").fillna(False, ["good", "toxic"])
-    changes = combined(rows).groupBy("x", "y").transformWithState(
+    keyed = combined(rows).withColumn("bucket", F.pmod("x", F.lit(buckets)))
+    changes = keyed.groupBy("bucket").transformWithState(
         statefulProcessor=LeastId(REPEATED), outputStructType=CHANGE, outputMode="Update", timeMode="None"
     )
     target = scratch_path(spark, "audit")
