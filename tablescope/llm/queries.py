@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, embed_dedup, filter_audit, html_content, mixing, ngram_join, pii, prefix_trie, quality, secrets, toxicity, unigram
+from tablescope.llm import (
+    bpe, embed_dedup, filter_audit, html_content, language_id, mixing, ngram_join, pii, prefix_trie, quality, secrets, toxicity,
+    unigram,
+)
 from tablescope.llm.common import span_columns
 from tablescope.plans.registry import Tables
 
@@ -144,3 +147,8 @@ AUDIT_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part
 @query("op12_filter_interaction_audit", AUDIT_SQL)
 def _audit(t: Tables) -> DataFrame:
     return filter_audit.audit(t.spark, t.path("documents"), t.labels)
+
+
+@query("op13_language_id")
+def _language(t: Tables) -> DataFrame:
+    return language_id.identify(t.documents)
