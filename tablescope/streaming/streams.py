@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablescope.functions.dates import bucket_label
-from tablescope.sources.shared import scratch_path
+from tablescope.operators.usage import TOKEN_CLASSES, with_cost
+from tablescope.sources.shared import remove, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR = 3600
@@ -20,6 +21,8 @@ HOUR = 3600
 
 def with_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # files set aside beforehand take 4 MB per partition of state, however little it holds
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -69,7 +72,11 @@ def upsert_batches(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 class _Throttle(StatefulProcessor):
-    """Per key the time of the last event kept; forgotten once it can no longer matter."""
+    """Events wait, by key, until the watermark has passed them; then they are decided in the order of their times.
+
+    So the result does not depend on how events are dealt into batches. State is what waits, no longer than the
+    watermark's delay, and the time of the last event kept, which is forgotten once it can no longer matter.
+    """
 
     def __init__(self, window_us: int):
         self.window_us = window_us
@@ -77,27 +84,37 @@ class _Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self.last.get()[0] if self.last.exists() else None
-        last = stored
-        # events of one micro-batch, in time order
-        for at, event_id in sorted((r["at"], r["event_id"]) for r in rows):
+        news = [(r["at"], r["event_id"]) for r in rows]
+        self.waiting.appendList(news)
+        self._wake(min(at for at, _ in news))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(w) for w in self.waiting.get())
+        due = [w for w in waiting if w[0] <= passed]
+        held = self.last.get()
+        last = before = held[0] if held is not None else None
+        for at, event_id in due:
             if last is None or at - last > self.window_us:
                 last = at
                 yield Row(event_id=event_id)
-        if last != stored:
-            if stored is not None:
-                self.handle.deleteTimer(self._expiry(stored))
+        rest = waiting[len(due) :]
+        if rest:
+            self._wake(rest[0][0])
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if last is not None and last + self.window_us < passed:
+            self.last.clear()
+        elif last != before:
             self.last.update((last,))
-            self.handle.registerTimer(self._expiry(last))
+            self._wake(last + self.window_us + 1)
 
-    def _expiry(self, last: int) -> int:
-        return (last + self.window_us) // 1000 + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
-        return iter(())
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
 
     def close(self) -> None:
         pass
@@ -108,8 +125,10 @@ def throttled(
 ) -> DataFrame:
     """Ids of events kept: one is dropped if a kept event of its key is at most the window older.
 
-    State is one number per key and ends with the window. Expiry must follow the kept event and not the
-    watermark alone, so dropping duplicates within the watermark is no substitute.
+    Events may come in any order within ``delay``, and are decided when the watermark, the newest time seen less ``delay``,
+    has passed them: the result is that of the batch operator over all events up to there. Later ones still wait.
+    Expiry must follow the kept event and not the watermark alone, so dropping duplicates within the watermark is no
+    substitute.
     """
     with_rocksdb(events.sparkSession)
     rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
@@ -123,18 +142,33 @@ def throttled(
     )
 
 
-def bucketed_usage(messages: DataFrame, ts: str, sums: list[str], bucket: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Messages, a sketch of the users, and summed measures per tumbling bucket (update mode).
+def bucketed_usage(
+    messages: DataFrame, ts: str, sums: list[str], bucket: str = "1 hour", delay: str = "1 hour", prices: DataFrame | None = None
+) -> DataFrame:
+    """User messages, a sketch of the users and summed measures per tumbling bucket (update mode).
 
-    Exact distinct counts cannot be kept in streaming state; message ids are unique, so messages count rows.
+    With ``prices`` (one row per provider and model) each message gets its cost, by a join of the stream with that table, and the
+    costs are summed too. Exact distinct counts cannot be kept in streaming state: ``users`` is a sketch that merges, see
+    ``merged_usage``. Message ids are unique, so messages count rows.
     """
     rows = messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    if prices is not None:
+        rows = with_cost(rows, prices)
+        sums = [*sums, *(f"{c}_cost" for c in TOKEN_CLASSES), "total_cost"]
     out = rows.groupBy(F.window(ts, bucket).alias("w")).agg(
         F.count_if(F.col("role") == "user").alias("message_count"),
-        F.approx_count_distinct("user_id").alias("approx_users"),
-        *[F.sum(c).alias(c) for c in sums],
+        F.hll_sketch_agg("user_id").alias("users"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+    )
+    return out.select(F.col("w.start").alias("start"), *out.columns[1:])
+
+
+def merged_usage(usage: DataFrame, granularity: str) -> DataFrame:
+    """Buckets of ``bucketed_usage`` put together to coarser ones: sums add, sketches merge; ``users`` becomes their number."""
+    sums = [c for c in usage.columns if c not in ("start", "users")]
+    return usage.groupBy(bucket_label(F.col("start"), granularity).alias("date")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), *[F.sum(c).alias(c) for c in sums]
     )
-    return out.select(bucket_label(F.col("w.start"), "hour").alias("date"), *out.columns[1:])
 
 
 def view_sessions(
@@ -229,3 +263,45 @@ def refreshed(spark: SparkSession, target: str, name: str) -> DataFrame:
     return rows.filter(F.col("version") == newest).drop("version")
 
 
+#: How a measure is computed from rows, and how stored values of it merge.
+PARTIALS = {
+    "count": (F.count, F.sum),
+    "sum": (F.sum, F.sum),
+    "min": (F.min, F.min),
+    "max": (F.max, F.max),
+    "distinct": (F.hll_sketch_agg, F.hll_union_agg),
+}
+
+
+def refresh_aggregate(
+    stream: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], target: str
+) -> None:
+    """Scheduled refresh of an aggregate from new files only: their partial aggregate is merged into the newest version.
+
+    ``measures`` maps a name to a kind of ``PARTIALS`` and what it is taken of. A version is the merged state, one row per group;
+    it follows from the one before and its batch, so a batch that is run again writes the same. The last two versions
+    are kept, older ones removed.
+    """
+    spark = stream.sparkSession
+
+    def version(n: int) -> str:
+        return f"{target}/state/version={n}"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        state = batch.groupBy(*keys).agg(*[PARTIALS[kind][0](c).alias(name) for name, (kind, c) in measures.items()])
+        if batch_id:
+            before = spark.read.parquet(version(batch_id - 1))
+            merged = state.unionByName(before).groupBy(*keys)
+            state = merged.agg(*[PARTIALS[kind][1](name).alias(name) for name, (kind, _) in measures.items()])
+        state.write.mode("overwrite").parquet(version(batch_id))
+        if batch_id > 1:
+            remove(spark, version(batch_id - 2))
+
+    run_available(stream, sink, "append", target)
+
+
+def refreshed_aggregate(spark: SparkSession, target: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The newest version, with sketches as numbers."""
+    state = refreshed(spark, target, "state")
+    sketches = [name for name, (kind, _) in measures.items() if kind == "distinct"]
+    return state.withColumns({name: F.coalesce(F.hll_sketch_estimate(name), F.lit(0)) for name in sketches})

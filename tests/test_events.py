@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablescope.operators import events as evt
 from tablescope.operators import usage as us
@@ -92,16 +93,74 @@ def test_asof_keeps_a_null_source(spark):
     assert provider == {1: "p", 2: "p", 3: "q", 4: "q", 5: None, 6: "r", 7: None, 8: "r"}
 
 
-def test_streamed_throttle_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_streamed_throttle_takes_events_in_any_order(spark, tmp_path, files):
+    """Rows dealt at random over files, one file per batch: the result is the batch operator's, up to the watermark."""
     rnd = random.Random(9)
-    rows = sorted(("hot" if i % 3 == 0 else f"k{rnd.randint(0, 5)}", s, i) for i, s in enumerate(sorted(rnd.sample(range(9000), 400))))
+    rows = [("hot" if i % 3 == 0 else f"k{rnd.randint(0, 5)}", s, i) for i, s in enumerate(rnd.sample(range(9000), 400))]
+    # a last event long after the others lets the watermark pass them; it waits itself
+    end, path = ("end", 40_000, 1000), str(tmp_path / "in")
+    for n in range(files):
+        part = [r for r in rows if r[2] % files == n]
+        frame(spark, [*part, *([end] if n == files - 1 else [])]).coalesce(1).write.mode("append").parquet(path)
+    stream = st.read_stream(spark, path, "k string, ts timestamp, id long", files_per_batch=1)
+    kept = [r["event_id"] for r in st.append_to_parquet(st.throttled(stream, ["k"], "ts", "id", delay="3 hours"), "t").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == brute_throttle(rows, 120)
+    assert set(kept) == {r["id"] for r in evt.throttle(frame(spark, rows), ["k"], "ts", "id").collect()}
+
+
+def test_streamed_throttle_drops_what_comes_behind_the_watermark(spark, tmp_path):
     path = str(tmp_path / "in")
-    for low in range(0, 9000, 3000):
-        part = [r for r in rows if low <= r[1] < low + 3000]
+    for part in ([("a", 0, 1), ("a", 500, 2)], [("b", 9000, 3)], [("a", 400, 4), ("b", 9100, 5), ("b", 8950, 6)], [("c", 20_000, 7), ("a", 450, 8)]):
         frame(spark, part).coalesce(1).write.mode("append").parquet(path)
     stream = st.read_stream(spark, path, "k string, ts timestamp, id long", files_per_batch=1)
-    kept = st.append_to_parquet(st.throttled(stream, ["k"], "ts", "id", delay="0 seconds"), "t")
-    assert {r["event_id"] for r in kept.collect()} == brute_throttle(rows, 120)
+    kept = st.append_to_parquet(st.throttled(stream, ["k"], "ts", "id", delay="10 minutes"), "t")
+    # 8 comes a batch after the watermark has passed it; 4 and 6 do not, and decide on 2 and 3, which are newer
+    assert {r["event_id"] for r in kept.collect()} == {1, 4, 6, 5}
+
+
+def test_refresh_reads_new_files_only(spark, tmp_path):
+    path, target = tmp_path / "in", str(tmp_path / "out")
+    measures = {"n": ("count", F.lit(1)), "total": ("sum", F.col("id")), "low": ("min", F.col("ts")), "ids": ("distinct", F.col("id"))}
+    rows = [("a", 1, 1), ("b", 2, 2), ("a", 3, 3), ("a", 3, 3), ("c", 4, 9)]
+    for n in range(4):
+        frame(spark, rows[n : n + 2]).coalesce(1).write.mode("append").parquet(str(path))
+        stream = st.read_stream(spark, str(path), "k string, ts timestamp, id long")
+        st.refresh_aggregate(stream, ["k"], measures, target)
+        # files read once are not looked at again
+        for file in path.glob("part-*"):
+            file.write_bytes(b"no longer a file of rows")
+    got = {r["k"]: (r["n"], r["total"], r["ids"]) for r in st.refreshed_aggregate(spark, target, measures).collect()}
+    all_rows = [r for n in range(4) for r in rows[n : n + 2]]
+    want = {k: ([i for x, _, i in all_rows if x == k]) for k in "abc"}
+    assert got == {k: (len(v), sum(v), len(set(v))) for k, v in want.items()}
+    assert len(list((tmp_path / "out" / "state").glob("version=*"))) == 2
+
+
+def test_streamed_usage_merges(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, rnd.randint(0, 30), rnd.choice(["user", "assistant"]), T0 + dt.timedelta(minutes=rnd.randint(0, 4000)), rnd.choice(["p", "q", None]),
+             "m", rnd.randint(0, 99)) for i in range(600)]
+    schema = ("message_id long, user_id long, role string, created_at timestamp, provider string, model_id string, input_no_cache_tokens long, "
+              "input_cache_read_tokens long, input_cache_write_tokens long, output_tokens long")
+    rows.sort(key=lambda r: r[3])
+    full = [(*r, 0, None, 2 * r[-1]) for r in rows]
+    for n in range(3):
+        spark.createDataFrame(full[200 * n : 200 * n + 200], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    prices = spark.createDataFrame([("p", "m", 1.0, 0.0, 0.0, 5.0)], "provider string, model_id string, input_no_cache double, "
+                                   "input_cache_read double, input_cache_write double, output double")
+    stream = st.read_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    hours = st.upsert_batches(st.bucketed_usage(stream, "created_at", ["output_tokens"], prices=prices), ["start"], "u")
+    for unit, label in (("hour", "%Y-%m-%d %H:00"), ("day", "%Y-%m-%d")):
+        want = {}
+        for r in full:
+            b = want.setdefault(r[3].strftime(label), [set(), 0, 0, 0.0])
+            b[0].add(r[1])
+            b[1] += r[2] == "user"
+            b[2] += r[9]
+            b[3] += (r[6] + 5.0 * r[9]) / 1e6 if r[4] == "p" else 0.0
+        got = {r["date"]: (r["users"], r["message_count"], r["output_tokens"], round(r["total_cost"], 9)) for r in st.merged_usage(hours, unit).collect()}
+        assert got == {d: (len(b[0]), b[1], b[2], round(b[3], 9)) for d, b in want.items()}
 
 
 def test_metadata(spark):
