@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,20 +98,6 @@ def detect_delimiter(record: str) -> str:
     return max(DELIMITERS, key=lambda d: (outside.count(d), -DELIMITERS.index(d)))
 
 
-def first_record(spark: SparkSession, path: str) -> str:
-    """The first record, which may run over any number of lines inside quotes."""
-    lines = 50
-    while True:
-        record, rows = "", spark.read.text(path).limit(lines).collect()
-        for row in rows:
-            record = f"{record}\n{row.value}" if record else row.value
-            if record.count('"') % 2 == 0:
-                return record
-        if len(rows) < lines:
-            return record
-        lines *= 10
-
-
 def column_letters(width: int) -> list[str]:
     """Spreadsheet letters: A..Z, AA, AB ..."""
     names = []
@@ -134,65 +125,146 @@ def header_names(cells: list[str | None], width: int) -> list[str] | None:
     return names
 
 
-def record_width(reader, path: str, delimiter: str) -> int:
-    """Cells of the widest record, from one aggregate.
+def quoted_records(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
+    """``file, number, record``: the records of delimited files, numbered from 0 in each; blank ones are left out.
 
-    Read as a single column, a record of more cells comes back whole as a malformed one; its cells are the delimiters
-    outside quotes and one.
+    A line break belongs to its record where the quotes before it in the file are odd in number. Every split of the
+    scan is counted on its own; sums over the splits of a file then tell whether a split starts inside quotes and how many
+    records start before it, so that a second scan cuts records in all splits at once. Records that run over the border of
+    a split are put together from their pieces. Without ``quoted`` every line is a record. Line breaks inside quotes
+    are read as ``\\n``.
     """
-    records = reader.schema("_first string, _whole string").option("columnNameOfCorruptRecord", "_whole").csv(path)
-    bare = F.regexp_replace("_whole", '"[^"]*"', "")
-    cells = F.when(F.col("_whole").isNull(), 1).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1)
-    return records.agg(F.max(cells), F.count("_first")).first()[0] or 0
-
-
-def first_lines(spark: SparkSession, path: str) -> dict[str, str]:
-    """The first line of each file: one short row per file, as many as the listing of the folder has."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("place"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Stretches of lines of one split in their order, with the quotes in each line and whether it is blank."""
+        for batch in batches:
+            files, places = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            borders = [i for i in range(1, len(files)) if (files[i], places[i]) != (files[i - 1], places[i - 1])]
+            for begin, end in zip([0, *borders], [*borders, len(files)]):
+                if end > begin:
+                    part = batch.slice(begin, end - begin)
+                    quotes = pc.count_substring(part.column(0), '"').to_numpy(zero_copy_only=False) if quoted else np.zeros(end - begin, int)
+                    blank = pc.equal(pc.ascii_trim_whitespace(part.column(0)), "").to_numpy(zero_copy_only=False)
+                    yield (files[begin], places[begin]), part, quotes, blank
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, totals = None, [0, 0, 0]
+        for key, _, quotes, blank in runs(batches):
+            if key != split:
+                if split:
+                    yield as_row(split, totals)
+                split, totals = key, [0, 0, 0]
+            before = (totals[0] + np.cumsum(quotes) - quotes) % 2
+            totals = [totals[0] + int(quotes.sum()), *(totals[1 + k] + int(((before == k) & ~blank).sum()) for k in (0, 1))]
+        if split:
+            yield as_row(split, totals)
+
+    def as_row(split: tuple, totals: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(("file", "at", "quotes", "even", "odd"), (*split, *totals)))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, odd, number, held = None, 0, 0, []
+        for key, part, quotes, blank in runs(batches):
+            if key != split:
+                if held:
+                    yield as_records(split, [number - 1], ["\n".join(held)], [False])
+                split, held = key, []
+                odd, number = part.column(3)[0].as_py(), part.column(4)[0].as_py()
+                # lines up to the end of these quotes belong to a record of an earlier split
+                piece = bool(odd)
+            after = (odd + np.cumsum(quotes)) % 2
+            before = np.concatenate([[odd], after[:-1]])
+            alone = (before == 0) & (after == 0) & ~blank
+            starts = number + np.cumsum((before == 0) & ~blank)
+            values = part.column(0)
+            single = as_records(key, starts[alone] - 1, values.filter(pa.array(alone)), np.ones(int(alone.sum()), bool))
+            done = []
+            # the lines of records that hold line breaks
+            for i in np.flatnonzero((before == 1) | (after == 1)).tolist():
+                held.append(values[i].as_py())
+                if after[i] == 0:
+                    done.append((int(starts[i]) - 1, "\n".join(held), not piece))
+                    held, piece = [], False
+            if done:
+                both = pa.Table.from_batches([single, as_records(key, *zip(*done))])
+                yield from both.sort_by("number").combine_chunks().to_batches()
+            else:
+                yield single
+            odd, number = int(after[-1]), int(starts[-1])
+        if held:
+            yield as_records(split, [number - 1], ["\n".join(held)], [False])
+
+    def as_records(split: tuple, numbers, records, whole) -> pa.RecordBatch:
+        count = len(numbers)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([split[0]] * count, pa.string()), pa.array([split[1]] * count, pa.int64()), pa.array(numbers, pa.int64()),
+             pa.array(records, pa.string()), pa.array(whole, pa.bool_())],
+            ["file", "at", "number", "record", "whole"],
+        )
+
+    counted = lines.mapInArrow(count, "file string, at long, quotes long, even long, odd long")
+    counted = cut_lineage(counted, "record-borders")
+    earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
+    borders = counted.withColumn("inside", inside)
+    starts = F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odd"))
+    borders = borders.withColumn("starts", starts).select(
+        "file", "at", "inside", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("number"),
+        ((F.col("inside") == 1) | ((F.col("inside") + F.col("quotes")) % 2 == 1)).alias("open"),
     )
-    # ids rise along a split, and the line is in the split that starts the file
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("value"))
-    return {r["file"]: r["value"].removeprefix("\ufeff") for r in first.collect()}
+    shape = "file string, at long, number long, record string, whole boolean"
+
+    def records_of(some: DataFrame) -> DataFrame:
+        # one row per split of the scan, as the driver lists them anyway; a broadcast keeps the lines in their order
+        known = lines.join(F.broadcast(some), ["file", "at"]).select("value", "file", "at", "inside", "number")
+        return known.mapInArrow(cut, shape)
+
+    whole = records_of(borders.drop("open")).filter("whole").select("file", "number", "record")
+    # the other splits hold whole records only
+    pieces = records_of(borders.filter("open").drop("open")).filter("NOT whole")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "record"))), lambda p: p["record"])
+    joined = pieces.groupBy("file", "number").agg(F.array_join(texts, "\n").alias("record"))
+    return whole.unionByName(joined)
+
+
+def cells_in(record: Column, delimiter: str) -> Column:
+    """The cells of a record: its delimiters outside quotes, and one."""
+    bare = F.regexp_replace(record, r'"[^"]*("|\z)', "")  # the last quotes may be open
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, max_rows: int | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, delimiter: str | None = None, max_rows: int | None = None, multi_line: bool = True
 ) -> DataFrame:
     """A csv-family file, or a folder of them, as text columns: delimiter found, byte-order mark dropped.
 
-    The table is as wide as its widest record; shorter ones end in nulls. The first record of the first file names the
-    columns if it has that width and no blank cell, else letters do. Such a header is dropped from each file that starts
-    with the same line, and from no other. ``multi_line`` allows line breaks inside quotes but makes each file one
-    task, so it is off unless asked for.
+    Quoted cells may hold delimiters, doubled quotes and line breaks; one large file is still read by many tasks.
+    ``multi_line=False`` takes every line for a record. The table is as wide as its widest record; shorter ones end in
+    nulls. The first record of the first file names the columns if it has that width and no blank cell, else letters
+    do. Such a header is dropped from each file that starts with the same record, and from no other.
+    ``max_rows`` keeps the first ones. No records give no columns.
     """
-    delimiter = delimiter or detect_delimiter(first_record(spark, path))
-
-    def reader():
-        return spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-
-    width = record_width(reader(), path, delimiter)
-    if not width:
+    records = quoted_records(spark, path, multi_line)
+    records = records.withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
+    top = records.filter("number = 0").agg(F.min_by("record", "file")).first()[0]
+    if top is None:
         return spark.createDataFrame([], T.StructType([]))
+    delimiter = delimiter or detect_delimiter(top)
+    width = records.agg(F.max(cells_in(F.col("record"), delimiter))).first()[0]
+    letters = column_letters(width)
+    options = {"sep": delimiter, "quote": '"', "escape": '"'}
 
-    def typed(names: list[str]) -> T.StructType:
-        return T.StructType([T.StructField(n, T.StringType()) for n in names])
+    def parsed(rows: DataFrame) -> DataFrame:
+        shape = ", ".join(f"`{c}` string" for c in letters)
+        return rows.select(F.from_csv("record", shape, options).alias("_cells")).select("_cells.*")
 
-    letters = column_letters(width)
-    starts = first_lines(spark, path)
-    first_file = min(starts)
-    top = reader().schema(typed(letters)).csv(first_file).first()
-    cells = [c.removeprefix("\ufeff") if isinstance(c, str) else c for c in top] if top else []
+    cells = list(parsed(spark.createDataFrame([(top,)], "record string")).first())
     names = header_names(cells, width)
-    headed = [f for f, line in starts.items() if names and line == starts[first_file]]
-    plain = [f for f in starts if f not in set(headed)]
-    parts = []
-    if headed:
-        # the header option drops the first line of each file inside the scan
-        parts.append(reader().option("header", True).option("enforceSchema", True).schema(typed(letters)).csv(headed))
-    if plain:
-        parts.append(reader().schema(typed(letters)).csv(plain))
-    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    df = df.withColumn("A", F.regexp_replace("A", "^\ufeff", "")).toDF(*(names or letters))
-    return df.limit(max_rows) if max_rows is not None else df
+    if names:
+        records = records.filter((F.col("number") > 0) | (F.col("record") != top))
+    if max_rows is not None:
+        records = records.orderBy("file", "number").limit(max_rows)
+    return parsed(records).toDF(*(names or letters))

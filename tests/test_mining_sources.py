@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,49 @@ def test_delimited_loses_nothing(spark, tmp_path):
     long.mkdir()
     (long / "a.csv").write_text('name;note\nx;"' + "line, of, it\n" * 80 + '"\n')
     assert files.read_delimited(spark, str(long), multi_line=True).columns == ["name", "note"]
+
+
+@pytest.mark.parametrize("split", ["900b", "5k", "1g"])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, split):
+    """Records cut by the borders of many splits, some over several of them; blank lines; quotes left open at the end."""
+    pick = random.Random(6)
+
+    def cell():
+        kind = pick.randrange(5)
+        plain = "".join(pick.choices("abc ", k=pick.randrange(1, 20)))
+        if kind == 0:
+            return plain, plain
+        inner = "".join(pick.choices(["x", ",", "\n", '"', "yy", "\n\n", "é"], k=pick.randrange(1, 2500 if pick.random() < 0.02 else 12)))
+        return inner, '"' + inner.replace('"', '""') + '"'
+
+    rows, text = [], "id,a,b\n"
+    for i in range(1500):
+        (a, raw_a), (b, raw_b) = cell(), cell()
+        rows.append((str(i), a, b))
+        text += f"{i},{raw_a},{raw_b}" + pick.choice(["\n", "\r\n", "\n\n"])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "in" / "b.csv").write_text('id,a,b\n-1,"never closed\nid,a,b\n' + "line\n" * 400, newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = files.read_delimited(spark, str(tmp_path / "in"))
+        got = {r["id"]: (r["a"], r["b"]) for r in df.collect()}
+        tasks = spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert df.columns == ["id", "a", "b"] and len(got) == 1501
+    assert (tasks > 30) == (split == "900b")
+    assert got.pop("-1")[0].startswith("never closed\nid,a,b\nline\n")
+    assert got == {i: (a, b) for i, a, b in rows}
+
+
+def test_lines_as_records(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('x;5" wide;\ny;"6\n\nz;7\n')
+    df = files.read_delimited(spark, str(tmp_path), multi_line=False)
+    assert df.count() == 3 and df.columns == ["A", "B", "C"]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.csv").write_text("")
+    assert files.read_delimited(spark, str(tmp_path / "empty")).columns == []
