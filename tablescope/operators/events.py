@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators.ordered import running, time_chunk
+from tablescope.operators.ordered import CHUNK_ROWS, running, with_chunks
 from tablescope.sources.shared import cut_lineage
 
 THROTTLE_SECONDS = 120
@@ -173,7 +173,7 @@ def order_groups(grouped: DataFrame, ts: str = "created_at", event_id: str = "ev
 
 def sessionise(
     segments: DataFrame, keys: list[str], start: str, duration_ms: str, segment_id: str,
-    version: str | None = None, gap_seconds: int = SESSION_GAP_SECONDS, chunk_seconds: int = 3600,
+    version: str | None = None, gap_seconds: int = SESSION_GAP_SECONDS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sessions of view segments: a segment joins if it starts less than the gap after all before it ended.
 
@@ -185,7 +185,9 @@ def sessionise(
         F.coalesce(F.col(duration_ms), F.lit(0)).cast("long").alias("_ms"),
         (F.col(version) if version else F.lit(None).cast("int")).alias("_version"),
     )
-    order, chunk = ["_start", "_id"], time_chunk("_at", chunk_seconds)
+    order, chunk = ["_start", "_id"], F.col("_part")
+    # written once: both scans read it twice
+    rows = cut_lineage(with_chunks(rows, keys, "_start", chunk_rows, "_part"), "session-segments")
     ends = running(
         rows, keys, order, chunk, {"_before": ("max", F.col("_start") + F.col("_ms"))}, inclusive=False
     )

@@ -16,7 +16,7 @@ from tablescope.functions.dates import (
     lookback_start,
     period_start_by,
 )
-from tablescope.operators.ordered import running, time_chunk, top_per_key
+from tablescope.operators.ordered import CHUNK_ROWS, running, top_per_key
 
 # fixed values: the message sources and the token classes with a price
 SOURCES = (
@@ -127,7 +127,7 @@ def in_lookback(rows: DataFrame, as_of: Column, unit: str, value: int) -> DataFr
     return rows.filter(F.col("created_at") >= start)
 
 
-def with_message_provider(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def with_message_provider(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``usage_provider``: a user message takes the provider of the first assistant message after it that has one,
     unless another user message lies between; other rows keep their own.
 
@@ -142,7 +142,7 @@ def with_message_provider(messages: DataFrame, chunk_seconds: int = 3600) -> Dat
     # the next question closes the search with a null inside the struct
     marker = F.when(F.col("_answer").isNotNull() | F.col("_asked"), F.struct(F.col("_answer").alias("p")))
     after = running(
-        instants, ["chat_id"], ["created_at"], time_chunk("created_at", chunk_seconds),
+        instants, ["chat_id"], ["created_at"], chunk_rows,
         {"_next": ("last", marker)}, inclusive=False, backward=True,
     ).select(F.col("chat_id").alias("_chat"), F.col("created_at").alias("_at"), F.col("_next.p").alias("_after"))
     same = F.col("chat_id").eqNullSafe(F.col("_chat")) & F.col("created_at").eqNullSafe(F.col("_at"))
@@ -150,21 +150,21 @@ def with_message_provider(messages: DataFrame, chunk_seconds: int = 3600) -> Dat
     return messages.join(after, same).withColumn("usage_provider", usage).drop("_chat", "_at", "_after")
 
 
-def with_message_source(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def with_message_source(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``usage_source``: an assistant message takes the source of the latest user message at or before
     it, even a null one; other rows keep their own. Of user messages at one instant the greatest id is the latest."""
     marker = F.when(F.col("role") == "user", F.struct(F.col("source").alias("s")))
     # at one instant users come first, whatever the ids, so that an answer sees them
     sided = messages.withColumn("_side", F.when(F.col("role") == "user", 0).otherwise(1))
     out = running(
-        sided, ["chat_id"], ["created_at", "_side", "message_id"], time_chunk("created_at", chunk_seconds),
+        sided, ["chat_id"], ["created_at", "_side", "message_id"], chunk_rows,
         {"_asked": ("last", marker)},
     )
     usage = F.when(F.col("role") == "assistant", F.col("_asked.s")).otherwise(F.col("source"))
     return out.withColumn("usage_source", usage).drop("_asked", "_side")
 
 
-def with_inference_source(inferences: DataFrame, messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def with_inference_source(inferences: DataFrame, messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """As-of across tables: an inference takes the source of the chat's latest earlier user message.
 
     Both tables go through one ordered scan as a tagged union, so no row pairs are formed.
@@ -179,7 +179,7 @@ def with_inference_source(inferences: DataFrame, messages: DataFrame, chunk_seco
     )
     out = running(
         asked.unionByName(asking), ["chat_id"], ["created_at", "_side", "_id"],
-        time_chunk("created_at", chunk_seconds), {"_latest": ("last", F.col("_asked"))},
+        chunk_rows, {"_latest": ("last", F.col("_asked"))},
     )
     return out.filter(F.col("_side") == 1).select("_row.*", F.col("_latest.s").alias("usage_source"))
 

@@ -8,6 +8,7 @@ from tablescope.operators.ordered import (
     number_chunk,
     running,
     top_per_key,
+    with_chunks,
     with_row_number,
 )
 
@@ -62,3 +63,40 @@ def test_top_per_key_cuts_before_the_shuffle(spark):
     _, df = skewed(spark)
     plan = top_per_key(df, ["k"], [F.col("t")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_chunks_by_rows(spark):
+    """A key with a third of the rows, all inside one hour, is cut into chunks of about the rows asked for."""
+    rnd = random.Random(8)
+    rows = [("hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None, i, 5_000 + int(rnd.random() ** 3 * 3600e6) if i % 11 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, id long, t long")
+    got = with_chunks(df, ["k"], "t", 200, "c").collect()
+    assert sorted((r["k"] or "", r["id"]) for r in got) == sorted((k or "", i) for k, i, _ in rows)
+    sizes = {}
+    for r in got:
+        sizes[r["k"], r["c"]] = sizes.get((r["k"], r["c"]), 0) + (r["t"] is not None)
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert len(hot) >= 8 and max(hot) < 300
+    assert {c for (k, c) in sizes if k == "k1"} == {0}
+    # the number rises with the value, and nulls, which sort first, are in the first chunk
+    for key in ("hot", None):
+        of = sorted(((-1 if r["t"] is None else r["t"]), r["c"]) for r in got if r["k"] == key)
+        assert [c for _, c in of] == sorted(c for _, c in of) and of[0][1] == 0
+
+
+def test_running_by_rows_equals_running_by_width(spark):
+    rows, df = skewed(spark)
+    specs = {"total": ("sum", F.col("v")), "newest": ("last", F.col("v"))}
+    for inclusive, backward in ((True, False), (False, True)):
+        want, got = (
+            {r["id"]: (r["total"], r["newest"]) for r in running(df, ["k"], ["t", "id"], chunk, specs, inclusive, backward).collect()}
+            for chunk in (number_chunk("t", 7), 9)
+        )
+        assert got == want
+
+
+def test_chunks_of_a_whole_table(spark):
+    df = spark.range(5000).withColumn("d", F.expr("date_add(date'2024-01-01', cast(id % 100 as int))"))
+    sizes = with_chunks(df, [], "d", 500, "c").groupBy("c").count().collect()
+    assert len(sizes) >= 8 and sum(r["count"] for r in sizes) == 5000
+    assert with_chunks(df.limit(0), [], "d").count() == 0
