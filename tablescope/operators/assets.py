@@ -77,53 +77,62 @@ def folder_list(
     )
 
 
-def _walk(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reachable from ``start`` (node) over ``edges`` (src, dst), start included; cycle-safe.
+def _closure(folders: DataFrame, node: str, parent: str, own: Column, above: Column) -> DataFrame:
+    """``id, flag, cyclic`` of each folder: whether ``own`` holds for it or a folder over it, or ``above`` says so of its parent.
 
-    Each round joins only the newest nodes; rounds are written out, so a lost executor costs one round.
+    Pointer doubling: after round k
+    every folder knows about its 2^k nearest ancestors, so a chain of depth d takes log2(d) rounds. A folder is written
+    again only while it is open: once it has the flag or no more ancestors it is set aside. What is open after as many
+    rounds as any tree of this size could take is on a cycle or below one.
     """
-    seen = cut_lineage(start.distinct(), "walk")
-    frontier = seen
-    while True:
-        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti"), "walk")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    first = folders.select(F.col(node).alias("id"), F.col(parent).alias("up"), own.alias("flag"), above.alias("_over"))
+    first = first.select("id", "up", (F.col("flag") | F.coalesce("_over", F.lit(False))).alias("flag"))
+    still = F.col("up").isNotNull() & ~F.col("flag")
+    step = cut_lineage(first, "closure")
+    rounds = math.ceil(math.log2(max(2, step.count()))) + 1
+    done = step.filter(~still)
+    open_ = step.filter(still)
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        known = done.unionByName(open_).select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("flag").alias("_flag"))
+        step = open_.join(known, F.col("up") == F.col("_id"), "left").select(
+            "id", F.col("_up").alias("up"), F.coalesce("_flag", F.lit(False)).alias("flag")
+        )
+        step = cut_lineage(step, "closure")
+        done = done.unionByName(step.filter(~still))
+        open_ = step.filter(still)
+    return done.select("id", "flag", F.lit(False).alias("cyclic")).unionByName(open_.select("id", "flag", F.lit(True).alias("cyclic")))
+
+
+def _under(folders: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
+    """``id, flag, cyclic`` of each folder, flagged if one of ``roots`` (``node``) is over it."""
+    marked = roots.select(F.col("node").alias("_root")).distinct()
+    rows = folders.join(marked, F.col(parent) == F.col("_root"), "left")
+    return _closure(rows, node, parent, F.lit(False), F.col("_root").isNotNull())
 
 
 def descendants(folders: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
-    """All folders below the roots (column ``node``), the roots themselves left out."""
-    tree = folders.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("src"), F.col(node).alias("dst"))
-    return _walk(tree, roots).join(roots, "node", "left_anti")
+    """All folders below the roots (column ``node``), the roots themselves left out; cycle-safe."""
+    return _under(folders, node, parent, roots).filter("flag").select(F.col("id").alias("node")).join(roots, "node", "left_anti")
 
 
 def move_makes_cycle(folders: DataFrame, node: str, parent: str, moved: DataFrame, target: DataFrame) -> DataFrame:
-    """Whether putting ``moved`` under ``target`` would make it its own ancestor: walk up from the target."""
-    up = folders.filter(F.col(parent).isNotNull()).select(F.col(node).alias("src"), F.col(parent).alias("dst"))
-    chain = _walk(up, target)
-    return chain.join(moved, "node", "left_semi").agg((F.count(F.lit(1)) > 0).alias("cycle"))
+    """Whether putting ``moved`` under ``target`` would make it its own ancestor: the target is the moved folder or below it."""
+    below = _under(folders, node, parent, moved).filter("flag").select(F.col("id").alias("node"))
+    inside = below.unionByName(moved.select("node"))
+    return target.join(inside, "node", "left_semi").agg((F.count(F.lit(1)) > 0).alias("cycle"))
 
 
-def private_context(folders: DataFrame, node: str, parent: str, private: Column, max_depth: int = 1 << 20) -> DataFrame:
-    """Each folder with whether it or an ancestor is private.
+def folder_cycles(folders: DataFrame, node: str, parent: str) -> DataFrame:
+    """Folders on a cycle or below one: they hang under no top-level folder and none whose parent is missing."""
+    return _closure(folders, node, parent, F.lit(False), F.lit(False)).filter("cyclic").select(F.col("id").alias("node"))
 
-    Pointer doubling: after round k every folder knows about its 2^k nearest ancestors, so a chain of
-    depth d takes log2(d) rounds. Folders that are done leave the join. A cycle ends by the round limit.
-    """
-    known = folders.select(F.col(node).alias("id"), F.col(parent).alias("up"), private.alias("flag"))
-    known = cut_lineage(known, "closure")
-    for _ in range(math.ceil(math.log2(max_depth)) + 1):
-        open_ = known.filter(F.col("up").isNotNull() & ~F.col("flag"))
-        if open_.isEmpty():
-            break
-        above = known.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("flag").alias("_flag"))
-        step = open_.join(above, F.col("up") == F.col("_id"), "left").select(
-            "id", F.col("_up").alias("up"), F.coalesce("_flag", F.lit(False)).alias("flag")
-        )
-        done = known.filter(F.col("up").isNull() | F.col("flag"))
-        known = cut_lineage(done.unionByName(step), "closure")
-    return known.select(F.col("id").alias(node), F.col("flag").alias("is_private"))
+
+def private_context(folders: DataFrame, node: str, parent: str, private: Column) -> DataFrame:
+    """Each folder with whether it or an ancestor is private."""
+    found = _closure(folders, node, parent, private, F.lit(False))
+    return found.select(F.col("id").alias(node), F.col("flag").alias("is_private"))
 
 
 def asset_items(own: DataFrame, standalone: DataFrame, shared: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,40 +25,67 @@ def redact_columns(parts: DataFrame, tool: str, payloads: list[str]) -> DataFram
     )
 
 
-def _clean(value: Column, depth: int) -> Column:
-    """A JSON value with the payloads of data-tool entries blanked down to ``depth`` levels.
+JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+')
 
-    Whatever still names a data tool below that is blanked as a whole, so nothing slips through.
-    """
-    blank = F.parse_json(F.lit(f'"{PLACEHOLDER}"'))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    if depth == 0:
-        nested = items.isNotNull() | fields.isNotNull()
-        return F.when(nested & F.to_json(value).rlike("|".join(DATA_TOOLS)), blank).otherwise(value)
-    is_tool = F.coalesce(F.try_variant_get(value, "$.toolName", "string").isin(*DATA_TOOLS), F.lit(False))
-    cleaned_items = F.transform(items, lambda v: _clean(v, depth - 1))
-    cleaned_fields = F.transform_values(
-        fields, lambda k, v: F.when(is_tool & k.isin(*PAYLOAD_KEYS), blank).otherwise(_clean(v, depth - 1))
-    )
-    return (
-        F.when(items.isNotNull(), F.to_variant_object(cleaned_items))
-        .when(fields.isNotNull(), F.to_variant_object(cleaned_fields))
-        .otherwise(value)
-    )
 
+def blank_payloads(text: str) -> str:
+    """JSON text with the payloads of data-tool entries blanked, at whatever depth, and all else as it was.
 
-def redact_json(text: Column, depth: int = 4) -> Column:
-    """Blank payload keys of data-tool entries in a JSON value, such as an array of messages with parts.
+    One pass over the tokens with a stack of open arrays and objects. Whether an object is a data-tool entry is known
+    when it closes, so the places of its payloads are kept until then.
+    """
+    tools = {json.dumps(t) for t in DATA_TOOLS}
+    payloads = {json.dumps(k) for k in PAYLOAD_KEYS}
+    # per open array or object: key in hand, start of its value, names a data tool, places of payloads
+    stack: list[list] = []
+    blanked: list[tuple[int, int]] = []
+    for token in JSON_TOKEN.finditer(text):
+        what, begin, end = token.group(), token.start(), token.end()
+        top = stack[-1] if stack else None
+        if what == ":":
+            top[0], top[1] = last, None
+            continue
+        if what == ",":
+            top[0] = top[1] = None
+            continue
+        if top and top[0] is not None and top[1] is None:
+            top[1] = begin
+        if what in "{[":
+            stack.append([None, None, False, []])
+            continue
+        if what in "}]":
+            _, _, tool, places = stack.pop()
+            if tool:
+                blanked += places
+            top = stack[-1] if stack else None
+        last = what
+        # a value has ended
+        if top and top[0] in payloads:
+            top[3].append((top[1], end))
+        elif top and top[0] == '"toolName"' and what in tools:
+            top[2] = True
+    out, at = [], 0
+    for begin, end in sorted(blanked):
+        if begin >= at:  # not inside a payload that is blank already
+            out += [text[at:begin], json.dumps(PLACEHOLDER)]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def redact_json(text: Column) -> Column:
+    """Blank payload keys of data-tool entries anywhere in a JSON value, such as an array of messages with parts.
 
     Text that does not parse but names a data tool is replaced as a whole; text naming none is returned
-    as it is, unparsed.
+    as it is, unparsed. Only texts that name a tool and parse are looked at in Python, in Arrow batches.
     """
+
+    @F.pandas_udf("string")
+    def blanked(texts: pd.Series) -> pd.Series:
+        return texts.map(blank_payloads, na_action="ignore")
+
     named = F.coalesce(text.rlike("|".join(DATA_TOOLS)), F.lit(False))
-    value = F.try_parse_json(text)
-    return (
-        F.when(~named, text).when(value.isNull(), PLACEHOLDER).otherwise(F.to_json(_clean(value, depth)))
-    )
+    parsed = F.to_json(F.try_parse_json(F.when(named, text)))
+    return F.when(~named, text).when(parsed.isNull(), PLACEHOLDER).otherwise(blanked(parsed))
 
 
 # with these a line may match where the whole text does not

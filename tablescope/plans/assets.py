@@ -120,6 +120,21 @@ def _(t):
     return ast.move_makes_cycle(folders(t), "folder_id", "parent_id", one(13), one(137))
 
 
+# two folders of each hundred point at each other
+KNOTTED_SQL = f"""SELECT folder_id, CASE WHEN folder_id % 100 = 40 THEN folder_id + 1 WHEN folder_id % 100 = 41 THEN folder_id - 1
+    ELSE parent_id END AS parent_id FROM ({FOLDERS_SQL})"""
+
+
+@query("as_folder_cycles", "AS-06", oracle=f"""WITH RECURSIVE f AS ({KNOTTED_SQL}), ok(node) AS (
+      SELECT folder_id FROM f WHERE parent_id IS NULL OR parent_id NOT IN (SELECT folder_id FROM f)
+      UNION SELECT f.folder_id FROM f JOIN ok ON f.parent_id = ok.node)
+    SELECT folder_id AS node FROM f WHERE folder_id NOT IN (SELECT node FROM ok)""")
+def _(t):
+    turn = F.col("folder_id") % 100
+    knotted = F.when(turn == 40, F.col("folder_id") + 1).when(turn == 41, F.col("folder_id") - 1).otherwise(F.col("parent_id"))
+    return ast.folder_cycles(folders(t).withColumn("parent_id", knotted), "folder_id", "parent_id")
+
+
 @query("as_private_context", "AS-07", oracle=f"""WITH RECURSIVE f AS ({FOLDERS_SQL}), a(folder_id, up) AS (
       SELECT folder_id, folder_id FROM f UNION SELECT a.folder_id, f.parent_id FROM a JOIN f ON f.folder_id = a.up
       WHERE f.parent_id IS NOT NULL AND f.parent_id <> a.up)

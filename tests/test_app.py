@@ -7,6 +7,7 @@ from tablescope.functions import dates
 from tablescope.functions.text import natural_key, title_label
 from tablescope.operators import activity as act
 from tablescope.operators import assets as ast
+from tablescope.sources import shared
 from tablescope.operators import chats as cr
 from tablescope.operators import feedback as fb
 from tablescope.operators import usage as us
@@ -60,8 +61,25 @@ def test_folders_survive_cycles(spark):
     assert {r["node"] for r in ast.descendants(df, "id", "parent", one(5)).collect()} == {6}
     assert ast.move_makes_cycle(df, "id", "parent", one(2), one(4)).first()["cycle"]
     assert not ast.move_makes_cycle(df, "id", "parent", one(4), one(1)).first()["cycle"]
-    got = {r["id"]: r["is_private"] for r in ast.private_context(df, "id", "parent", F.col("visibility") == "private", 8).collect()}
+    got = {r["id"]: r["is_private"] for r in ast.private_context(df, "id", "parent", F.col("visibility") == "private").collect()}
     assert got == {1: False, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}
+    assert {r["node"] for r in ast.folder_cycles(df, "id", "parent").collect()} == {5, 6}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ast, "cut_lineage", lambda df, label: written.append(1) or shared.cut_lineage(df, label))
+    chain = spark.range(1000).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent")
+    one = (lambda k: spark.createDataFrame([(k,)], "node long"))
+    assert ast.descendants(chain, "id", "parent", one(4)).count() == 995
+    assert len(written) <= 12
+    assert ast.move_makes_cycle(chain, "id", "parent", one(3), one(999)).first()["cycle"]
+    assert ast.folder_cycles(chain, "id", "parent").count() == 0
+    ring = chain.selectExpr("id", "(id + 999) % 1000 AS parent")
+    del written[:]
+    assert ast.folder_cycles(ring, "id", "parent").count() == 1000
+    assert len(written) <= 12
+    assert ast.descendants(ring, "id", "parent", one(4)).count() == 999
 
 
 def test_latest_failure_hidden_by_success(spark):

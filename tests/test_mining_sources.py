@@ -85,6 +85,20 @@ def test_redaction_inside_messages(spark):
     assert got[2] == ["execute_sql", 1] and got[3] == hidden
 
 
+def test_redaction_at_any_depth(spark):
+    call = {"toolName": "read_query_result", "output": {"rows": [{"toolName": "execute_sql", "input": "x"}], "n": 1.50}, "note": 'a "q", {b}: [c]'}
+    shown = {"toolName": "grep", "input": {"toolName": "execute_sql", "args": [], "input": None, "k": -1e3}, "result": ["execute_sql"]}
+    clean = [{**call, "output": "[redacted]"}, {**shown, "input": {**shown["input"], "args": "[redacted]", "input": "[redacted]"}}]
+    nested, want = [call, shown], clean
+    for level in range(300):
+        nested, want = ({"a": nested, "input": level}, {"a": want, "input": level}) if level % 2 else ([0, nested], [0, want])
+    rows = spark.createDataFrame([(0, json.dumps(nested)), (1, json.dumps([call, shown])), (2, None), (3, '"execute_sql"'), (4, "[" * 5000 + '"execute_sql"')],
+                                 "i int, t string")
+    got = {r["i"]: r["o"] for r in rows.select("i", txt.redact_json(F.col("t")).alias("o")).collect()}
+    assert json.loads(got[0]) == want and json.loads(got[1]) == clean
+    assert got[2] is None and got[3] == '"execute_sql"' and got[4] == "[redacted]"
+
+
 PROPERTIES = {
     "title": ({"title": [{"plain_text": "A"}, {"plain_text": "b"}]}, "Ab"),
     "rich_text": ({"rich_text": [{"plain_text": "x"}]}, "x"),
