@@ -136,22 +136,21 @@ def with_extremum(df: DataFrame, keys: list[str], x: str, y: str, chunk: Column)
     return out.withColumn("is_extremum", flag).drop(f"prev_{y}", f"next_{y}")
 
 
-def _nearest_in_turn(pdf: pd.DataFrame, slots: int) -> list[int]:
-    """Each target, left to right, takes the nearest point not yet taken."""
+def _nearest_in_turn(xs: list, low, high, slots: int) -> list:
+    """Each of ``slots`` even targets from ``low`` to ``high``, left to right, takes the nearest point not yet taken."""
     taken: list = []
-    for _, near in pdf.sort_values(["pos", "rank"]).groupby("pos"):
-        for x in near["x"]:
-            if x not in taken:
-                taken.append(x)
-                break
-    return taken[:slots]
+    for position in range(slots):
+        target = low + (high - low) * (0.5 if slots == 1 else position / (slots - 1))
+        taken.append(min((x for x in xs if x not in taken), key=lambda x: (abs(x - target), x)))
+    return taken
 
 
 def downsample(df: DataFrame, key: str, x: str, y: str, chunk: Column, points: int = MAX_POINTS) -> DataFrame:
     """At most ``points`` labelled points per series: minimum, maximum, extrema, then evenly spread ones.
 
-    Each target position keeps its ``points`` nearest rows (cut inside the map tasks), which always
-    holds the row the turn-by-turn choice takes; that choice then sees a bounded set per series.
+    The targets cut a class of points into cells, found by arithmetic. Of each cell the first and last ``points`` rows are
+    kept (cut inside the map tasks), which always hold the row that the turn-by-turn choice takes, as no target has more
+    than ``points`` rows taken around it; that choice then sees a bounded set per series.
     """
     rows = with_extremum(df.select(key, x, y), [key], x, y, chunk).filter(F.col(y).isNotNull())
     ends = rows.groupBy(key).agg(
@@ -182,22 +181,24 @@ def downsample(df: DataFrame, key: str, x: str, y: str, chunk: Column, points: i
         F.col(key).alias("_key"), F.col("cls").alias("_cls"), "_lo", "_hi", "_count",
         slots.cast("int").alias("slots"),
     ).filter(F.col("slots") > 0)
-    # a class that fits takes every row: as many targets as it has slots still finds all of them
-    spots = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("pos")
     near = tagged.join(plan, (F.col(key) == F.col("_key")) & (F.col("cls") == F.col("_cls"))).select(
-        F.col(key), "cls", F.col(x).alias("x"), F.col(y).alias("y"), "_lo", "_hi", "slots", "_n", "_count", spots
+        F.col(key), "cls", F.col(x).alias("x"), F.col(y).alias("y"), "_lo", "_hi", "slots", "_count"
+    )
+    part = (F.col("x") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    cell = F.when(F.col("slots") == 1, (part > 0.5).cast("int")).otherwise(F.floor(part * (F.col("slots") - 1)).cast("int"))
+    near = near.withColumn("cell", F.coalesce(cell, F.lit(0)))
+    # a class that fits has no more rows than ``points``, so all of them are kept
+    near = top_per_key(near, [key, "cls", "cell"], [F.col("x")], points).unionByName(
+        top_per_key(near, [key, "cls", "cell"], [F.col("x").desc()], points)
     )
-    fraction = F.when(F.col("slots") == 1, 0.5).otherwise(F.col("pos") / (F.col("slots") - 1))
-    target = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * fraction
-    near = near.withColumn("dist", F.abs(F.col("x") - target))
-    near = top_per_key(near, [key, "cls", "pos"], [F.col("dist"), F.col("x")], points)
     schema = near.select(F.col(key), F.col("x").alias(x), F.col("y").alias(y)).schema
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = []
         for _, part in pdf.groupby("cls"):
             slots, count = int(part["slots"].iloc[0]), int(part["_count"].iloc[0])
-            chosen = part["x"].unique() if count <= slots else _nearest_in_turn(part, slots)
+            xs = sorted(part["x"].unique())
+            chosen = xs if count <= slots else _nearest_in_turn(xs, part["_lo"].iloc[0], part["_hi"].iloc[0], slots)
             kept.append(part[part["x"].isin(chosen)].drop_duplicates("x"))
         out = pd.concat(kept).sort_values("x")
         return out[[key, "x", "y"]].rename(columns={"x": x, "y": y})

@@ -19,6 +19,78 @@ def read_page(df: DataFrame, order: list[Column], offset: int = 0, limit: int =
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
+def _place(df: DataFrame, column: str) -> Column:
+    """A number that never falls as ``column`` rises; different values may share one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        # the first six bytes: strings sort by their bytes
+        head = F.substring(F.rpad(F.encode(F.col(column), "UTF-8"), 6, F.unhex(F.lit("00"))), 1, 6)
+        return F.conv(F.hex(head), 16, 10).cast("double")
+    if is_date(kind):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def page_range(
+    df: DataFrame, order: list[tuple[str, bool]], offset: int, limit: int, ranges: int = 256, small: int = 10_000
+) -> tuple[DataFrame, int]:
+    """The rows among which a page lies, and how many of them come before it.
+
+    A quantile sketch cuts the first order column into ``ranges`` ranges; their row counts, the only rows the driver reads,
+    tell which ones the page lies in. Those are cut again until they hold ``small`` rows beside the page; where all
+    are of one value, by the next column.
+    """
+    skip = offset
+    for column, ascending in order:
+        while True:
+            place = _place(df, column)
+            ranks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+            sketch = df.agg(F.kll_sketch_agg_double(place).alias("s"))
+            some = F.kll_sketch_get_n_double("s") > 0
+            borders = sorted(set(sketch.select(F.when(some, F.kll_sketch_get_quantile_double("s", ranks))).first()[0] or []))
+            # nulls sort before everything
+            cell = F.when(F.col(column).isNull(), -1).otherwise(
+                F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < place)) if borders else F.lit(0)
+            )
+            counts = df.groupBy(cell.alias("cell")).agg(
+                F.count(F.lit(1)).alias("n"), (F.min(column).eqNullSafe(F.max(column))).alias("single")
+            )
+            cells = sorted(counts.collect(), reverse=not ascending)  # one row per range
+            held, before, seen = [], 0, 0
+            for c in cells:
+                if seen + c.n <= skip:
+                    before = seen + c.n
+                elif seen < skip + limit:
+                    held.append(c)
+                seen += c.n
+            rows = sum(c.n for c in held)
+            narrowed = rows < seen
+            if narrowed:
+                df = df.filter(cell.isin([c.cell for c in held]))
+                skip -= before
+            if rows <= small + limit or not held:
+                return df, skip
+            if len(held) == 1 and held[0].single:
+                break  # by the next column
+            if not narrowed:
+                return df, skip
+    return df, skip
+
+
+def deep_page(
+    df: DataFrame, order: list[tuple[str, bool]], offset: int, limit: int = PAGE_SIZE, ranges: int = 256, small: int = 10_000
+) -> DataFrame:
+    """One page however far down a total order of columns, each with whether it ascends, and the total row count.
+
+    Only the ranges that the page lies in are sorted, so no task holds all rows before it. Nulls are first where a column
+    ascends and last where it descends.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rows, skip = page_range(df, order, offset, limit, ranges, small)
+    by = [F.col(c).asc() if ascending else F.col(c).desc() for c, ascending in order]
+    return rows.orderBy(*by).offset(skip).limit(limit).withColumn("total", total)
+
+
 def limit_reached(df: DataFrame, limit: int) -> DataFrame:
     """Whether a result capped at ``limit`` is (or may be) cut: looks at no more than ``limit`` rows."""
     return df.limit(limit).agg((F.count(F.lit(1)) >= limit).alias("limit_reached"))

@@ -26,6 +26,13 @@ def _(t):
     return rs.read_page(t.orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 40, 20)
 
 
+@query("rs_deep_page", "RS-01", "SQL-16", oracle="""SELECT l_orderkey, l_linenumber, l_shipdate, (SELECT count(*) FROM lineitem) AS total
+    FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 5000""")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    return rs.deep_page(rows, [("l_shipdate", False), ("l_orderkey", True), ("l_linenumber", True)], 5000, 20)
+
+
 @query("rs_limit_reached", "RS-02", oracle="""SELECT 'orders' AS tbl, count(*) >= 500 AS limit_reached FROM orders
     UNION ALL SELECT 'region', count(*) >= 500 FROM region""")
 def _(t):
@@ -333,7 +340,23 @@ def _(t):
     return ch.with_extremum(rows, ["event_type"], "event_id", "y", number_chunk("event_id", 1000))
 
 
-@query("ch_downsample", "CH-11")
+#: Extrema and the rest are drawn from in turn; ``taken`` grows by the nearest point that is left at each target.
+DOWNSAMPLE_SQL = f"""WITH RECURSIVE e AS ({EXTREMA_SQL.format("SELECT event_type, event_id, value AS y FROM events", "event_type", "event_id")}),
+    k AS (SELECT * FROM e WHERE y IS NOT NULL),
+    ends AS (SELECT event_type, arg_min(event_id, (y, event_id)) AS low, arg_min(event_id, (-y, event_id)) AS high FROM k GROUP BY 1),
+    c AS (SELECT k.*, CASE WHEN event_id IN (low, high) THEN 0 WHEN is_extremum THEN 1 ELSE 2 END AS cls FROM k JOIN ends USING (event_type)),
+    s AS (SELECT event_type, cls, list(event_id) AS xs, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM c GROUP BY 1, 2),
+    free AS (SELECT event_type, 12 - count(*) FILTER (WHERE cls = 0) AS f, count(*) FILTER (WHERE cls = 1) AS x FROM c GROUP BY 1),
+    plan AS (SELECT s.*, CASE cls WHEN 0 THEN n WHEN 1 THEN least(f, n) ELSE least(greatest(f - x, 0), n) END AS slots FROM s JOIN free USING (event_type)),
+    picks AS (SELECT event_type, cls, 0 AS pos, []::BIGINT[] AS taken FROM plan UNION ALL
+      SELECT p.event_type, p.cls, pos + 1, list_append(taken, list_sort(list_transform(list_filter(xs, lambda v: NOT list_contains(taken, v)),
+        lambda v: {{'d': abs(v - (lo + (hi - lo) * CASE WHEN slots = 1 THEN 0.5::DOUBLE ELSE pos::DOUBLE / (slots - 1) END)), 'v': v}}))[1].v)
+      FROM picks p JOIN plan USING (event_type, cls) WHERE pos < slots),
+    chosen AS (SELECT event_type, unnest(taken) AS event_id FROM picks JOIN plan USING (event_type, cls) WHERE pos = slots)
+    SELECT event_type, event_id, y FROM chosen JOIN k USING (event_type, event_id)"""
+
+
+@query("ch_downsample", "CH-11", oracle=DOWNSAMPLE_SQL)
 def _(t):
     rows = t.events.select("event_type", "event_id", F.col("value").alias("y"))
     return ch.downsample(rows, "event_type", "event_id", "y", number_chunk("event_id", 1000))
