@@ -244,6 +244,20 @@ def _spare(similar: int, n: Column) -> Column:
     return F.floor(_share(similar, n) / LONGER)
 
 
+def in_size(similar: int, na: str, nb: str) -> Column:
+    """Whether rows of so many n-grams can be similar at all."""
+    return 100 * F.least(na, nb) >= similar * F.greatest(na, nb)
+
+
+def sketches_allow(similar: int, a: str, b: str, total: Column) -> Column:
+    """Whether the sketches of two rows of ``total`` n-grams let them be similar: bits that differ between them are n-grams
+    that only one of the rows has. A row without a sketch is allowed all."""
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        differ = differ + F.coalesce(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])), F.lit(0))
+    return (100 + similar) * (total - differ) >= 2 * similar * total
+
+
 def may_be_similar(similar: int, seldom: bool = False) -> Column:
     """Whether the overlap ``both`` of the prefixes of two rows of ``na`` and ``nb`` n-grams allows for enough in all.
 
@@ -259,8 +273,7 @@ def may_be_similar(similar: int, seldom: bool = False) -> Column:
     beyond = F.greatest(left_out(F.col("na")), left_out(F.col("nb")))
     if seldom:
         beyond = beyond + F.greatest(_spare(similar, F.col("na")), _spare(similar, F.col("nb")))
-    in_size = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
-    return in_size & ((F.col("both") + beyond) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
+    return in_size(similar, "na", "nb") & ((F.col("both") + beyond) * (100 + similar) >= similar * (F.col("na") + F.col("nb")))
 
 
 def open_columns(members: DataFrame) -> DataFrame:
@@ -286,15 +299,12 @@ def meeting(members: DataFrame, similar: int) -> DataFrame:
         for x, side in (("a", members.filter("root <> first")), ("b", members))
     )
     total = F.col("n_a") + F.col("n_b")
-    differ = F.lit(0)
-    for i in range(SKETCH):
-        differ = differ + F.coalesce(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])), F.lit(0))
     spare = 1 - F.floor((similar * total + 99 + similar) / (100 + similar))
     return left.join(right, "ngram").filter(
         (F.col("root_a") > F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
+        & in_size(similar, "n_a", "n_b")
         & ((100 + similar) * F.least("most_a", "most_b") >= similar * total)
-        & ((100 + similar) * (total - differ) >= 2 * similar * total)
+        & sketches_allow(similar, "sketch_a", "sketch_b", total)
         & (F.col("place_a") <= F.col("n_a") + spare)
         & (F.col("place_b") <= F.col("n_b") + spare)
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
@@ -345,6 +355,10 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     pairs = cut_lineage(pairs.select("a", "b"), "ngram-candidates")
+    # sketches first: whole rows are fetched for the pairs that pass
+    of_a, of_b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    sketched = pairs.join(of_a, "a").join(of_b, "b").filter(sketches_allow(similar, "sa", "sb", F.col("na") + F.col("nb")))
+    pairs = cut_lineage(sketched.select("a", "b"), "ngram-sketched")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut_lineage(nodes.join(asked, "node", "left_semi").select("rep"), "ngram-wanted")
     rows = cut_lineage(whole_rows(docs, wanted, size), "ngram-rows")
@@ -385,7 +399,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     leaders = hits.select("ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("lead"), order.alias("order"))
     leaders = leaders.filter(F.col("order") <= LEADERS).drop("order")
     followers = hits.select("ngram", F.col("node").alias("b"), F.col("n").alias("nb"), "rank")
-    stars = followers.join(leaders, "ngram").filter("lead < rank").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    # sizes are known here, so pairs that cannot be similar are not counted
+    stars = followers.join(leaders, "ngram").filter(F.expr("lead < rank") & in_size(similar, "na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     links = similar_pairs(docs, nodes, stars.filter(may_be_similar(similar)), size, similar)
     found = components(links)
 
