@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these: the space and U+0009 to U+000D.
@@ -59,3 +62,15 @@ def span_columns(df: DataFrame, base: Iterable[str], spans: str = "spans") -> Da
         F.sha2(span_text(F.filter(found, lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
         span_text(found).alias("spans"),
     )
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of a class of this library, with the class, so that workers need not have the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    """What ``send`` sent, put together once per worker."""
+    if not hasattr(sent, "_received"):
+        sent._received = pickle.loads(sent.value)
+    return sent._received

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.llm.common import received, send
+
 #: Pages the model is trained on at most, chosen by a hash of url and id.
 SAMPLE = 1_500
 #: Nodes the training pages count as. Pages of one site repeat the same few nodes thousands of times; counted in full
@@ -339,10 +341,10 @@ def extract(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> DataF
     pages without content, have an empty text. Broken markup is read as far as it goes. Equal rows give equal rows; an
     empty table gives an empty result.
     """
-    model = pages.sparkSession.sparkContext.broadcast(train(pages, html, sample))  # a few dozen numbers
+    model = send(pages.sparkSession, train(pages, html, sample))  # a few dozen numbers
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = model.value
+        tree = received(model)
         for batch in batches:
             texts = [tree.main_text(p.as_py() or "") for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays(

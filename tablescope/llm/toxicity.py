@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablescope.llm.common import named
+from tablescope.llm.common import named, received, send
 from tablescope.llm.ngram_join import STEP, _mixed
 
 ORDER = 6
@@ -266,8 +266,9 @@ def features_of(rows: DataFrame, model, with_text: bool = False) -> DataFrame:
     """``doc, mean, window, top`` of ``rows`` (``doc, text``), and the text itself where asked for."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = received(model)
         for batch in batches:
-            found = np.array(list(model.value.features(t.as_py() for t in batch.column(1))), float).reshape(-1, 3).T
+            found = np.array(list(letters.features(t.as_py() for t in batch.column(1))), float).reshape(-1, 3).T
             columns = [*batch.columns[: 1 + with_text], *map(pa.array, found)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "mean", "window", "top"])
 
@@ -291,7 +292,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, with_text:
     chosen = F.broadcast(labelled_sample(labels, sample))  # two classes of about ``sample`` rows
     known = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "curve")
     counts = ngram_counts(word_counts(known.filter("NOT curve")), ORDER)
-    shared = spark.sparkContext.broadcast(LetterModel(counts))
+    shared = send(spark, LetterModel(counts))
     curve = known.filter("curve").select(F.struct("toxic").alias("doc"), "text")
     fit = features_of(curve, shared).select("doc.toxic", "mean", "window", "top").collect()  # a fold of the sample
     x = np.array([r[1:] for r in fit], float).reshape(-1, 3)
