@@ -49,6 +49,8 @@ WIDE = 32
 SKETCH = 8
 #: Rows of a column that all its rows are paired with first.
 LEADERS = 4
+#: So many ids, some 64 MB in memory, are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 #: Rows handled at once.
 STEP_ROWS = 500
@@ -428,14 +430,24 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     return linked.unionByName(alone)
 
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def of_checked_size(ids: DataFrame, most: int) -> DataFrame:
+    """``ids``, to be broadcast if they were counted and are at most ``most``; else as Spark joins them."""
+    ids = cut_lineage(ids, "ngram-ids")
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def without_near_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """One document of each group, the one of least id, with the columns of ``docs``; rows without words all stay.
 
-    Rows of one id are one document. Rows without an id stay if nothing with an id is like them.
+    Rows of one id are one document. Rows without an id stay if nothing with an id is like them. Up to ``broadcast_ids``
+    ids to drop go to the texts, so that no text is shuffled; beyond that the texts are shuffled once.
     """
     found = cut_lineage(near_duplicates(docs.select("doc_id", "text"), **options), "ngram-components")
     dropped = found.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*map(named, docs.columns))
+    again = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = of_checked_size(again, broadcast_ids)
+    kept = docs.join(of_checked_size(dropped, broadcast_ids), "doc_id", "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return kept.select(*map(named, docs.columns))

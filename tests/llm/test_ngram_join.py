@@ -142,3 +142,13 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_to_drop_by_either_join(make_docs):
+    """Small sets of ids go to the texts, others meet them in a shuffle; rows of one id and rows without one included."""
+    copy = " ".join(f"a{i}" for i in range(30))
+    rows = [(4, copy), (2, copy + " end"), (9, "one of its own"), (9, "another text"), (None, "no id here"), (7, ""), (7, None), (8, copy)]
+    sent, met = (nj.without_near_duplicates(make_docs(rows), broadcast_ids=n) for n in (10, 0))
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    for kept in (sent, met):
+        assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 7, 7, 9]
