@@ -65,7 +65,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not mounted")
