@@ -156,8 +156,17 @@ def facet_counts(metrics: DataFrame) -> DataFrame:
     return sets.select(facet.alias("facet"), value.alias("value"), "n").filter(F.col("value").isNotNull())
 
 
+def own_chats(chats: DataFrame, user_id: int, automation_runs: DataFrame) -> DataFrame:
+    """A user's chats that are neither deleted nor runs of an automation (``chat_id``)."""
+    own = chats.filter((F.col("user_id") == user_id) & ~F.coalesce("deleted", F.lit(False)))
+    return own.join(automation_runs.select("chat_id"), "chat_id", "left_anti")
+
+
 def search_user_chats(chats: DataFrame, messages: DataFrame, parts: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """Title hits first, then chats with a text hit; each chat once, newest first."""
+    """Title hits first, then chats with a text hit; each chat once, newest first.
+
+    All ``chats`` are searched; ``own_chats`` are those that a user may find.
+    """
     needle = F.lit(text.lower())
     titled = chats.filter(F.contains(F.lower("title"), needle)).select(
         "chat_id", "title", "updated_at", F.lit(0).alias("tier"), F.lit(None).cast("string").alias("matched_text")

@@ -195,6 +195,16 @@ def _(t):
     return cr.search_user_chats(chats(t), msgs(t), parts(t), "BUILDING")
 
 
+@query("cr_search_own_chats", "CR-10", oracle=f"""WITH c AS (SELECT * FROM ({CHATS_SQL}) WHERE user_id = 7 AND NOT deleted AND chat_id % 7 <> 0),
+    hit AS (SELECT message_id, arg_min(text, (ord, text)) AS matched_text FROM ({PARTS_SQL}) WHERE contains(lower(text), 'part 7') GROUP BY 1),
+    said AS (SELECT chat_id, arg_min(matched_text, message_id) AS matched_text FROM hit JOIN ({MSGS_SQL}) USING (message_id) GROUP BY 1)
+    SELECT chat_id, title, updated_at, 1 AS tier, said.matched_text FROM c JOIN said USING (chat_id)
+    ORDER BY updated_at DESC, chat_id LIMIT 10""")
+def _(t):
+    runs = t.customer.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("chat_id"))
+    return cr.search_user_chats(cr.own_chats(chats(t), 7, runs), msgs(t), parts(t), "Part 7")
+
+
 PLATFORM_SQL = f"""SELECT c.*, CASE WHEN slack_thread IS NOT NULL THEN 'Slack' WHEN teams_thread IS NOT NULL THEN 'Teams'
       WHEN whatsapp_thread IS NOT NULL THEN 'WhatsApp' WHEN telegram_thread IS NOT NULL THEN 'Telegram'
       WHEN mattermost_thread IS NOT NULL THEN 'Mattermost'
