@@ -120,3 +120,12 @@ def test_messages_of_one_instant(spark):
     assert got == {7: None, 8: "p2", 5: "p1", 6: None, 9: "p3", 10: None, 11: "p3"}
     got = {r["message_id"]: r["usage_source"] for r in us.with_message_source(df).collect()}
     assert got[8] == "web" and got[5] == "slack" and got[11] == "b"
+
+
+def test_own_chats_leave_out_others_deleted_and_runs(spark):
+    chats = spark.createDataFrame(
+        [(1, 7, False), (2, 7, None), (3, 7, True), (4, 8, False), (5, 7, False), (6, None, False)], "chat_id long, user_id long, deleted boolean"
+    )
+    runs = spark.createDataFrame([(5,), (5,), (None,)], "chat_id long")
+    assert sorted(r.chat_id for r in cr.own_chats(chats, 7, runs).collect()) == [1, 2]
+    assert cr.own_chats(chats, 9, runs).count() == 0
