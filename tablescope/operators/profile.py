@@ -292,10 +292,13 @@ def metadata_row_count(parts: DataFrame, rows: str) -> DataFrame:
     return parts.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("row_count"))
 
 
-def profile_many(tables: dict[str, DataFrame], approx_distinct: bool = False) -> DataFrame:
-    """Profiles of several tables, stacked under ``table``."""
+def profile_many(
+    tables: dict[str, DataFrame], approx_distinct: bool = False, windows: dict[str, Column] | None = None
+) -> DataFrame:
+    """Profiles of several tables, stacked under ``table``; ``windows`` has predicates of rows to profile, by table."""
     parts = [
-        profile_table(df, approx_distinct).withColumn("table", F.lit(name)) for name, df in tables.items()
+        profile_table(df, approx_distinct, window=(windows or {}).get(name)).withColumn("table", F.lit(name))
+        for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -108,3 +108,9 @@ def test_a_failing_column_is_left_out(spark):
     assert {r["total_count"] for r in prf.profile_table(df.drop("bad"), window=window).collect()} == {1}
     ids = spark.range(5000).selectExpr("id", "cast(id as string) AS s")
     assert prf.profile_table(ids, approx_distinct=True).count() == 2
+
+
+def test_profiles_of_several_tables_keep_their_windows(spark):
+    small = spark.createDataFrame([(1,), (2,), (3,)], "x long")
+    got = prf.profile_many({"a": small, "b": small}, windows={"b": F.col("x") > 1}).collect()
+    assert {r.table: (r.total_count, r.min) for r in got} == {"a": (3, 1.0), "b": (2, 2.0)}
