@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ from tablescope.llm.common import received, send
 
 #: Pages the model is trained on at most, chosen by a hash of url and id.
 SAMPLE = 1_500
-#: Nodes the training pages count as. Pages of one site repeat the same few nodes thousands of times; counted in full
-#: they would drown what is known beforehand.
-WORTH = 400.0
+#: Ridge towards what is known beforehand, for a loss that is a mean over nodes: pages of one site repeat the same few
+#: nodes thousands of times, which are no thousands of observations.
+RIDGE = 1 / 400
 
 # Kinds of elements (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,51 +76,89 @@ FEATURES = 16
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "chars", "linked", "ends", "all_chars", "all_linked")
+    """An element; ``mixed`` if one of its names is of content alone and another is not, ``wraps`` if it holds the page."""
 
-    def __init__(self, tag: str, parent: int, names: frozenset):
-        self.tag, self.parent, self.names = tag, parent, names
+    __slots__ = ("tag", "parent", "names", "mixed", "wraps", "chars", "linked", "ends", "all_chars", "all_linked")
+
+    def __init__(self, tag: str, parent: int, names: frozenset = frozenset(), mixed: bool = False):
+        self.tag, self.parent, self.names, self.mixed, self.wraps = tag, parent, names, mixed, False
         self.chars = self.linked = self.ends = self.all_chars = self.all_linked = 0
 
 
-def names_of(attributes: str) -> frozenset:
+def names_of(attributes: str) -> tuple[frozenset, bool]:
+    """The words of an element's names, and whether some names speak for content and others against it."""
     if "=" not in attributes:
-        return frozenset()
-    found = ATTRIBUTE.findall(attributes)
-    return frozenset(n for _, a, b, c in found for n in NAME.findall((a or b or c).lower()))
+        return frozenset(), False
+    names = [frozenset(NAME.findall(n)) for _, a, b, c in ATTRIBUTE.findall(attributes) for n in (a or b or c).lower().split()]
+    against = [bool(n & OTHER_NAMES) for n in names]
+    mixed = any(against) and any(n & CONTENT_NAMES and not bad for n, bad in zip(names, against))
+    return frozenset().union(*names), mixed
+
+
+def find_wrappers(nodes: list[Node], title: int) -> None:
+    """Marks the elements that hold the page or article itself, whatever their names say.
+
+    A form, or an element of mixed names, does if it has over half of the unlinked text of its article or page; any other
+    named element if it holds the page's first title, too.
+    """
+    over_title, at = set(), title
+    while at > 0:
+        at = nodes[at].parent
+        over_title.add(at)
+    whole: list[int] = []  # the nearest article on the way up, or the page
+    for i, node in enumerate(nodes):
+        within = whole[node.parent] if i else 0
+        whole.append(i if node.tag in CONTENT_TAGS else within)
+        if node.tag in INLINE or not (node.tag == "form" or node.names & OTHER_NAMES):
+            continue
+        most = 2 * (node.all_chars - node.all_linked) > nodes[within].all_chars - nodes[within].all_linked
+        titled = i in over_title or node.tag == "form" and title < 0
+        node.wraps = most and (node.mixed or titled)
+
 
+def parse(html: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
+    """The elements of a page, parents first, and its blocks of text in page order: pieces with the node each is of.
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements of a page, parents first, and its blocks of text in page order with the node each is of."""
-    nodes = [Node("root", -1, frozenset())]
-    blocks: list[tuple[int, str]] = []
-    path: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones carry the node they are in
-    held: list[str] = []
+    Nodes are the block elements and inline ones whose names speak against content. The time is linear in the page: ends
+    without a start, and starts without an end, are told by counts.
+    """
+    nodes = [Node("root", -1)]
+    blocks: list[list[tuple[int, str]]] = []
+    path: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones without a node carry the one they are in
+    opened: Counter = Counter()
+    endless: set[str] = set()  # tags without a further end
+    held: list[tuple[int, str]] = []
     links = at = 0
+    title = -1
 
     def text(piece: str) -> None:
-        held.append(piece)
+        owner = path[-1][1]
+        held.append((owner, piece))
         if links:
-            nodes[path[-1][1]].linked += len(piece.strip())
+            nodes[owner].linked += len(piece.strip())
 
     def flush() -> None:
-        if held:
-            block = " ".join(unescape("".join(held)).split())
-            held.clear()
-            if block:
-                owner = path[-1][1]
-                node = nodes[owner]
-                node.chars += len(block)
-                node.ends += len(SENTENCE.findall(block))
-                blocks.append((owner, block))
+        block = [(owner, unescape("".join(p for _, p in pieces))) for owner, pieces in groupby(held, key=itemgetter(0))]
+        held.clear()
+        for owner, piece in block:
+            nodes[owner].chars += len(" ".join(piece.split()))
+            nodes[owner].ends += len(SENTENCE.findall(piece))
+        if any(piece.strip() for _, piece in block):
+            blocks.append(block)
 
     def close(depth: int) -> None:
         nonlocal links
-        if any(tag not in INLINE for tag, _ in path[depth:]):
+        tags = [tag for tag, _ in path[depth:]]
+        if any(tag not in INLINE for tag in tags):
             flush()
-        links -= sum(tag == "a" for tag, _ in path[depth:])
+        links -= tags.count("a")
+        opened.subtract(tags)
         del path[depth:]
 
+    def start(tag: str, node: int) -> None:
+        path.append((tag, node))
+        opened[tag] += 1
+
     while True:
         match = MARKUP.search(html, at)
         if match is None:
@@ -130,34 +171,41 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = match[2].lower()
         if tag in APART:
-            held.append(" ")
+            held.append((path[-1][1], " "))
         if match[1]:
-            for depth in range(len(path) - 1, 0, -1):
+            for depth in range(len(path) - 1, 0, -1) if opened[tag] else ():
                 if path[depth][0] == tag:
                     close(depth)
                     break
                 if tag in INLINE and path[depth][0] not in INLINE:
                     break
             continue
-        if tag in RAW and match[3].endswith("/>") and any(t in ("svg", "math") for t, _ in path):
+        if tag in RAW and match[3].endswith("/>") and (opened["svg"] or opened["math"]):
             continue  # empty there, as in XML
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+            end = None if tag in endless else re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
             if end:
                 at = end.end()
             elif tag in ("script", "style", "textarea", "title"):
                 at = len(html)
-            held.append(" ")
+            else:
+                endless.add(tag)
+            held.append((path[-1][1], " "))
             continue
         if tag in INLINE:
             if tag in VOID:
-                held.append(" ")
+                held.append((path[-1][1], " "))
             elif not match[3].endswith("/>"):
-                path.append((tag, path[-1][1]))
+                owner = path[-1][1]
+                names, mixed = names_of(match[3])
+                if names & OTHER_NAMES and not mixed and tag not in EMBEDDED:
+                    nodes.append(Node(tag, owner, names))
+                    owner = len(nodes) - 1
+                start(tag, owner)
                 links += tag == "a"
             continue
         closes = CLOSES.get(tag, ()) + ("p",)
-        for depth in range(len(path) - 1, 0, -1):
+        for depth in range(len(path) - 1, 0, -1) if any(opened[c] for c in closes) else ():
             name = path[depth][0]
             if name in closes:
                 close(depth)
@@ -166,13 +214,13 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush()
         if tag in VOID or match[3].endswith("/>"):
             continue
-        # inline elements left open end with the block that starts here
-        while path[-1][0] in INLINE:
-            links -= path[-1][0] == "a"
-            path.pop()
-        parent = path[-1][1]
-        nodes.append(Node(tag, parent, names_of(match[3])))
-        path.append((tag, len(nodes) - 1))
+        # inline elements left open end with the block that starts here, unless they are nodes
+        while path[-1][0] in INLINE and path[-1][1] == path[-2][1]:
+            close(len(path) - 1)
+        nodes.append(Node(tag, path[-1][1], *names_of(match[3])))
+        start(tag, len(nodes) - 1)
+        if tag == "h1" and title < 0:
+            title = len(nodes) - 1
     close(1)
     flush()
     for node in reversed(nodes):
@@ -181,13 +229,16 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if node.parent >= 0:
             nodes[node.parent].all_chars += node.all_chars
             nodes[node.parent].all_linked += node.all_linked
+    find_wrappers(nodes, title)
     return nodes, blocks
 
 
 def marking(node: Node) -> int:
     """What a node's tag and names say of it."""
-    if node.tag in OTHER_TAGS or node.names & OTHER_NAMES and node.tag not in CONTENT_TAGS and node.tag != "body":
+    if node.tag in OTHER_TAGS and not (node.tag == "form" and node.wraps):
         return MARKED_OTHER
+    if node.names & OTHER_NAMES and node.tag != "body" and not node.wraps and not (node.mixed and node.tag in CONTENT_TAGS):
+        return MARKED_OTHER  # an article, too, if it is called a comment
     if node.tag in CONTENT_TAGS or node.names & CONTENT_NAMES:
         return MARKED_CONTENT
     return PLAIN
@@ -268,23 +319,22 @@ class TreeModel:
     def main_text(self, html: str) -> str:
         nodes, blocks = parse(html)
         marginals = self.marginals(nodes)
-        return "\n".join(block for owner, block in blocks if marginals[owner] > 0.5)
+        kept = ("".join(piece for owner, piece in block if marginals[owner] > 0.5) for block in blocks)
+        return "\n".join(filter(None, (" ".join(block.split()) for block in kept)))
 
 
 def labelled_pages(pages: DataFrame, html: str = "html") -> int:
-    """How many pages ``marked_labels`` can label; the others need not be parsed that have no article at all."""
+    """How many pages ``marked_labels`` can label, by their start tags: this sizes the sample and needs no parse."""
+    text = F.lower(F.col(html))
+    one = F.regexp_count(text, F.lit(r"<article[\s>]")) == 1
+    return pages.filter(one & text.rlike(rf"<({'|'.join(sorted(OTHER_TAGS))})[\s>/]")).count()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sum(marked_labels(parse(page.as_py())[0]) is not None for page in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
-
-    candidates = pages.select(F.col(html).alias("html")).filter(F.lower("html").contains("<article"))
-    return candidates.mapInArrow(counted, "found long").agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
 
+def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, ridge: float = RIDGE) -> TreeModel:
+    """The model from at most about ``sample`` labelled pages; from prior counts alone if none are labelled.
 
-def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> TreeModel:
-    """The model from at most about ``sample`` labelled pages; from prior counts alone if none are labelled."""
+    The mean loss over nodes plus ``ridge`` times the squared distance from the prior; few nodes count once at most.
+    """
     total = labelled_pages(pages, html)
     part = F.pmod(F.xxhash64(*[F.col(c) for c in ("url", "page_id") if c in pages.columns]), F.lit(1 << 20))
     chosen = pages.filter(part < math.ceil((1 << 20) * min(1.0, sample / max(1, total)))).select(html)
@@ -311,7 +361,7 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> TreeMod
     got = chosen.mapInArrow(labelled, "features array<double>, label int, edge int").groupBy("features", "label", "edge").count()
     table = got.toArrow()  # nodes of the sample
     times = table.column("count").to_numpy().astype(float)
-    times = times * min(1.0, WORTH / max(1.0, times.sum()))
+    times = times * min(1.0, 1 / (ridge * max(1.0, times.sum())))
     labels = table.column("label").to_numpy().astype(float)
     x = np.array(table.column("features").to_pylist(), float).reshape(-1, FEATURES)
     edge = table.column("edge").to_numpy()

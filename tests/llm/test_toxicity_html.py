@@ -168,6 +168,44 @@ def test_formulas_drawings_and_fallbacks_stay(pages):
     ]
 
 
+def test_whole_pages_in_a_form_and_mixed_names(pages):
+    """What holds the page or the body of its article is content, whatever it is called; its namesakes are not."""
+    model = hc.train(pages)
+    story = "".join(f"<p>A {w} long paragraph of a story, with some words in it. It goes on.</p>" for w in ("first", "second", "third"))
+    want = "The title of it\n" + story.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+    nav = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>"
+    title = "<h1>The title of it</h1>"
+    for html in (
+        f"<form id=aspnetForm>{nav}{title}{story}<input name=q></form>",
+        f"{nav}<div class='header-layout content'>{title}{story}</div>",
+        f"{nav}<article>{title}<div class='entry-content post-tags story-header'>{story}</div></article><footer>All rights.</footer>",
+        f"<div class='has-sidebar'>{nav}<article>{title}{story}</article><div class='sidebar'>Popular posts, of the week.</div></div>",
+        f"<article>{title}{story}</article><div class='post-comments'><p>I liked it, very much.</p></div><form><p>Subscribe now, it is free.</p></form>",
+        f"<article>{title}{story}</article><div class='content-comments'><article class=comment><p>{'I liked it, very much. ' * 40}</p></article></div>",
+    ):
+        assert model.main_text(f"<html><body>{html}</body></html>") == want, html
+
+
+def test_inline_parts(pages):
+    """Adverts and share bars in inline elements go, also around blocks; other inline elements stay."""
+    model = hc.train(pages)
+    body = (
+        "<p>A long paragraph <span class='ad'>Buy now!</span> of a <span class='hl'>story</span>, with words in it.<span class='share-buttons'><a href=/x>Share</a></span></p>"
+        "<span class='advert'><div>Our great offer, for you.</div></span><p>Another paragraph follows here, as <a class='text-link' href=/y>they</a> do.</p>"
+    )
+    got = model.main_text(PAGE.format(title="The title of it", body=body))
+    assert got == "The title of it\nA long paragraph of a story, with words in it.\nAnother paragraph follows here, as they do."
+
+
+def test_many_tags_without_their_other_half():
+    import time
+
+    before = time.perf_counter()
+    for html in ("<div>" * 50_000 + "</section>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<button>" * 20_000, "<h1>" * 50_000):
+        assert hc.parse(html + "<p>x")[1]
+    assert time.perf_counter() - before < 20
+
+
 def test_pages_without_labels_take_no_part_of_the_sample(spark, pages):
     others = [(10_000 + i, f"http://o/{i}", f"<div>page {i}</div>", "x") for i in range(2000)]
     alone, among = hc.train(pages, sample=60), hc.train(pages.unionByName(spark.createDataFrame(others, pages.schema)), sample=60)
