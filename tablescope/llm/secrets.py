@@ -2,8 +2,10 @@
 
 Base patterns report assignments, access keys and hexadecimal runs. Beyond these, base64 and hexadecimal runs are only
 candidates: they are decoded, and reported if what they hold is built like a secret, i.e. nested DER lengths that fill
-the bytes exactly and have the fields of a private key, the length-prefixed fields of an OpenSSH private key, or a
-signed token whose header and payload are JSON objects and whose header names an algorithm.
+the bytes exactly and have the fields of a private key, the length-prefixed fields of an OpenSSH private key, a block
+with such a key between its marks, or one of these encoded once more; a base64 run may be wrapped over lines. Tokens are
+reported whose header is a JSON object that names an algorithm: signed ones with a JSON payload, and encrypted ones of
+five parts whose header names the content's encryption, too. Blocks of armoured packets have a secret key packet first.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds in their order at equal starts.
-KINDS = (*BASE_KINDS, "signed_token", "key_block", "key_base64", "key_hex")
+KINDS = (*BASE_KINDS, "signed_token", "encrypted_token", "key_block", "key_base64", "key_hex")
 
 ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -28,15 +30,21 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones may be passed over
 
-# a DER sequence starts with byte 0x30, that is M in base64; an OpenSSH key with its name
-BASE64_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
-HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
+# runs are maximal, so each text is read once
+BASE64_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{38,}+={0,2}")
+# the first line of a wrapped key: a DER sequence starts with byte 0x30, that is M in base64, others with their names
+FIRST_LINE = re.compile(
+    r"(?<![A-Za-z0-9+/])(?:M[A-Z]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)[A-Za-z0-9+/]{14,}+(?=\r?\n)"
+)
+NEXT_LINE = re.compile(r"\r?\n[\x20\t]*+([A-Za-z0-9+/]++={0,2})")
+HEX_CANDIDATE = re.compile(r"(?<![0-9A-Fa-f])(?:30|2[Dd]2[Dd]2[Dd]2[Dd]2[Dd]42)[0-9A-Fa-f]{52,}+")
 # the body has no run of five hyphens, so each text is read once, however many blocks never end
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:[^-]|-(?!----))*+)-----END \1-----")
 # what strings of JSON and of programs write for a line break and for a slash, escaped once or more
 ESCAPED_BREAK = re.compile(r"\\+(?:[nrt]|\r?\n)")
 ESCAPED_SLASH = re.compile(r"\\+/")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+# base64 of an opening brace, after white space or not, and what may follow it
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])((?:e[wy]|I[ACH]|C[Qgn]|DQ)[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]*+)(?:\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++))?")
 
 SEQUENCE, INTEGER, BITS, OCTETS, NULL, OBJECT_ID = 0x30, 0x02, 0x03, 0x04, 0x05, 0x06
 OPENSSH_NAME = b"openssh-key-v1\0"
@@ -119,14 +127,81 @@ def is_private_key(data: bytes | None) -> bool:
     return bool(data) and (is_private_der(data) or is_private_openssh(data))
 
 
+def is_secret_packet(data: bytes | None) -> bool:
+    """Whether armoured packets start with a secret key (tag 5, in the old or the new format) that fits in them."""
+    if not data or len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, first = data[0] & 0x3F, data[1]
+        if first >= 224:  # a length in parts is not used for keys, except for 255 with four octets
+            head, size = (6, int.from_bytes(data[2:6], "big")) if first == 255 else (0, 0)
+        else:
+            head, size = (2, first) if first < 192 else (3, ((first - 192) << 8) + data[2] + 192)
+    else:
+        tag, wide = data[0] >> 2 & 0xF, data[0] & 3
+        head, size = (1 + (1 << wide), int.from_bytes(data[1 : 1 + (1 << wide)], "big")) if wide < 3 else (0, 0)
+    return tag == 5 and size > 6 and 0 < head and head + size <= len(data) and data[head] in (3, 4, 5, 6)
+
+
 def is_private_block(body: str) -> bool:
     """Whether the lines between the marks of a PEM block are a private key, or a ciphertext whose header says so.
 
-    Line breaks may be escaped. Header lines have colons.
+    Line breaks may be escaped. Header lines have colons, a checksum line of armoured packets starts with an equals sign.
     """
     lines = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", body)).splitlines()
+    lines = [line for line in lines if not line.startswith("=")]
     data = from_base64("".join("".join(line for line in lines if ":" not in line).split()))
-    return is_private_key(data) or bool(data) and any(":" in line and "ENCRYPTED" in line for line in lines)
+    return is_private_key(data) or is_secret_packet(data) or bool(data) and any(":" in line and "ENCRYPTED" in line for line in lines)
+
+
+def holds_key(data: bytes | None, again: bool = True) -> bool:
+    """Whether decoded bytes are a private key, a block of one, or, if ``again``, either of them encoded once more."""
+    if not data:
+        return False
+    if is_private_key(data):
+        return True
+    if data.startswith(b"-----BEGIN ") and data.isascii():
+        return any(is_private_block(m[2]) for m in BLOCK.finditer(data.decode()))
+    if not again or data[:1] not in (b"M", b"b", b"L", b"3", b"2") or not data.isascii():
+        return False
+    bare = "".join(data.decode().split())
+    if HEX_CANDIDATE.fullmatch(bare):
+        return len(bare) % 2 == 0 and holds_key(bytes.fromhex(bare), False)
+    return holds_key(from_base64(bare), False)
+
+
+def der_size(data: bytes | None) -> int:
+    """Bytes of the DER value that ``data`` starts with, as its length says; 0 if it can't be read."""
+    if not data or len(data) < 6 or data[0] != SEQUENCE:
+        return 0
+    more = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + more + int.from_bytes(data[2 : 2 + more], "big") if 1 <= more <= 4 else 0 if more else 2 + data[1]
+
+
+def wrapped_key(text: str, start: int, end: int) -> int:
+    """The end of a key in base64 lines of equal width and a last one, whose first line is given; 0 if there is none.
+
+    A DER key's own length tells where it ends; other keys end with the first line of another width, or before it.
+    """
+    width = end - start
+    head = from_base64(text[start : start + width // 4 * 4])
+    size = der_size(head)
+    need = -(-size * 4 // 3)
+    if head[0] == SEQUENCE and not width < need < len(text) - start:
+        return 0
+    parts, ends, have = [text[start:end]], [end], width
+    while (line := NEXT_LINE.match(text, ends[-1])) and not 0 < need <= have:
+        parts.append(line[1])
+        ends.append(line.end())
+        have += len(line[1].rstrip("="))
+        if len(line[1]) != width:
+            break
+    if need:
+        return ends[-1] if have == need and holds_key(from_base64("".join(parts))) else 0
+    for count in (len(parts), len(parts) - 1):
+        if count > 1 and holds_key(from_base64("".join(parts[:count]))):
+            return ends[count - 1]
+    return 0
 
 
 def json_object(text: str) -> dict | None:
@@ -144,20 +219,25 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        for m in SIGNED.finditer(text):
-            header = json_object(m[1])
-            if header and isinstance(header.get("alg"), str) and json_object(m[2]) is not None:
-                found.append((m.start(), m.end(), "signed_token"))
+    for m in TOKEN.finditer(text) if "." in text else ():
+        header = json_object(m[1])
+        if not header or not isinstance(header.get("alg"), str):
+            continue
+        if m[4] and isinstance(header.get("enc"), str):
+            found.append((m.start(), m.end(), "encrypted_token"))
+        elif m[2] and json_object(m[2]) is not None:
+            found.append((m.start(), m.end(3), "signed_token"))
     if "-----BEGIN " in text:
         found += [(m.start(), m.end(), "key_block") for m in BLOCK.finditer(text) if is_private_block(m[2])]
-    found += [
-        (m.start(), m.end(), "key_base64") for m in BASE64_CANDIDATE.finditer(text) if is_private_key(from_base64(m[0]))
-    ]
+    blocks = [(start, end) for start, end, kind in found if kind == "key_block"]
+    found += [(m.start(), m.end(), "key_base64") for m in BASE64_CANDIDATE.finditer(text) if holds_key(from_base64(m[0]))]
+    for m in FIRST_LINE.finditer(text):
+        if not any(start < m.start() < end for start, end in blocks) and (end := wrapped_key(text, m.start(), m.end())):
+            found.append((m.start(), end, "key_base64"))
     found += [
         (m.start(), m.end(), "key_hex")
         for m in HEX_CANDIDATE.finditer(text)
-        if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))
+        if len(m[0]) % 2 == 0 and holds_key(bytes.fromhex(m[0]))
     ]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

@@ -116,6 +116,60 @@ def test_block_that_never_ends():
     assert [s[1] - s[0] for s in spans if s[2] == "key_block"] == [len(key)]
 
 
+def test_keys_encoded_twice():
+    """The base64 or hexadecimal form of a block, and base64 of base64, each found in full."""
+    for inner in (pem("RSA ", wrapped(RSA)), pem("", wrapped(PKCS8)), B64["ec"], "\n".join(wrapped(OPENSSH))):
+        for kind, text in (("key_base64", base64.b64encode(inner.encode()).decode()), ("key_hex", inner.encode().hex())):
+            if kind == "key_hex" and not inner.startswith("-----"):
+                continue
+            spans = [s for s in secrets.spans_of(f"tls.key: {text} end") if s[2] not in secrets.BASE_KINDS]
+            assert spans == [(9, 9 + len(text), kind)], (kind, inner[:30])
+    public = pem("", wrapped(PUBLIC)).replace("PRIVATE", "PUBLIC")
+    assert kinds(base64.b64encode(public.encode()).decode()) == []
+    assert kinds(base64.b64encode(b"a plain sentence, of no use to anybody at all.").decode()) == []
+
+
+def test_wrapped_body_without_marks():
+    for data in (RSA, PKCS8, OPENSSH, pem("RSA ", wrapped(RSA)).encode()):
+        for breaks in ("\n", "\r\n", "\n    "):
+            text = breaks.join(wrapped(data))
+            for after in ("", " end", "\n\nand more", ":", "\nword" if data is not OPENSSH else "\n"):
+                spans = [s for s in secrets.spans_of(f"key: {text}{after}") if s[2] not in secrets.BASE_KINDS]
+                assert spans == [(5, 5 + len(text), "key_base64")], (data[:20], breaks, after)
+    two = "\n".join(wrapped(RSA) + wrapped(PKCS8))
+    assert kinds(two) == ["key_base64"] * 2
+    assert kinds("\n".join(wrapped(PUBLIC))) == [] and kinds("\n".join(wrapped(RSA)[:-1])) == []
+    assert kinds("\n".join(["MI" + "A" * 62] * 20_000)) == []
+
+
+def url64_text(x):
+    return base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+
+
+def test_tokens_of_other_forms():
+    body = url64({"sub": "1"})
+    for header in ('{ "alg": "HS256"}', '{\n "alg": "HS256"}', '{\t"alg":"none"}', ' {"alg": "HS256"}', '\n{"alg": "HS256"}', '\r\n{"alg": "x"}'):
+        token = f"{url64_text(header)}.{body}.c2lnbmF0dXJl"
+        assert [s for s in secrets.spans_of(f"Bearer {token} x") if s[2] == "signed_token"] == [(7, 7 + len(token), "signed_token")], header
+    sealed = f"{url64({'alg': 'RSA-OAEP', 'enc': 'A256GCM'})}.a2V5.aXY.Y2lwaGVy.dGFn"
+    direct = f"{url64({'alg': 'dir', 'enc': 'A256GCM'})}..aXY.Y2lwaGVy.dGFn"
+    for token in (sealed, direct):
+        assert [s for s in secrets.spans_of(f"see {token}, ok") if s[2] == "encrypted_token"] == [(4, 4 + len(token), "encrypted_token")]
+    assert kinds(sealed.replace(url64({"alg": "RSA-OAEP", "enc": "A256GCM"}), url64({"alg": "RSA-OAEP"}))) == []
+    assert kinds("eyes.are.everywhere ewer.of.water I.am.here " * 50) == []
+
+
+def test_blocks_of_armoured_packets():
+    body = bytes([4]) + bytes(11 * i % 253 for i in range(299))
+    old = bytes([0x95]) + len(body).to_bytes(2, "big") + body + b"\xb4\x02me"
+    new = bytes([0xC5, 192 + (len(body) - 192 >> 8), len(body) - 192 & 255]) + body
+    user = bytes([0x99]) + len(body).to_bytes(2, "big") + body  # a public key packet
+    mark = "-----{} PGP PRIVATE KEY BLOCK-----"
+    for data, want in ((old, ["key_block"]), (new, ["key_block"]), (user, []), (old[:200], [])):
+        text = "\n".join([mark.format("BEGIN"), "Version: 2.1", "", *wrapped(data), "=njUN", mark.format("END")])
+        assert kinds(text) == want
+
+
 def test_base_spans(make_docs, odd_rows):
     texts = [
         "password=token:abcdefghijklmnop", "TOKEN = 'abcdefghijkl' apikey:short api_key:\"0123456789abcdef0123\"",
