@@ -54,7 +54,8 @@ def bucket_series_column(as_of: Column, unit: str, value: int, granularity: str)
 
 
 CHART_BUCKETS = {"hour": 24, "day": 30, "month": 24}
-MAX_BUCKETS = 2000
+#: Buckets a chart may ask for unless its caller says otherwise.
+CHART_MOST = 2000
 
 
 def _truncate(when: dt.datetime, unit: str) -> dt.datetime:
@@ -89,8 +90,8 @@ def chart_granularity(unit: str, value: int, as_of: dt.datetime) -> str:
     return unit
 
 
-def check_bucket_count(unit: str, value: int, granularity: str, as_of: dt.datetime) -> int:
+def check_bucket_count(unit: str, value: int, granularity: str, as_of: dt.datetime, most: int = CHART_MOST) -> int:
     count = bucket_count(unit, value, granularity, as_of)
-    if count > MAX_BUCKETS:
-        raise ValueError(f"{count} {granularity} buckets asked for, at most {MAX_BUCKETS} are allowed")
+    if count > most:
+        raise ValueError(f"{count} {granularity} buckets asked for, at most {most} are allowed")
     return count

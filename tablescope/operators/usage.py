@@ -112,9 +112,14 @@ def combine_usage(*parts: DataFrame) -> DataFrame:
     return out.groupBy("date").agg(*_sums([*COUNT_COLUMNS, *SUM_COLUMNS]))
 
 
-def fill_buckets(usage: DataFrame, as_of: Column, unit: str, value: int, granularity: str) -> DataFrame:
-    """One row per bucket of the lookback, zeros where nothing happened."""
+def fill_buckets(
+    usage: DataFrame, as_of: Column, unit: str, value: int, granularity: str, most: int | None = None
+) -> DataFrame:
+    """One row per bucket of the lookback, zeros where nothing happened; an error if there are more than ``most``."""
     series = bucket_series_column(as_of, unit, value, granularity)
+    if most is not None:
+        asked = F.format_string(f"%d {granularity} buckets asked for, at most {most} are allowed", F.size(series))
+        series = F.when(F.size(series) <= most, series).otherwise(F.raise_error(asked))
     dates = usage.sparkSession.range(1).select(F.explode(series).alias("_start"))
     dates = dates.select(bucket_label("_start", granularity).alias("date"))
     measures = [c for c in usage.columns if c != "date"]

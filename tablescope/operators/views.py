@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.operators.chats import first_user_source
@@ -48,7 +48,10 @@ def events_view(events: DataFrame, users: DataFrame, project) -> DataFrame:
     return rows.join(named, rows["actor_user_id"] == F.col("_u"), "left").drop("_u")
 
 
-def register_views(views: dict[str, DataFrame]) -> None:
-    """Make the scoped frames queryable by name; nothing outside the project is reachable through them."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+def scoped_sql(spark: SparkSession, text: str, views: dict[str, DataFrame]) -> DataFrame:
+    """Result of SQL that names the scoped frames in braces, as ``{v_messages}``.
+
+    The names hold for this statement alone: nothing stays in the session, so two projects can be asked at once and neither
+    replaces or sees the other's views.
+    """
+    return spark.sql(text, **views)

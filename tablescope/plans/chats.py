@@ -369,9 +369,8 @@ USERS_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS user_id, n_name AS user_name
 def _(t):
     users = t.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS user_id", "n_name AS user_name")
     view = vw.messages_view(parts(t), msgs(t), chats(t), feedback(t), users, F.lit(1))
-    vw.register_views({"v_messages": view})
-    return t.spark.sql("""SELECT message_id, ord, chat_id, title, user_name, role, chat_source, vote, explanation
-        FROM v_messages""")
+    return vw.scoped_sql(t.spark, """SELECT message_id, ord, chat_id, title, user_name, role, chat_source, vote, explanation
+        FROM {v_messages}""", {"v_messages": view})
 
 
 @query("vw_memories", "VW-03", oracle=f"""SELECT doc_id AS memory_id, doc_id * 3 AS chat_id, lang AS category FROM documents

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.operators import catalog as cat
+from tablescope.operators import partitions as pt
 from tablescope.operators import profile as prf
 from tablescope.plans.registry import TABLES, query
+from tablescope.sources.shared import cut_lineage
 
 # columns per profiled table: (name, reported type, kind); kind n=numeric d=date s=text k=foreign key
 ORDERS = [
@@ -88,6 +90,18 @@ def _(t):
     return out.withColumn("distinct_count", F.when(F.col("distinct_count") <= 50, F.col("distinct_count")))
 
 
+@query("prf_partition_refresh", "PRF-13", "PRF-15", oracle=f"""SELECT * EXCLUDE (top_values)
+    REPLACE (CASE WHEN distinct_count <= 50 THEN distinct_count END AS distinct_count) FROM ({profile_sql("orders", ORDERS)})""")
+def _(t):
+    # statistics of all months but the newest are stored; the newest is scanned alone and merged with them
+    month = F.date_format("o_orderdate", "yyyyMM")
+    months = cut_lineage(t.orders.select(month.alias("part")).distinct(), "months")
+    newest = months.agg(F.max("part")).first()[0]
+    stored = cut_lineage(pt.partition_statistics(t.orders.filter(month < newest), month), "statistics")
+    out = pt.merge_statistics(pt.refresh_statistics(stored, t.orders, month, months))
+    return out.withColumn("distinct_count", F.when(F.col("distinct_count") <= 50, F.col("distinct_count")))
+
+
 @query("prf_many", "PRF-22",
        oracle=" UNION ALL ".join(f"({profile_sql(n, c, extra=repr(n) + ' AS table_name, ')})"
                                  for n, c in [("orders", ORDERS), ("customer", CUSTOMER)]))

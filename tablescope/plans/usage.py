@@ -128,13 +128,13 @@ def filled_sql(unit, value, granularity):
         SELECT d.date, {', '.join(f'coalesce(u.{c}, 0) AS {c}' for c in measures)} FROM d LEFT JOIN u USING (date)"""
 
 
-def filled(t, unit, value, granularity):
+def filled(t, unit, value, granularity, most=None):
     now, price = as_of(t), prices(t)
     said = us.in_lookback(messages(t), now, unit, value)
     ran = us.in_lookback(inferences(t), now, unit, value)
     usage = us.combine_usage(us.message_usage(us.with_cost(said, price), granularity),
                              us.inference_usage(us.with_cost(ran, price), granularity))
-    return rounded(us.fill_buckets(usage, now, unit, value, granularity))
+    return rounded(us.fill_buckets(usage, now, unit, value, granularity, most))
 
 
 @query("us_gap_filled_hours", "US-07", "US-04", oracle=filled_sql("hour", 24, "hour"))
@@ -152,8 +152,7 @@ def _(t):
     # the choice depends on the period alone; any instant inside the data gives the same one
     at = dt.datetime(2024, 1, 30, 12)
     granularity = dates.chart_granularity("hour", 200, at)
-    dates.check_bucket_count("hour", 200, granularity, at)
-    return filled(t, "hour", 200, granularity)
+    return filled(t, "hour", 200, granularity, dates.CHART_MOST)
 
 
 PROVIDER_ASOF = f"""WITH m AS ({MESSAGES_SQL}) SELECT a.message_id, a.user_id, a.role, a.source, a.chat_id, a.created_at,

@@ -11,6 +11,7 @@ from tablescope.sources import shared
 from tablescope.operators import chats as cr
 from tablescope.operators import feedback as fb
 from tablescope.operators import usage as us
+from tablescope.operators import views as vw
 
 NOW = dt.datetime(2024, 5, 31, 15, 20)
 
@@ -30,6 +31,22 @@ def test_bucket_counts():
     assert dates.bucket_count("month", 2, "day", NOW) == 61
     with pytest.raises(ValueError):
         dates.check_bucket_count("day", 100, "hour", NOW)
+    assert dates.check_bucket_count("day", 100, "hour", NOW, most=5000) > 2000
+
+
+def test_too_many_buckets_are_an_error(spark):
+    usage = spark.createDataFrame([("2024-01-01", 3)], "date string, n long")
+    now = F.to_timestamp(F.lit("2024-01-31 12:00:00"))
+    assert us.fill_buckets(usage, now, "day", 31, "day", most=31).count() == 31
+    with pytest.raises(Exception, match="31 day buckets asked for, at most 30 are allowed"):
+        us.fill_buckets(usage, now, "day", 31, "day", most=30).collect()
+
+
+def test_views_of_two_projects_side_by_side(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "project_id int, x string")
+    one, two = (vw.scoped_sql(spark, "SELECT x FROM {v_rows}", {"v_rows": vw.project_view(rows, p, ["x"])}) for p in (1, 2))
+    assert [r.x for r in one.collect()] == ["a"] and [r.x for r in two.collect()] == ["b"]
+    assert not spark.catalog.tableExists("v_rows")
 
 
 def reconcile(spark, existing=(), recorded=(), resolved=(), dismissed=()):
