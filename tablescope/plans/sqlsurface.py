@@ -83,6 +83,14 @@ sql("sql_set_operations", "SQL-20", spark="""(SELECT l_partkey AS k FROM lineite
     EXCEPT SELECT p_partkey FROM part WHERE p_brand = 'Brand#3'""")
 
 
+sql("sql_window_functions", "SQL-20", spark="""SELECT l_orderkey, l_linenumber, rank() OVER w AS rk, dense_rank() OVER w AS dr,
+    CAST(ntile(2) OVER f AS INTEGER) AS half, lag(l_partkey) OVER f AS part_before, first_value(l_suppkey) OVER f AS first_supplier,
+    round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
+        ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_returnflag),
+        f AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)""")
+
+
 @query("sql_windows", "SQL-20", oracle="""SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr,
     round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
