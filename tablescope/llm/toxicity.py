@@ -5,12 +5,12 @@ its word. Orders above ``SHARED_ORDER`` have counts of their own class; their in
 shared by both classes, so an expression that neither class has seen enough of is judged alike by both and says
 nothing. A word's evidence is the difference of its log-likelihoods. A document's are length-normalised: the mean over
 all its words, over the most toxic window of words, and over its most toxic words. A logistic curve over these, fitted
-on a fold of labelled documents that the counts leave out, is the score.
+on a fold of labelled documents that the counts leave out, is the score. Counts and curve are of all labelled documents;
+Spark sums both, and only the counts of distinct n-grams and the sums of a Newton step reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -24,13 +24,12 @@ from pyspark.sql.types import StructType
 
 from tablescope.llm.common import named, received, send
 from tablescope.llm.ngram_join import STEP, _mixed
+from tablescope.sources.shared import cut_lineage
 
 ORDER = 6
 SHARED_ORDER = 2
 #: Folds by ``crc32(id as text)``: 0 is held out, this one fits the curve, the others give the counts.
 FOLDS, CURVE_FOLD = 5, 4
-#: Labelled documents of each class the model is fitted on at most, chosen by a hash of their ids.
-SAMPLE = 20_000
 WINDOW = 4
 TOP = 3
 #: Words a task keeps the evidence of.
@@ -45,8 +44,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
-    """``doc_id, toxic, curve`` of about ``most`` labelled documents of each class, none of them held out.
+def labelled(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic, curve`` of all labelled documents that are not held out.
 
     One row per id; an id with both labels counts as toxic. Rows without id or label are left out.
     """
@@ -57,13 +56,7 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
         .withColumn("fold", fold(F.col("doc_id")))
         .filter("fold <> 0")
     )
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for label in (0, 1):
-        limit = math.ceil((1 << 20) * min(1.0, most / max(1, counts.get(label, 0))))
-        chosen = chosen | ((F.col("toxic") == label) & (part < limit))
-    return known.filter(chosen).select("doc_id", "toxic", (F.col("fold") == CURVE_FOLD).alias("curve"))
+    return known.select("doc_id", "toxic", (F.col("fold") == CURVE_FOLD).alias("curve"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -119,7 +112,7 @@ def ngram_counts(words: DataFrame, order: int) -> pa.Table:
         .groupBy("gram")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     )
-    return rows.toArrow()  # of the words of a bounded sample
+    return rows.toArrow()  # distinct n-grams, which grow far slower than the texts: 1.5 times in five times the labels
 
 
 def _longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -247,15 +240,37 @@ class LetterModel:
             yield sums[-1] / len(words), window, top
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and scale of the columns of ``x`` and the weights (constant first) of a logistic curve, by Newton steps."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    w = np.zeros(z.shape[1])
+FEATURES = ("mean", "window", "top")
+
+
+def exact_sums(rows: DataFrame, values: list[Column]) -> np.ndarray:
+    """Sums of ``values`` over ``rows``: decimals, so that they do not depend on the order of the rows."""
+    sums = rows.agg(*[F.sum(v.cast("decimal(28,12)")).alias(f"s{i}") for i, v in enumerate(values)]).first()
+    return np.array([float(v or 0) for v in sums])
+
+
+def fit_logistic(
+    points: DataFrame, count: int, ridge: float = 1e-2, rounds: int = 50
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and scale of the features of the ``count`` rows of ``points`` (``toxic`` and the features), and the weights
+    (constant first) of a logistic curve. Each Newton step sums its gradient and second derivatives over all rows."""
+    mean = exact_sums(points, [F.col(c) for c in FEATURES]) / count
+    off = [F.col(c) - float(m) for c, m in zip(FEATURES, mean)]
+    scale = np.sqrt(exact_sums(points, [o * o for o in off]) / count) + 1e-9
+    z = [F.lit(1.0), *(o / float(s) for o, s in zip(off, scale))]
+    places = [(i, j) for i in range(len(z)) for j in range(i + 1)]
+    w = np.zeros(len(z))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) + ridge * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), gradient)
+        line = sum((float(v) * x for v, x in zip(w[1:], z[1:])), F.lit(float(w[0])))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
+        held = points.select("toxic", p.alias("p"), *(x.alias(f"z{i}") for i, x in enumerate(z)))
+        p, at = F.col("p"), [F.col(f"z{i}") for i in range(len(z))]
+        sums = exact_sums(held, [*((p - F.col("toxic")) * x for x in at), *(p * (1 - p) * at[i] * at[j] for i, j in places)])
+        curved = ridge * np.eye(len(z))
+        for (i, j), v in zip(places, sums[len(z) :]):
+            curved[i, j] += v
+            curved[j, i] += v if i != j else 0.0
+        step = np.linalg.solve(curved, sums[: len(z)] + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -270,41 +285,42 @@ def features_of(rows: DataFrame, model, with_text: bool = False) -> DataFrame:
         for batch in batches:
             found = np.array(list(letters.features(t.as_py() for t in batch.column(1))), float).reshape(-1, 3).T
             columns = [*batch.columns[: 1 + with_text], *map(pa.array, found)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "mean", "window", "top"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *FEATURES])
 
     names = ["doc", "text"][: 1 + with_text]
     schema = StructType([rows.schema[n] for n in names])
-    for name in ("mean", "window", "top"):
+    for name in FEATURES:
         schema = schema.add(name, "double")
     return rows.select("doc", "text").mapInArrow(measured, schema)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, with_text: bool = True) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
     """``doc, score`` for every row of ``docs`` (``doc_id, text`` and any others), and ``text`` unless it is not wanted.
 
-    ``doc`` holds the row's columns but for the text, under any names. The models learn from ``labels`` (``doc_id,
-    toxic``) whose fold is not 0, at most about ``sample`` per class. Null and empty texts, and texts without letters, get
+    ``doc`` holds the row's columns but for the text, under any names. The models learn from all ``labels`` (``doc_id,
+    toxic``) whose fold is not 0. Null and empty texts, and texts without letters, get
     the score of no evidence. Without labelled documents, or with one class of them only, every score is the share of
     toxic ones (0.0 without any). Rows without an id are scored and not learnt from. Equal texts score alike. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
-    chosen = F.broadcast(labelled_sample(labels, sample))  # two classes of about ``sample`` rows
+    # written, so that Spark knows their size: few go to the texts, many are joined with them
+    chosen = cut_lineage(labelled(labels), "toxicity-labels")
     known = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "curve")
     counts = ngram_counts(word_counts(known.filter("NOT curve")), ORDER)
     shared = send(spark, LetterModel(counts))
     curve = known.filter("curve").select(F.struct("toxic").alias("doc"), "text")
-    fit = features_of(curve, shared).select("doc.toxic", "mean", "window", "top").collect()  # a fold of the sample
-    x = np.array([r[1:] for r in fit], float).reshape(-1, 3)
-    y = np.array([r[0] for r in fit], float)
+    # written: each step of the fit reads these four numbers per document of the fold
+    fit = cut_lineage(features_of(curve, shared).select("doc.toxic", *FEATURES), "toxicity-curve")
+    count, toxic = fit.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows = docs.select(F.struct(*(named(c) for c in docs.columns if c != "text")).alias("doc"), "text")
     found = features_of(rows, shared, with_text)
     carried = ["doc", "text"][: 1 + with_text]
-    if not 0 < y.sum() < len(y):
-        return found.select(*carried, F.lit(float(y.mean()) if len(y) else 0.0).alias("score"))
-    mean, scale, weights = fit_logistic(x, y)
+    if not 0 < toxic < count:
+        return found.select(*carried, F.lit(toxic / count if count else 0.0).alias("score"))
+    mean, scale, weights = fit_logistic(fit, count)
     line = F.lit(float(weights[0]))
-    for name, m, s, w in zip(("mean", "window", "top"), mean, scale, weights[1:]):
+    for name, m, s, w in zip(FEATURES, mean, scale, weights[1:]):
         line = line + (F.col(name) - float(m)) / float(s) * float(w)
     return found.select(*carried, (1 / (1 + F.exp(-line))).alias("score"))
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tablescope.llm import html_content as hc
@@ -72,6 +73,30 @@ def test_words_seen_twice_count(spark, make_docs):
     assert len(held) == 160 and sum(held) >= 150
 
 
+def test_all_labelled_documents_are_learnt_from(spark, monkeypatch):
+    """30,000 documents of each class: those of three folds give the counts, those of one the curve."""
+    ids = spark.range(60_000)
+    docs, labels = ids.selectExpr("id AS doc_id", "concat('word ', id % 7) AS text"), ids.selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    learnt, real, curve = [], tox.word_counts, tox.fit_logistic
+    monkeypatch.setattr(tox, "word_counts", lambda known: learnt.append(known.count()) or real(known))
+    monkeypatch.setattr(tox, "fit_logistic", lambda *points: learnt.append(points[1]) or curve(*points))
+    tox.toxicity(docs, labels)
+    folds = [zlib.crc32(str(i).encode()) % 5 for i in range(60_000)]
+    assert learnt == [sum(f in (1, 2, 3) for f in folds), sum(f == 4 for f in folds)]
+
+
+def test_curve_equals_newton_in_numpy(spark):
+    pick = np.random.default_rng(2)
+    x = pick.normal([-0.3, 1, 2], [0.2, 1, 3], (400, 3))
+    y = (x @ [3, 1, 0.2] + pick.normal(0, 1, 400) > 0.5).astype(int)
+    frame = spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(y, x)], "toxic int, mean double, window double, top double")
+    mean, scale, w = tox.fit_logistic(frame, 400)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0))
+    z = np.column_stack([np.ones(400), (x - x.mean(0)) / (x.std(0) + 1e-9)])
+    gradient = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + 1e-2 * w
+    assert np.abs(gradient).max() < 1e-6
+
+
 def test_filter_keeps_columns_and_rows(spark, make_docs):
     rows, labels = corpus()
     docs = make_docs([*rows, (None, None)])
