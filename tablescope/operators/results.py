@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.text import finite, natural_key, text_number, title_label
 from tablescope.functions.types import is_complex, is_date, is_integer, is_numeric
+from tablescope.operators.ordered import SKETCH_K
+from tablescope.sources.shared import cut_lineage
 
 MAX_SAFE_INTEGER = 9007199254740991
 PAGE_SIZE = 20
+#: Ranges beside those of a page that are looked at, as a sketch errs by less.
+MARGIN = 1
 
 
 def read_page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
@@ -36,43 +42,43 @@ def page_range(
 ) -> tuple[DataFrame, int]:
     """The rows among which a page lies, and how many of them come before it.
 
-    A quantile sketch cuts the first order column into ``ranges`` ranges; their row counts, the only rows the driver reads,
-    tell which ones the page lies in. Those are cut again until they hold ``small`` rows beside the page; where all
-    are of one value, by the next column.
+    A sketch cuts the first order column into ``ranges`` ranges; exact counts at the few borders next to the page, the
+    only numbers the driver reads, tell between which of them it lies. Those rows are cut again until they are ``small`` rows
+    beside the page; where all are of one value, by the next column. Once they are few of those read, they are written.
     """
-    skip = offset
+    skip, read = offset, None
     for column, ascending in order:
         while True:
             place = _place(df, column)
             ranks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-            sketch = df.agg(F.kll_sketch_agg_double(place).alias("s"))
-            some = F.kll_sketch_get_n_double("s") > 0
-            borders = sorted(set(sketch.select(F.when(some, F.kll_sketch_get_quantile_double("s", ranks))).first()[0] or []))
-            # nulls sort before everything
-            cell = F.when(F.col(column).isNull(), -1).otherwise(
-                F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < place)) if borders else F.lit(0)
-            )
-            counts = df.groupBy(cell.alias("cell")).agg(
-                F.count(F.lit(1)).alias("n"), (F.min(column).eqNullSafe(F.max(column))).alias("single")
+            seen = df.agg(
+                F.count(F.lit(1)).alias("n"), F.count(column).alias("known"), F.kll_sketch_agg_double(place, SKETCH_K).alias("s"),
+                F.min(column).eqNullSafe(F.max(column)).alias("single"),
             )
-            cells = sorted(counts.collect(), reverse=not ascending)  # one row per range
-            held, before, seen = [], 0, 0
-            for c in cells:
-                if seen + c.n <= skip:
-                    before = seen + c.n
-                elif seen < skip + limit:
-                    held.append(c)
-                seen += c.n
-            rows = sum(c.n for c in held)
-            narrowed = rows < seen
-            if narrowed:
-                df = df.filter(cell.isin([c.cell for c in held]))
-                skip -= before
-            if rows <= small + limit or not held:
+            some = F.kll_sketch_get_n_double("s") > 0
+            seen = seen.select("n", "known", "single", F.when(some, F.kll_sketch_get_quantile_double("s", ranks)).alias("borders")).first()
+            n, nulls, read = seen.n, seen.n - seen.known, read or seen.n
+            if skip >= n:
+                return df.limit(0), skip
+            if n <= small + limit:
                 return df, skip
-            if len(held) == 1 and held[0].single:
+            if seen.single and seen.known in (0, n):
                 break  # by the next column
-            if not narrowed:
+            # the page's rows, counted upwards; nulls sort before everything
+            begin, end = (skip, min(skip + limit, n)) if ascending else (max(n - skip - limit, 0), n - skip)
+            first, last = (math.floor((at - nulls) / max(seen.known, 1) * ranges) for at in (begin, end))
+            near = sorted({b for i, b in enumerate(seen.borders or [], 1) if first - MARGIN <= i <= last + 1 + MARGIN})
+            cuts = [F.coalesce(before, F.lit(True)) for b in near for before in (place < b, place <= b)] + [F.col(column).isNull()]
+            below = df.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+            low, before = max(((k, c) for k, c in zip(below, cuts) if k <= begin), key=lambda x: x[0], default=(0, F.lit(False)))
+            high, upto = min(((k, c) for k, c in zip(below, cuts) if k >= end), key=lambda x: x[0], default=(n, F.lit(True)))
+            if high - low == n:
+                return df, skip
+            df = df.filter(~before & upto)
+            skip -= low if ascending else n - high
+            if (high - low) * 8 <= read:
+                df, read = cut_lineage(df, "page"), high - low
+            if high - low <= small + limit:
                 return df, skip
     return df, skip
 
