@@ -85,7 +85,9 @@ def flag_costs(costs: DataFrame) -> DataFrame:
 
 
 def unlinked_downvotes(feedback: DataFrame, links: DataFrame) -> DataFrame:
-    return feedback.filter(F.col("vote") == "down").join(links.select("message_id"), "message_id", "left_anti")
+    """Down-votes of messages that no link names. Links of one message are merged inside the map tasks, so no task holds them."""
+    linked = links.select("message_id").distinct()
+    return feedback.filter(F.col("vote") == "down").join(linked, "message_id", "left_anti")
 
 
 def attach_feedback(feedback: DataFrame, refs: DataFrame) -> DataFrame:
