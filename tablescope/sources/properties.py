@@ -107,15 +107,20 @@ def with_properties(records: DataFrame, json: str, name: str = "properties") ->
 def collect_columns(records: DataFrame, json: str, order: str) -> DataFrame:
     """Property names over ragged records: the title first, then as first seen.
 
-    Names are merged inside the map tasks; the final numbering sees one row per name.
+    Names are merged inside the map tasks, by hash per name and place in the record, as a minimum of structs would sort
+    all rows first; the final numbering sees one row per name.
     """
     kinds = records.withColumn("properties", F.from_json(json, "map<string,struct<type:string>>"))
     keys = kinds.select(
         F.col(order), F.posexplode(F.json_object_keys(json)).alias("_pos", "name"), F.col("properties")
     )
-    place = F.struct(F.col(order), F.col("_pos"))
-    titled = F.col("properties")[F.col("name")]["type"] == "title"
-    seen = keys.groupBy("name").agg(F.min(place).alias("first"), F.min(F.when(titled, place)).alias("_title"))
+    titled = F.coalesce(F.col("properties")[F.col("name")]["type"] == "title", F.lit(False))
+    # records without an order are a group of their own: they come before all others
+    placed = keys.groupBy("name", "_pos", titled.alias("_is_title"), F.col(order).isNull().alias("_none")).agg(
+        F.min(order).alias("_at")
+    )
+    place = F.struct("_at", "_pos")
+    seen = placed.groupBy("name").agg(F.min(place).alias("first"), F.min(F.when(F.col("_is_title"), place)).alias("_title"))
     leads = F.col("_title").isNotNull() & (F.col("_title") == F.min("_title").over(Window.partitionBy()))
     rank = F.row_number().over(Window.orderBy(F.coalesce(leads, F.lit(False)).desc(), "first"))
     return seen.select("name", (rank - 1).alias("position"))
