@@ -32,8 +32,10 @@ SHARED_ORDER = 2
 FOLDS, CURVE_FOLD = 5, 4
 WINDOW = 4
 TOP = 3
-#: Words a task keeps the evidence of.
-CACHE_WORDS = 200_000
+#: Words a task keeps the evidence or the counts of; workers are used again, so what one task holds weighs on later ones.
+CACHE_WORDS = 60_000
+#: Words whose n-grams are counted at once; Spark merges the counts inside the map tasks.
+GRAM_WORDS = 2_000
 #: Letters of text whose words are judged at once.
 CHUNK = 1 << 18
 
@@ -88,7 +90,7 @@ def ngram_counts(words: DataFrame, order: int) -> pa.Table:
     """``gram, toxic, ordinary``: the counts of every n-gram of letters up to ``order``, words between ``^`` and ``$``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, GRAM_WORDS) for b in batches for at in range(0, b.num_rows, GRAM_WORDS)):
             toxic, ordinary = Counter(), Counter()
             for word, t, o in zip(*(c.to_pylist() for c in batch.columns)):
                 line = f"^{word}$"
@@ -286,6 +288,8 @@ def features_of(rows: DataFrame, model, with_text: bool = False) -> DataFrame:
             found = np.array(list(letters.features(t.as_py() for t in batch.column(1))), float).reshape(-1, 3).T
             columns = [*batch.columns[: 1 + with_text], *map(pa.array, found)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *FEATURES])
+        letters.word.clear()
+        pa.default_memory_pool().release_unused()
 
     names = ["doc", "text"][: 1 + with_text]
     schema = StructType([rows.schema[n] for n in names])
