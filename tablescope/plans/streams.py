@@ -13,6 +13,8 @@ def event_stream(t):
     return st.read_stream(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
 
 
+#: Files a batch of arrivals is written to and read from, by as many tasks.
+ARRIVAL_FILES = 12
 LIMITED = "type = 'page_view' AND actor_user_id IS NOT NULL"
 
 
@@ -20,12 +22,12 @@ LIMITED = "type = 'page_view' AND actor_user_id IS NOT NULL"
     SELECT event_id FROM x JOIN ({EVENTS_SQL}) USING (event_id)
     WHERE {LIMITED} AND created_at <= (SELECT date_trunc('milliseconds', max(created_at)) - INTERVAL 1 DAY FROM ({EVENTS_SQL}) WHERE {LIMITED})""")
 def _(t):
-    # three files by the time of arrival, up to 20 hours after the event; the watermark is a day behind
+    # three batches by the time of arrival, up to 20 hours after the event; the watermark is a day behind
     path = scratch_path(t.spark, "throttle-events")
     arrived = F.expr("ts + make_dt_interval(0, event_id % 20)")
     for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
-        t.events.filter((arrived >= low) & (arrived < high)).coalesce(1).write.mode("append").parquet(path)
-    rows = st.read_stream(t.spark, path, t.events.schema, files_per_batch=1).selectExpr(*EVENTS).filter(LIMITED)
+        t.events.filter((arrived >= low) & (arrived < high)).repartition(ARRIVAL_FILES).write.mode("append").parquet(path)
+    rows = st.read_stream(t.spark, path, t.events.schema, files_per_batch=ARRIVAL_FILES).selectExpr(*EVENTS).filter(LIMITED)
     kept = st.throttled(rows, ["actor_user_id", "story_id"], "created_at", "event_id", 1800, "1 day")
     return st.append_to_parquet(kept, "throttle")
 

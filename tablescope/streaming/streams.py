@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,7 +77,8 @@ class _Throttle(StatefulProcessor):
     """Events wait, by key, until the watermark has passed them; then they are decided in the order of their times.
 
     So the result does not depend on how events are dealt into batches. State is what waits, no longer than the
-    watermark's delay, and the time of the last event kept, which is forgotten once it can no longer matter.
+    watermark's delay, and the time of the last event kept, which is forgotten once it can no longer matter. What waits is
+    kept in blocks, packed numbers of up to an Arrow batch of events, so that reads and writes of state are few.
     """
 
     def __init__(self, window_us: int):
@@ -84,29 +87,38 @@ class _Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long")
+        self.waiting = handle.getListState("waiting", "block binary")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        news = [(r["at"], r["event_id"]) for r in rows]
-        self.waiting.appendList(news)
-        self._wake(min(at for at, _ in news))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        blocks = [np.column_stack([r["at"], r["unnamed"], r["event_id"]]).astype(np.int64) for r in rows if len(r)]
+        if blocks:
+            self.waiting.appendList([(b.tobytes(),) for b in blocks])
+            self._wake(min(int(b[:, 0].min()) for b in blocks))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(w) for w in self.waiting.get())
-        due = [w for w in waiting if w[0] <= passed]
+        blocks = [np.frombuffer(block, np.int64).reshape(-1, 3) for (block,) in self.waiting.get()]
+        waiting = np.concatenate([np.empty((0, 3), np.int64), *blocks])
+        late = waiting[:, 0] > passed
+        due, rest = waiting[~late], waiting[late]
+        due = due[np.lexsort(due.T[::-1])]  # by time, then by id
         held = self.last.get()
         last = before = held[0] if held is not None else None
-        for at, event_id in due:
-            if last is None or at - last > self.window_us:
-                last = at
-                yield Row(event_id=event_id)
-        rest = waiting[len(due) :]
-        if rest:
-            self._wake(rest[0][0])
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        times, kept = due[:, 0], []
+        at = 0 if last is None else int(np.searchsorted(times, last + self.window_us, "right"))
+        while at < len(times):
+            kept.append(at)
+            last = int(times[at])
+            at = int(np.searchsorted(times, last + self.window_us, "right"))
+        if kept:
+            ids = pd.array(due[kept, 2], "Int64")
+            ids[due[kept, 1] == 1] = pd.NA
+            yield pd.DataFrame({"event_id": ids})
+        if len(rest):
+            self._wake(int(rest[:, 0].min()))
+        if len(due):
+            self.waiting.put([(rest.tobytes(),)]) if len(rest) else self.waiting.clear()
         if last is not None and last + self.window_us < passed:
             self.last.clear()
         elif last != before:
@@ -132,9 +144,10 @@ def throttled(
     """
     with_rocksdb(events.sparkSession)
     rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
-        *keys, ts, F.unix_micros(ts).alias("at"), F.col(event_id).alias("event_id")
-    )
-    return rows.groupBy(*keys).transformWithState(
+        *keys, ts, F.unix_micros(ts).alias("at"), F.col(event_id).isNull().alias("unnamed"),
+        F.coalesce(F.col(event_id), F.lit(0)).cast("long").alias("event_id"),
+    ).filter(F.col(ts).isNotNull())  # the watermark never passes an event without a time
+    return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Throttle(window_seconds * 1_000_000),
         outputStructType="event_id long",
         outputMode="Append",
