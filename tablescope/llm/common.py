@@ -64,13 +64,21 @@ def span_columns(df: DataFrame, base: Iterable[str], spans: str = "spans") -> Da
     )
 
 
+class _Packed:
+    """Bytes that are put together again as they are read, so that a worker does not hold them beside the object."""
+
+    def __init__(self, packed: bytes):
+        self.packed = packed
+
+    def __reduce__(self):
+        return pickle.loads, (self.packed,)
+
+
 def send(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object of a class of this library, with the class, so that workers need not have the package."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return spark.sparkContext.broadcast(_Packed(cloudpickle.dumps(value)))
 
 
 def received(sent: Broadcast):
     """What ``send`` sent, put together once per worker."""
-    if not hasattr(sent, "_received"):
-        sent._received = pickle.loads(sent.value)
-    return sent._received
+    return sent.value

@@ -85,6 +85,51 @@ def test_all_labelled_documents_are_learnt_from(spark, monkeypatch):
     assert learnt == [sum(f in (1, 2, 3) for f in folds), sum(f == 4 for f in folds)]
 
 
+def test_labels_go_to_the_texts(spark, make_docs):
+    """Few labels are sent and no text is shuffled; many meet the texts of the folds they learn from. Both are the same rows."""
+    rows = [(i, f"text of {i}") for i in range(100)] + [(7, "again"), (None, "no id"), (3, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 100, 3)] + [(None, 1)], "doc_id long, toxic int")
+    folds, texts = {i: zlib.crc32(str(i).encode()) % 5 for i in range(100)}, [(i, t) for i, t in rows if i in range(0, 100, 3)]
+    by_size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (50, 0):
+            parts = tox.learnt_from(make_docs(rows), labels, most)
+            for part, own in zip(parts, ((1, 2, 3), (4,))):
+                want = [(t or "", i % 2) for i, t in texts if folds[i] in own]
+                assert sorted((r.text or "", r.toxic) for r in part.collect()) == sorted(want)
+                plan = part._jdf.queryExecution().executedPlan().toString()
+                assert ("BroadcastHashJoin" in plan, "hashpartitioning" in plan) == (most > 0, most == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", by_size)
+
+
+def test_ngrams_of_odd_words_are_counted(spark):
+    """Words of one letter, of letters beyond 16 bits and longer than the order; none at all."""
+    words = [("a", 2, 0), ("ab", 0, 3), ("abcabcabc", 1, 1), ("\U00010400x", 5, 2), ("äbc", 0, 1)]
+    want: dict[str, list[int]] = {}
+    for word, t, o in words:
+        line = f"^{word}$"
+        for end in range(2, len(line) + 1):
+            for start in range(max(0, end - 3), end):
+                held = want.setdefault(line[start:end], [0, 0])
+                held[0] += t
+                held[1] += o
+    frame = spark.createDataFrame(words, "word string, toxic long, ordinary long")
+    got = tox.ngram_counts(frame, 3).to_pylist()
+    assert len(got) == len(want) and {r["gram"]: [r["toxic"], r["ordinary"]] for r in got} == want
+    assert tox.ngram_counts(frame.filter("toxic > 9"), 3).num_rows == 0
+
+
+def test_sums_find_every_key():
+    pick = np.random.default_rng(4)
+    keys = np.concatenate([pick.integers(0, (1 << 64) - 1, 3000, np.uint64), np.arange(5, dtype=np.uint64), ~np.arange(5, dtype=np.uint64)])
+    sums = tox.Sums(np.concatenate([keys, keys[:10]]), np.ones((len(keys) + 10, 2)))
+    assert (sums.of(keys) == np.where(np.arange(len(keys)) < 10, 2, 1)[:, None]).all()
+    assert not sums.of(keys[:3000] + np.uint64(1)).any()
+    assert not tox.Sums(np.empty(0, np.uint64), np.empty((0, 2))).of(keys).any()
+
+
 def test_curve_equals_newton_in_numpy(spark):
     pick = np.random.default_rng(2)
     x = pick.normal([-0.3, 1, 2], [0.2, 1, 3], (400, 3))
