@@ -54,8 +54,8 @@ BROADCAST_IDS = 2_000_000
 
 #: Rows handled at once.
 STEP_ROWS = 500
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once; some ten arrays of 8 bytes for each are held meanwhile.
+CHUNK = 1 << 18
 
 #: Odd multipliers and a finaliser's constants (fixed values of no meaning).
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -150,9 +150,12 @@ def frequent_ngrams(docs: DataFrame, size: int, similar: int, most: int) -> np.n
                     held, many = [], 0
         if held:
             yield counts(held)
+        pa.default_memory_pool().release_unused()
 
     def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        values = np.sort(np.concatenate(held))
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
         times = np.diff(np.append(first, len(values)))
         often = times >= FREQUENT_IN_TASK
@@ -203,6 +206,7 @@ def prefixes(docs: DataFrame, size: int, similar: int, frequent: np.ndarray) ->
                     ],
                     names=["doc_id", "n", "node", "prefix", "sketch"],
                 )
+        pa.default_memory_pool().release_unused()
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {key_type}, n long, node long, prefix array<long>, sketch array<long>")
@@ -229,6 +233,7 @@ def whole_rows(docs: DataFrame, wanted: DataFrame, size: int, exploded: bool = F
                 else:
                     columns = [pa.array(nodes), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "ngram" if exploded else "ngrams"])
+        pa.default_memory_pool().release_unused()
 
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     if exploded:
@@ -355,6 +360,7 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 kept.append(100 * both >= similar * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     pairs = cut_lineage(pairs.select("a", "b"), "ngram-candidates")
     # sketches first: whole rows are fetched for the pairs that pass
@@ -432,7 +438,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
 
 def of_checked_size(ids: DataFrame, most: int) -> DataFrame:
     """``ids``, to be broadcast if they were counted and are at most ``most``; else as Spark joins them."""
-    ids = cut_lineage(ids, "ngram-ids")
+    ids = cut_lineage(ids, "checked-ids")
     return F.broadcast(ids) if ids.count() <= most else ids
 
 

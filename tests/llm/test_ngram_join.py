@@ -1,10 +1,13 @@
+import pickle
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from tablescope.llm import common
 from tablescope.llm import ngram_join as nj
 from tablescope.llm.graph import components
 
@@ -152,3 +155,17 @@ def test_ids_to_drop_by_either_join(make_docs):
     assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
     for kept in (sent, met):
         assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 7, 7, 9]
+
+
+def test_workers_hold_little_while_they_hash():
+    """4 MB of texts are hashed in pieces, whose arrays stay below 20 MB."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(1000)]
+    tracemalloc.start()
+    sizes = [len(found) for found in nj.Shingler().sets(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [396] * 1000 and peak < 20e6
+
+
+def test_sent_objects_are_not_held_packed_too():
+    assert pickle.loads(pickle.dumps(common._Packed(pickle.dumps([1, 2])))) == [1, 2]
