@@ -53,3 +53,99 @@ def test_empty_and_repeated(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(frame).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
     assert ed.near_duplicates(frame.filter("vec_id > 5")).count() == 0
+
+
+def by_products(rows):
+    """As ``brute``, for vectors of equal length in one array each, by products of blocks and merges of labels."""
+    ids, x = np.array([k for k, _ in rows]), np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = x @ x.T >= 0.95
+    np.fill_diagonal(links, False)
+    least = ids.copy()
+    while True:
+        now = np.minimum(least, np.where(links, least, np.iinfo(np.int64).max).min(axis=1))
+        if (now == least).all():
+            return {int(k): (int(n), int(m), bool(m == k)) for k, n, m in zip(ids, links.sum(axis=1), least)}
+        least = now
+
+
+def planted(dims, loose, seed=3):
+    """Loose vectors, a large group of exact copies, one of near copies beside it, groups near the limit and pairs."""
+    pick = np.random.default_rng(seed)
+    x = [*pick.standard_normal((loose, dims))]
+    centre = pick.standard_normal(dims)
+    x += [centre * (i + 1) for i in range(700)]
+    x += [centre + 0.1 * pick.standard_normal(dims) for _ in range(600)]
+    for spread in (0.2, 0.22, 0.23, 0.24, 0.3):
+        centre = pick.standard_normal(dims)
+        x += [centre + spread * pick.standard_normal(dims) for _ in range(80)]
+    x += [x[i] + 0.2 * pick.standard_normal(dims) for i in range(0, loose, 7)]
+    order = pick.permutation(len(x))
+    return [(int(k) * 3 + 1, x[i].tolist()) for k, i in enumerate(order)]
+
+
+def result(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(frame, **options).collect()}
+
+
+def test_rows_written_stay_few(spark, monkeypatch):
+    """What is written grows with the vectors, not with cells around them or with pairs that may link."""
+    rows = planted(64, 4000)
+    written, cut = {}, ed.cut_lineage
+
+    def counted(df, label="stage"):
+        out = cut(df, label)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ed, "cut_lineage", counted)
+    assert result(spark, rows) == by_products(rows)
+    assert sum(written.values()) <= 4 * len(rows), written
+
+
+@pytest.mark.parametrize("dims", [64, 130, 12])
+def test_many_chunks(spark, monkeypatch, dims):
+    """Chunks and parts of few vectors: groups lie across them, pairs of chunks share tasks, parts link as a whole."""
+    for name, value in (("LEAST_CHUNK", 300), ("PART", 32), ("ROWS", 16), ("SAMPLE", 700)):
+        monkeypatch.setattr(ed, name, value)
+    rows = planted(dims, 1500, seed=dims)
+    assert result(spark, rows) == by_products(rows)
+
+
+def test_limit_is_in_double_precision(spark):
+    """Pairs closer to the limit than codes or single precision tell."""
+    rows, want = [], {}
+    for i in range(40):
+        turn = np.zeros(40)
+        turn[i] = 1.0
+        other = np.zeros(40)
+        shift = (i - 19.5) * 1e-12
+        other[i], other[(i + 1) % 40] = 0.95 + shift, (1 - (0.95 + shift) ** 2) ** 0.5
+        rows += [(2 * i, turn.tolist()), (2 * i + 1, other.tolist())]
+        want[2 * i] = int(shift > 0)
+    got = result(spark, rows)
+    assert {k: got[k][0] for k in want} == want
+    assert ed.exact(spark.createDataFrame([(0, 1), (38, 39), (40, 41)], "a long, b long"),
+                    spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect() == [(40, 41)]
+
+
+def test_links_of_blocks():
+    """Trees and forests join what the links join."""
+    pick = np.random.default_rng(1)
+    for share, groups in ((0.001, 1), (0.01, 1), (0.3, 1), (1.0, 20)):
+        cells = pick.random((120, 200)) < share
+        if groups > 1:
+            cells &= (np.arange(120) % groups)[:, None] == np.arange(200) % groups
+        rows, cols = np.nonzero(cells)
+        want = ed.forest(rows, 120 + cols, 320)
+        u, v = ed.spanning(cells)
+        assert cells[u, v].all()
+        got = ed.forest(u, 120 + v, 320)
+        assert all((a == b).all() for a, b in zip(want, got))
+    x = np.vstack([pick.standard_normal((300, 6)), np.ones((300, 6))]).astype(np.float32)
+    lines, cuts, kids = ed.tree_of(x)
+    at = np.zeros(len(x), int)
+    while (on := np.flatnonzero(at >= 0)).size:
+        at[on] = kids[at[on], ((x[on] * lines[at[on]]).sum(axis=1) > cuts[at[on]]).astype(int)]
+    assert np.bincount(-1 - at).max() <= 320 and set(-1 - at) == set(range(len(set(at))))
