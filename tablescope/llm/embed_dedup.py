@@ -27,8 +27,8 @@ from tablescope.llm.graph import components
 from tablescope.sources.shared import cut_lineage
 
 SIMILAR = 0.95
-#: Vectors that lay out the tree and the directions.
-SAMPLE = 8192
+#: Vectors that lay out the tree and the directions, and the dimensions up to which so many are taken.
+SAMPLE, LONG = 8192, 1024
 #: Vectors of the sample in a leaf of the tree.
 LEAF = 16
 #: Vectors of a part, parts compared with one at once, and rows of a product: small ones need no packing.
@@ -49,7 +49,7 @@ STEPS = 32767
 def unit_rows(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``dims, ids, matrix`` of the vectors that can link, of length one in double precision.
 
-    ``batch`` holds an id and a list of doubles; nulls among the numbers read as not finite.
+    ``batch`` holds an id and a list of floats or doubles; nulls among the numbers read as not finite.
     """
     for at in range(0, batch.num_rows, rows):
         some = batch.slice(at, rows)
@@ -60,7 +60,7 @@ def unit_rows(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[int, np
         starts = np.cumsum(lengths) - lengths
         for dims in np.unique(lengths[lengths > 0]):
             where = np.flatnonzero(lengths == dims)
-            x = numbers[starts[where][:, None] + np.arange(dims)]
+            x = numbers[starts[where][:, None] + np.arange(dims)].astype(float)
             largest = np.abs(x).max(axis=1)
             fit = np.isfinite(largest) & (largest > 0)
             y = x[fit] / largest[fit][:, None]
@@ -69,7 +69,10 @@ def unit_rows(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[int, np
 
 
 def _given(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    numbers = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":  # half the bytes of doubles
+        numbers = numbers.cast("array<double>")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -139,12 +142,18 @@ def directions_of(x: np.ndarray, range2: float) -> np.ndarray | None:
 
 
 def layouts(vectors: DataFrame, range2: float) -> dict[int, tuple]:
-    """By number of dimensions the tree and the leading directions, from a sample spread by the hash of ids."""
+    """By number of dimensions the tree and the leading directions, from a sample spread by the hash of ids.
+
+    Of vectors of more than ``LONG`` dimensions fewer are taken, so that the driver holds no more of them.
+    """
     step = max(1, vectors.count() // SAMPLE)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dims, ids, y in unit_rows(batch):
+                if dims > LONG:
+                    some = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) < 2**32 * LONG // dims
+                    ids, y = ids[some], y[some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(np.full(len(ids), dims, np.int32)), _binary(y.astype(np.float32))], names=["vec_id", "dims", "v"]
                 )
@@ -544,7 +553,7 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     range2 = 2 - 2 * similar
     laid = layouts(vectors, range2)
     units = coded(vectors, {dims: tree for dims, (tree, _) in laid.items()})
-    repeated = vectors.filter("vec_id IS NOT NULL").groupBy("vec_id").count().filter("count > 1")
+    repeated = _given(vectors).filter("vec_id IS NOT NULL").groupBy("vec_id").count().filter("count > 1")
     if not repeated.isEmpty():
         units = units.dropDuplicates(["vec_id"])
     units = cut_lineage(units, "embed-units")

@@ -84,9 +84,9 @@ def planted(dims, loose, seed=3):
     return [(int(k) * 3 + 1, x[i].tolist()) for k, i in enumerate(order)]
 
 
-def result(spark, rows, **options):
+def result(spark, rows):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
-    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(frame, **options).collect()}
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(frame).collect()}
 
 
 def test_rows_written_stay_few(spark, monkeypatch):
@@ -107,12 +107,22 @@ def test_rows_written_stay_few(spark, monkeypatch):
 @pytest.mark.parametrize("dims", [64, 130, 12])
 def test_many_chunks(spark, monkeypatch, dims):
     """Chunks and parts of few vectors: groups lie across them, pairs of chunks share tasks, parts link as a whole."""
-    for name, value in (("LEAST_CHUNK", 300), ("PART", 32), ("ROWS", 16), ("SAMPLE", 700)):
+    for name, value in (("LEAST_CHUNK", 300), ("PART", 32), ("ROWS", 16), ("SAMPLE", 700), ("LONG", 100)):
         monkeypatch.setattr(ed, name, value)
     rows = planted(dims, 1500, seed=dims)
     assert result(spark, rows) == by_products(rows)
 
 
+def test_ids_at_the_ends_and_types_of_numbers(spark):
+    """Ids of any sign and size, numbers of other types, a repeated id, groups of several lengths."""
+    ends = [-(2**63), -5, 0, 2**63 - 1]
+    for kind in ("float", "double", "int", "decimal(9,3)"):
+        rows = [(k, [20 + i, 1, 2]) for i, k in enumerate(ends)] + [(7, [1, 20]), (8, [1, 21]), (8, [1, 21]), (9, [1, None]), (10, [0, 0])]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<int>").selectExpr("vec_id", f"CAST(embedding AS array<{kind}>) AS embedding")
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(frame).collect())
+        assert got == sorted([*((k, 3, ends[0]) for k in ends), (7, 1, 7), (8, 1, 7), (8, 1, 7), (9, 0, 9), (10, 0, 10)])
+
+
 def test_limit_is_in_double_precision(spark):
     """Pairs closer to the limit than codes or single precision tell."""
     rows, want = [], {}
