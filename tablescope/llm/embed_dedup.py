@@ -29,8 +29,8 @@ from tablescope.sources.shared import cut_lineage
 SIMILAR = 0.95
 #: Vectors that lay out the tree and the directions, and the dimensions up to which so many are taken.
 SAMPLE, LONG = 8192, 1024
-#: Vectors of the sample in a leaf of the tree.
-LEAF = 16
+#: Vectors of the sample in a leaf of the tree, and cuts above it at most, as copies beside loose vectors give uneven cuts.
+LEAF, DEPTH = 16, 30
 #: Vectors of a part, parts compared with one at once, and rows of a product: small ones need no packing.
 PART, ABREAST, ROWS = 256, 4, 128
 #: Bytes of codes of a chunk at most; fewer chunks mean fewer copies of a vector, more of them more tasks.
@@ -87,10 +87,10 @@ def tree_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nodes: list[list] = []
     leaves = 0
 
-    def grow(some: np.ndarray) -> int:
+    def grow(some: np.ndarray, depth: int) -> int:
         nonlocal leaves
         cut = None
-        if len(some) > 2 * LEAF:
+        if len(some) > 2 * LEAF and depth < DEPTH:
             away = some - some.mean(axis=0)
             v = away[np.argmax(np.einsum("ij,ij->i", away, away))]
             for _ in range(6):  # towards the direction of the largest spread
@@ -106,11 +106,11 @@ def tree_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             cut = np.nextafter(cut, np.float32(-np.inf))
         at = len(nodes)
         nodes.append([v, cut, 0, 0])
-        nodes[at][2] = grow(some[~high])
-        nodes[at][3] = grow(some[high])
+        nodes[at][2] = grow(some[~high], depth + 1)
+        nodes[at][3] = grow(some[high], depth + 1)
         return at
 
-    grow(x)
+    grow(x, 0)
     kids = np.array([n[2:] for n in nodes], np.int64).reshape(-1, 2)
     return np.array([n[0] for n in nodes], np.float32).reshape(-1, x.shape[1]), np.array([n[1] for n in nodes], np.float32), kids
 
@@ -154,9 +154,8 @@ def layouts(vectors: DataFrame, range2: float) -> dict[int, tuple]:
                 if dims > LONG:
                     some = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) < 2**32 * LONG // dims
                     ids, y = ids[some], y[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.full(len(ids), dims, np.int32)), _binary(y.astype(np.float32))], names=["vec_id", "dims", "v"]
-                )
+                columns = [pa.array(ids), pa.array(np.full(len(ids), dims, np.int32)), _binary(y.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dims", "v"])
 
     some = _given(vectors).filter("vec_id IS NOT NULL").filter(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).limit(2 * SAMPLE)
     by: dict[int, list] = {}

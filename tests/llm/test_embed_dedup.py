@@ -159,3 +159,15 @@ def test_links_of_blocks():
     while (on := np.flatnonzero(at >= 0)).size:
         at[on] = kids[at[on], ((x[on] * lines[at[on]]).sum(axis=1) > cuts[at[on]]).astype(int)]
     assert np.bincount(-1 - at).max() <= 320 and set(-1 - at) == set(range(len(set(at))))
+
+
+def test_tree_of_copies_beside_loose_vectors():
+    """Cuts that take off one vector each don't make the tree as deep as there are vectors."""
+    aside = np.diag(0.9 * 0.997 ** np.arange(600))
+    pairs = np.hstack([np.ones((600, 1)), aside])
+    x = np.vstack([np.eye(1, 601).repeat(3000, axis=0), pairs, pairs * np.r_[1, -np.ones(600)]]).astype(np.float32)
+    lines, cuts, kids = ed.tree_of(x)
+    at, steps = np.zeros(len(x), int), 0
+    while (on := np.flatnonzero(at >= 0)).size:
+        at[on], steps = kids[at[on], ((x[on] * lines[at[on]]).sum(axis=1) > cuts[at[on]]).astype(int)], steps + 1
+    assert steps <= ed.DEPTH and set(-1 - at) <= set(range(kids.size))
